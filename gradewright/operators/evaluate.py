@@ -55,12 +55,9 @@ def evaluate(pairs: DataFrame, key: str, truth_vector: str = "truth_vector", pre
 
 def overall_metrics(samples: DataFrame, by: Sequence[str] = (), held_values: int = stats.HELD_VALUES) -> DataFrame:
     """One wide row per group: the statistics of each metric."""
-    out = None
-    for metric, kept in OVERALL.items():
-        found = stats.summary(samples, metric, by, held_values)
-        found = found.select(*by, *(["n"] if out is None else []), *[F.col(k).alias(f"{metric}_{k}") for k in kept])
-        out = found if out is None else stats.join_groups(out, found, by)
-    return out
+    found = stats.summaries(samples, {f"{m}_": m for m in OVERALL}, by, held_values)
+    kept = [f"{m}_{s}" for m, names in OVERALL.items() for s in names]
+    return found.select(*by, F.col("cosine_similarity_n").alias("n"), *kept)
 
 
 def evaluation_json(samples: DataFrame, tiers: Sequence[tuple[str, float]] = fv.TIERS, model_name: str = "",

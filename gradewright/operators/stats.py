@@ -164,36 +164,48 @@ def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str,
     narrowed down: count the values in 4096 slices of an interval, keep the
     slice holding the rank, repeat. Only slice counts are shuffled.
     """
-    rows = numbers(df, value, by)
-    spans = group_spans(rows, by)
-    if all(s["_n"] <= held_values for s in spans):
-        return rows.groupBy(*by).agg(*quantile_columns(F.col("_v"), probabilities))
-    return _narrowed(rows, spans, probabilities, by)
+    rows = df.select(*by, number(value).alias("_0"))
+    spans = group_spans(rows, by, 1)
+    if fits(spans, 1, held_values):
+        known = rows.where(F.col("_0").isNotNull())
+        return known.groupBy(*by).agg(*quantile_columns(F.col("_0"), probabilities))
+    return _narrowed(rows, "_0", spans, probabilities, by)
 
 
-def numbers(df: DataFrame, value: Column | str, by: Sequence[str]) -> DataFrame:
-    return df.select(*by, col(value).cast("double").alias("_v")).where(is_number("_v"))
+def number(value: Column | str) -> Column:
+    """The value as a double, NULL for NaN."""
+    value = col(value).cast("double")
+    return F.when(is_number(value), value)
+
 
+def group_spans(rows: DataFrame, by: Sequence[str], values: int) -> list[dict]:
+    """Count and range of the columns _0, _1, ... per group: a small row each."""
+    aggs = []
+    for i in range(values):
+        aggs += [F.count(f"_{i}").alias(f"n{i}"), F.min(f"_{i}").alias(f"lo{i}"), F.max(f"_{i}").alias(f"hi{i}")]
+    return [r.asDict() for r in rows.groupBy(*by).agg(*aggs).collect()]
 
-def group_spans(rows: DataFrame, by: Sequence[str]) -> list[dict]:
-    """Count and range per group; one small row each."""
-    spans = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    return [r.asDict() for r in spans.collect()]
 
+def fits(spans: list[dict], values: int, held_values: int) -> bool:
+    """True if `percentile` may hold the values of every group in one task."""
+    return all(s[f"n{i}"] <= held_values for s in spans for i in range(values))
 
-def _narrowed(rows: DataFrame, spans: list[dict], probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+
+def _narrowed(rows: DataFrame, column: str, spans: list[dict], probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    i = column[1:]
+    rows = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    spans = [{**{c: s[c] for c in by}, "n": s[f"n{i}"], "lo": s[f"lo{i}"], "hi": s[f"hi{i}"]} for s in spans if s[f"n{i}"]]
     found: dict[tuple, float] = {}
     open_ranks: dict[tuple, dict] = {}
-    spans = [s for s in spans if s["_n"]]
     places = {}
     for s in spans:
         key = tuple(s[c] for c in by)
         for name, p in probabilities.items():
-            at = p * (s["_n"] - 1)
-            low, high = int(at), min(int(at) + 1, s["_n"] - 1)
+            at = p * (s["n"] - 1)
+            low, high = int(at), min(int(at) + 1, s["n"] - 1)
             places[key, name] = (low, high, at - low)
             for rank in (low, high):
-                open_ranks[(*key, rank)] = {"lo": s["_lo"], "hi": s["_hi"], "below": 0}
+                open_ranks[(*key, rank)] = {"lo": s["lo"], "hi": s["hi"], "below": 0}
     while open_ranks:
         settled = {t: s["lo"] for t, s in open_ranks.items() if s["lo"] == s["hi"]}
         found |= settled
@@ -249,25 +261,39 @@ def _group_key(by: Sequence[str]) -> Column:
 
 # --- summaries ---------------------------------------------------------------
 
+STATISTICS = ("n", "mean", "std", "median", "min", "max", "q25", "q75", "invalid")
+QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+
+
 def summary(df: DataFrame, value: Column | str, by: Sequence[str] = (), held_values: int = HELD_VALUES) -> DataFrame:
     """n, mean, population std, median, min, max, quartiles and the number of
     rows without a number, per group."""
-    value = col(value).cast("double")
-    v = F.when(is_number(value), value)
-    quartiles = {"median": 0.5, "q25": 0.25, "q75": 0.75}
-    rows = numbers(df, value, by)
-    spans = group_spans(rows, by)
-    fits = all(s["_n"] <= held_values for s in spans)
-    base = df.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count_if(v.isNull()).alias("invalid"),
-        *(quantile_columns(v, quartiles) if fits else ()),
-    )
-    return base if fits else join_groups(base, _narrowed(rows, spans, quartiles, by), by)
+    return summaries(df, {"": value}, by, held_values)
+
+
+def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str] = (),
+              held_values: int = HELD_VALUES) -> DataFrame:
+    """The statistics of several values side by side, each under its prefix. All
+    values share one pass for their spans and one for the statistics."""
+    rows = df.select(*by, *[number(v).alias(f"_{i}") for i, v in enumerate(values.values())])
+    spans = group_spans(rows, by, len(values))
+    held = fits(spans, len(values), held_values)
+    aggs = []
+    for i, prefix in enumerate(values):
+        v = F.col(f"_{i}")
+        found = {
+            "n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v),
+            "invalid": F.count_if(v.isNull()),
+        }
+        aggs += [c.alias(prefix + n) for n, c in found.items()]
+        if held:
+            aggs += quantile_columns(v, {prefix + n: p for n, p in QUARTILES.items()})
+    out = rows.groupBy(*by).agg(*aggs)
+    if not held:
+        for i, prefix in enumerate(values):
+            quartiles = _narrowed(rows, f"_{i}", spans, {prefix + n: p for n, p in QUARTILES.items()}, by)
+            out = join_groups(out, quartiles, by)
+    return out.select(*by, *[prefix + n for prefix in values for n in STATISTICS])
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -330,7 +356,6 @@ def threshold_rejections(df: DataFrame, thresholds: Sequence[tuple[str, float, f
 def verdict_medians(df: DataFrame, values: Sequence[str], verdict: str = "quality_verdict",
                     held_values: int = HELD_VALUES) -> DataFrame:
     """Count and median of each value, PASS against FAIL."""
-    out = df.groupBy(verdict).agg(*[F.count(F.when(is_number(F.col(v).cast("double")), 1)).alias(f"n_{v}") for v in values])
-    for v in values:
-        out = join_groups(out, percentiles(df, v, {f"median_{v}": 0.5}, [verdict], held_values), [verdict])
-    return out
+    found = summaries(df, {f"{v}_": v for v in values}, [verdict], held_values)
+    kept = [F.col(f"{v}_{s}").alias(f"{n}_{v}") for n, s in (("n", "n"), ("median", "median")) for v in values]
+    return found.select(verdict, *kept)
