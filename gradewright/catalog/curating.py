@@ -9,8 +9,8 @@ from gradewright.functions import text as tx
 from gradewright.operators import curate, stats
 
 # Sentences ending in a full stop; word parts stand for the two pattern classes.
-TEMPORAL = (r"thth(ere|ing|ou)", r"\bd'|èvi", r"erung.{0,15}en")
-MAINTENANCE = (r"\bwith( the)?", r"keit|lich", r"(el|la)s? .{0,15}ción")
+TEMPORAL = (("thth", r"thth(ere|ing|ou)"), ("èvi", r"èvi"), ("erung", r"erung.{0,15}en"))
+MAINTENANCE = (("with", r"with( the)?"), r"keit|lich", ("ción", r"(el|la)s? .{0,15}ción"))
 EXCLUDED = (r"\s*$", r"[^\s]+\s*$", r"The ")
 KEYWORDS = ("thon", "eau", "ung", "mente", "erin")
 LOW, HIGH = 200, 5000
@@ -165,8 +165,8 @@ def f14(spark, d):
 
 
 CLASSED = rf"""(SELECT doc_id, position, sentence,
-  CASE WHEN regexp_matches({sql_strip('sentence')}, 'thth(ere|ing|ou)|\bd''|èvi|erung[^\n]{{0,15}}en') THEN 'temporal'
-       WHEN regexp_matches({sql_strip('sentence')}, '\bwith( the)?|keit|lich|(el|la)s? [^\n]{{0,15}}ción') THEN 'maintenance' ELSE 'kept' END AS class
+  CASE WHEN regexp_matches({sql_strip('sentence')}, 'thth(ere|ing|ou)|èvi|erung[^\n]{{0,15}}en') THEN 'temporal'
+       WHEN regexp_matches({sql_strip('sentence')}, 'with( the)?|keit|lich|(el|la)s? [^\n]{{0,15}}ción') THEN 'maintenance' ELSE 'kept' END AS class
 FROM (SELECT doc_id, i AS position, p[i] || CASE WHEN i < len(p) THEN '.' ELSE '' END AS sentence
       FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i
             FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)))

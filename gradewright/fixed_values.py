@@ -33,22 +33,23 @@ REQUIRED_KEYWORDS = (
 # --- sentence denoising -----------------------------------------------------
 SENTENCE_END = "。"
 
+# Each with a literal that is part of every match.
 TEMPORAL_PATTERNS = (
-    r"前回(より|から|の|点検|調査)",
-    r"前年(より|から|の)",
-    r"経時(的|変化)",
-    r"新たに.{0,15}(発生|出現)",
+    ("前回", r"前回(より|から|の|点検|調査)"),
+    ("前年", r"前年(より|から|の)"),
+    ("経時", r"経時(的|変化)"),
+    ("新たに", r"新たに.{0,15}(発生|出現)"),
 )
 
 MAINTENANCE_PATTERNS = (
-    r"補修(が|を|は)?(必要|要する|望ましい|検討)",
-    r"予防保全",
-    r"対策(が|を)?(必要|要する|講じ)",
-    r"措置(が|を)?(必要|要する)",
-    r"経過観察(が|を)?(必要|要する)",
-    r"早(期|急)に.{0,15}(補修|対策|措置|点検|確認)",
-    r"維持管理計画",
-    r"補修工法|補修方法",
+    ("補修", r"補修(が|を|は)?(必要|要する|望ましい|検討)"),
+    ("予防保全", r"予防保全"),
+    ("対策", r"対策(が|を)?(必要|要する|講じ)"),
+    ("措置", r"措置(が|を)?(必要|要する)"),
+    ("経過観察", r"経過観察(が|を)?(必要|要する)"),
+    ("早", r"早(期|急)に.{0,15}(補修|対策|措置|点検|確認)"),
+    ("維持管理計画", r"維持管理計画"),
+    ("補修", r"補修工法|補修方法"),
 )
 
 # --- splits -----------------------------------------------------------------

@@ -55,26 +55,24 @@ def flat_structure(answer: Column | str, values: dict[str, tuple[str, ...]] | No
     )
 
 
-def json_candidates(answer: Column | str) -> Column:
-    """All texts in the answer that may be a JSON object, best place first."""
-    answer = col(answer)
-    return F.transform(
-        F.concat(*[F.regexp_extract_all(answer, F.lit(p), F.lit(g)) for p, g in JSON_PLACES]), strip
-    )
+def json_candidates(answer: Column | str, pattern: str, group: int) -> Column:
+    """All texts in one kind of place that may be a JSON object."""
+    return F.transform(F.regexp_extract_all(col(answer), F.lit(pattern), F.lit(group)), strip)
 
 
 def json_structure(answer: Column | str) -> Column:
     """First candidate that is a JSON object with all required fields, as a
-    struct; NULL if there is none."""
+    struct; NULL if there is none. A later kind of place is searched only where
+    the earlier ones give nothing."""
     schema = "damage_type string, severity string, location string, risk string, description_ja string, confidence double"
 
     def complete(text: Column) -> Column:
         keys = F.map_keys(F.from_json(text, "map<string,string>", STRICT_JSON))
         return F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED_FIELDS)))) == 4, F.lit(False))
 
-    best = F.slice(F.filter(json_candidates(answer), complete), 1, 1)
+    best = F.coalesce(*[F.get(F.filter(json_candidates(answer, p, g), complete), F.lit(0)) for p, g in JSON_PLACES])
     parsed = F.transform(
-        best,
+        F.array_compact(F.array(best)),
         lambda text: F.struct(
             F.from_json(text, schema, STRICT_JSON).alias("fields"),
             F.from_json(F.get_json_object(text, "$.key_features"), "array<string>", STRICT_JSON).alias("features"),

@@ -49,32 +49,38 @@ def _stretch_has_cube(codes: np.ndarray, smallest: int) -> bool:
     return False
 
 
+def _grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k-gram, put together from hashes of halves."""
+    made, length, power = codes, 1, np.array([_BASE])
+    for bit in bin(k)[3:]:
+        made = made[:-length] * power + made[length:]
+        length, power = 2 * length, power * power
+        if bit == "1":
+            made = made[:-1] * _BASE + codes[length: length + len(made) - 1]
+            length, power = length + 1, power * _BASE
+    return made
+
+
 def has_cube(text: str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True) -> bool:
     """True if a block of at least `smallest` code points occurs 3 times in a row."""
     if len(text) < 3 * smallest:
         return False
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n_grams = len(codes) - smallest + 1
-    grams = np.zeros(n_grams, dtype=np.uint64)
-    for k in range(smallest):
-        grams = grams * _BASE + codes[k: k + n_grams]
-    order = np.argsort(grams, kind="stable")
-    same = grams[order[1:]] == grams[order[:-1]]
-    if not same.any():
-        return False
-    repeated = np.zeros(n_grams, dtype=bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
+    grams = _grams(codes, smallest)
+    # Count by the top bits of the hash. A chance collision only lets a k-gram
+    # that is unique be taken for a repeated one.
+    bits = min(max(len(grams).bit_length() + 4, 8), 30)
+    slots = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    repeated = np.bincount(slots, minlength=1 << bits)[slots] > 1
     if not across_lines:
         breaks = np.concatenate(([0], np.cumsum(codes == 10)))
         repeated &= breaks[smallest:] == breaks[:-smallest]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], repeated.view(np.int8), [0]))))
-    for start, end in zip(edges[::2], edges[1::2]):
-        if end - start + smallest - 1 >= 3 * smallest and _stretch_has_cube(
-            codes[start: end + smallest - 1], smallest
-        ):
-            return True
-    return False
+    starts, ends = edges[::2], edges[1::2]
+    long = ends - starts + smallest - 1 >= 3 * smallest
+    return any(
+        _stretch_has_cube(codes[start: end + smallest - 1], smallest) for start, end in zip(starts[long], ends[long])
+    )
 
 
 def repeated_block(text: Column | str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True) -> Column:

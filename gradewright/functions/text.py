@@ -99,11 +99,20 @@ def python_regex(pattern: str) -> str:
     return f"(?dU){pattern}"
 
 
-def matches_any(text: Column | str, patterns: Sequence[str]) -> Column:
-    """Search for any of the patterns, as one alternation."""
-    if not patterns:
-        return F.lit(False)
-    return col(text).rlike(python_regex("|".join(f"(?:{p})" for p in patterns)))
+def matches_any(text: Column | str, patterns: Sequence[str | tuple[str, str]]) -> Column:
+    """Search for any of the patterns.
+
+    A pattern may come as (literal, pattern): the literal is part of every match.
+    A plain search for the literal then spares most texts the regex.
+    """
+    text = col(text)
+    found = F.lit(False)
+    for pattern in patterns:
+        if not isinstance(pattern, str):
+            literal, pattern = pattern
+            found = found | (text.contains(literal) & text.rlike(python_regex(pattern)))
+    plain = [f"(?:{p})" for p in patterns if isinstance(p, str)]
+    return found | text.rlike(python_regex("|".join(plain))) if plain else found
 
 
 def split_keeping_end(text: Column | str, end: str = fv.SENTENCE_END) -> Column:

@@ -13,7 +13,10 @@ from gradewright.functions.grades import lookup
 from gradewright.operators import stats
 from gradewright.session import cut_lineage
 
-EVERY = W.Window.partitionBy()
+
+def in_order(*order: Column | str) -> W.WindowSpec:
+    """All stages in order; a stage is one row."""
+    return W.Window.partitionBy().orderBy(*order)
 
 
 def stage_summary(samples: DataFrame, value: str = "cosine_similarity", stage: str = "stage",
@@ -28,7 +31,7 @@ def direction(step: Column) -> Column:
 def versus_baseline(summary: DataFrame, stage: str = "stage", mean: str = "mean") -> DataFrame:
     """Difference to the first stage, in points and percent, with its direction.
     NULL for the first stage itself."""
-    order = EVERY.orderBy(stage)
+    order = in_order(stage)
     base = F.first(mean).over(order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
     later = F.row_number().over(order) > 1
     return (
@@ -43,13 +46,13 @@ def versus_baseline(summary: DataFrame, stage: str = "stage", mean: str = "mean"
 
 def steps(summary: DataFrame, stage: str = "stage", mean: str = "mean") -> DataFrame:
     """Difference to the stage before."""
-    return summary.withColumn("step", F.col(mean) - F.lag(mean).over(EVERY.orderBy(stage)))
+    return summary.withColumn("step", F.col(mean) - F.lag(mean).over(in_order(stage)))
 
 
 def progression(summary: DataFrame, stage: str = "stage", mean: str = "mean", small: float = fv.PLATEAU_STEP) -> DataFrame:
     """One row: stages, average step, and whether one of the last two steps is
     smaller than `small`. Needs three stages, else both are NULL."""
-    placed = steps(summary, stage, mean).withColumn("_back", F.row_number().over(EVERY.orderBy(F.desc(stage))))
+    placed = steps(summary, stage, mean).withColumn("_back", F.row_number().over(in_order(F.desc(stage))))
     flat = (F.col("_back") <= 2) & (F.abs("step") < small)
     n = F.count(F.lit(1))
     return placed.agg(
@@ -61,7 +64,7 @@ def progression(summary: DataFrame, stage: str = "stage", mean: str = "mean", sm
 
 def best_stage(table: DataFrame, value: str = "mean", stage: str = "stage") -> DataFrame:
     """The stage of highest value, the first one on a tie."""
-    place = F.row_number().over(EVERY.orderBy(F.desc_nulls_last(value), stage))
+    place = F.row_number().over(in_order(F.desc_nulls_last(value), stage))
     return table.withColumn("_place", place).where(F.col("_place") == 1).select(stage, value)
 
 
@@ -70,7 +73,7 @@ def efficiency(summary: DataFrame, cost: Mapping[str, float] = fv.STAGE_HOURS, s
     """Gain over the first stage per unit of extra cost, 0 without extra cost. The
     first stage has its mean per unit of cost. `recommended` marks the later stage
     of highest gain per extra cost."""
-    order = EVERY.orderBy(stage)
+    order = in_order(stage)
     first = order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     costed = (
         summary.withColumn("cost", lookup(F.col(stage).cast("string"), {str(k): float(v) for k, v in cost.items()}, 0.0))
@@ -85,7 +88,7 @@ def efficiency(summary: DataFrame, cost: Mapping[str, float] = fv.STAGE_HOURS, s
         .otherwise(0.0),
     )
     usable = F.when((F.col("_place") > 1) & (F.col("extra_cost") > 0), F.col("efficiency"))
-    top = F.row_number().over(EVERY.orderBy(F.desc_nulls_last(usable), stage)) == 1
+    top = F.row_number().over(in_order(F.desc_nulls_last(usable), stage)) == 1
     return rated.withColumn("recommended", top & usable.isNotNull()).select(
         stage, mean, "cost", "gain", "extra_cost", "efficiency", "recommended"
     )
@@ -105,7 +108,7 @@ def progress_report(samples: DataFrame, value: str = "cosine_similarity", stage:
                     tiers: Sequence[tuple[str, float]] = fv.TIERS, cost: Mapping[str, float] = fv.STAGE_HOURS,
                     held_values: int = stats.HELD_VALUES) -> dict[str, DataFrame]:
     """All tables of a progress report by name."""
-    # A row per stage; checkpointed, since every table below starts from it.
+    # A row per stage; written out, since every table below starts from it.
     summary = cut_lineage(stage_summary(samples, value, stage, held_values))
     distribution = cut_lineage(stats.tier_distribution(samples, value, [stage], tiers))
     top = distribution.where(F.col("tier") == tiers[0][0])

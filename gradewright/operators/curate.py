@@ -12,7 +12,7 @@ from gradewright import fixed_values as fv
 from gradewright.functions import text as tx
 from gradewright.functions.text import col
 from gradewright.operators.stats import share
-from gradewright.session import cut_lineage
+from gradewright.session import cut_lineage, settle
 
 FUNNEL_STAGES = ("missing_values", "length_constraint", "excluded_patterns", "missing_keywords")
 
@@ -49,15 +49,18 @@ def graded_sentences(text: Column | str, temporal: Sequence[str] = fv.TEMPORAL_P
                      maintenance: Sequence[str] = fv.MAINTENANCE_PATTERNS, end: str = fv.SENTENCE_END) -> Column:
     """Non-blank sentences, each with its class: temporal, maintenance or kept. A
     sentence of both classes is temporal."""
-    def grade(sentence: Column) -> Column:
+    def grade(part: Column) -> Column:
         found = (
-            F.when(tx.matches_any(tx.strip(sentence), temporal), "temporal")
-            .when(tx.matches_any(tx.strip(sentence), maintenance), "maintenance")
+            F.when(tx.matches_any(part["stripped"], temporal), "temporal")
+            .when(tx.matches_any(part["stripped"], maintenance), "maintenance")
             .otherwise("kept")
         )
-        return F.struct(sentence.alias("sentence"), found.alias("class"))
+        return F.struct(part["sentence"].alias("sentence"), found.alias("class"))
 
-    return F.transform(F.filter(tx.split_keeping_end(text, end), lambda s: ~tx.is_blank(s)), grade)
+    parts = F.transform(
+        tx.split_keeping_end(text, end), lambda s: F.struct(s.alias("sentence"), tx.strip(s).alias("stripped"))
+    )
+    return F.transform(F.filter(parts, lambda p: p["stripped"] != ""), grade)
 
 
 def denoise(df: DataFrame, text: str = fv.TEXT_COLUMN, temporal: Sequence[str] = fv.TEMPORAL_PATTERNS,
@@ -70,13 +73,13 @@ def denoise(df: DataFrame, text: str = fv.TEXT_COLUMN, temporal: Sequence[str] =
     the empty text.
     """
     given = F.coalesce(F.col(text), F.lit(""))
-    graded = df.withColumn("_graded", graded_sentences(given, temporal, maintenance, end))
+    graded = settle(df, _graded=graded_sentences(given, temporal, maintenance, end))
 
     def of_class(name: str) -> Column:
         return F.filter("_graded", lambda g: g["class"] == name)
 
     clean = tx.strip(F.array_join(F.transform(of_class("kept"), lambda g: g["sentence"]), ""))
-    cleaned = graded.withColumn("_clean", clean)
+    cleaned = settle(graded, _clean=clean)
     counts = F.struct(
         *[F.size(of_class(c)).alias(c) for c in ("temporal", "maintenance", "kept")],
         ((given != "") & (F.col("_clean") == "")).alias("emptied"),
@@ -146,7 +149,7 @@ def funnel_table(counts: DataFrame) -> DataFrame:
 def funnel(df: DataFrame, path: str = fv.PATH_COLUMN, text: str = fv.TEXT_COLUMN, **options) -> tuple[DataFrame, DataFrame]:
     """Rows that pass all stages, with `text_length`, and the counts."""
     require_columns(df, path, text)
-    staged = df.withColumn("funnel_stage", funnel_stage(path, text, **options))
+    staged = settle(df, funnel_stage=funnel_stage(path, text, **options))
     kept = staged.where(F.col("funnel_stage").isNull()).drop("funnel_stage")
     return kept.withColumn("text_length", F.length(text)), funnel_counts(staged)
 
@@ -215,9 +218,9 @@ def missing_file_audit(df: DataFrame, manifest: DataFrame, path: str = "image_pa
 def positional_ids(df: DataFrame, order: str, name: str = "image_id", prefix: str = "image_", width: int = 4) -> DataFrame:
     """Ids `image_0000`, `image_0001`, ... in the order of a column.
 
-    Rows are range-partitioned by the order column and written to a checkpoint,
-    so the partition of each row is settled; each partition is numbered on its
-    own, starting after the rows of the partitions before it.
+    Rows are range-partitioned by the order column and written out with the
+    number of their partition; each partition is numbered on its own, starting
+    after the rows of the partitions before it.
     """
     placed = cut_lineage(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

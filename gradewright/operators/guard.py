@@ -17,6 +17,7 @@ from gradewright.functions import answers as an
 from gradewright.functions import text as tx
 from gradewright.functions.repeats import repeated_block
 from gradewright.operators.curate import mark_missing_files
+from gradewright.session import settle
 
 VERDICT_COLUMNS = ("quality_verdict", "reason_code")
 
@@ -60,36 +61,41 @@ def calibrated_reason(text: Column, tokens: Column, low: int = fv.LOW_TOKENS, hi
 
 def calibrated_guard(df: DataFrame, text: str = "assistant_text", **options) -> DataFrame:
     """Add token_count, quality_verdict and reason_code."""
-    counted = df.withColumn("token_count", tx.token_count(text))
-    judged = counted.withColumn("reason_code", calibrated_reason(F.col(text), F.col("token_count"), **options))
+    counted = settle(df, token_count=tx.token_count(text))
+    judged = settle(counted, reason_code=calibrated_reason(F.col(text), F.col("token_count"), **options))
     passed = F.col("reason_code") == fv.REASON_HIGH_QUALITY
     return judged.withColumn("quality_verdict", F.when(passed, "PASS").otherwise("FAIL"))
 
 
-def rule_reason(text: Column, tokens: Column, rules: GuardRules = CLASSIC_RULES,
-                checked: Column | None = None) -> Column:
-    """FAIL reason of the rules, NULL where the text passes them all.
+def add_rule_reason(df: DataFrame, text: str, tokens: str, rules: GuardRules = CLASSIC_RULES,
+                    name: str = "rule_reason", checked: Column | None = None) -> DataFrame:
+    """Add the FAIL reason of the rules, NULL where the text passes them all.
 
     The block test runs in Python. It gets only texts the cheap rules leave
     undecided, NULL for all others, so their characters stay in the JVM.
     `checked` limits the rules to some rows, the others pass.
     """
-    damage = tx.contains_any(text, rules.damage_words)
-    vague = tx.contains_any(text, rules.vague_words)
-    duplicate = tx.has_duplicate_clause(text, rules.clause_delimiters)
+    long_enough = F.col(tokens) >= rules.low
     applies = F.lit(True) if checked is None else checked
-    undecided = applies & (tokens >= rules.low) & ~duplicate
-    dirty = duplicate
+    df = settle(
+        df,
+        _applies=applies,
+        _damage=tx.contains_any(text, rules.damage_words),
+        _dirty=applies & long_enough & tx.has_duplicate_clause(text, rules.clause_delimiters),
+    )
+    dirty = F.col("_dirty")
     if rules.test_blocks:
-        block = repeated_block(F.when(undecided, text), rules.smallest_block, rules.across_lines)
-        dirty = duplicate | F.coalesce(block, F.lit(False))
-    return (
-        F.when(~applies, F.lit(None).cast("string"))
-        .when((tokens < rules.low) & ~damage, fv.REASON_NOT_RECOGNIZED)
-        .when(tokens < rules.low, fv.REASON_SHORT)
+        undecided = F.when(F.col("_applies") & long_enough & ~F.col("_dirty"), F.col(text))
+        df = df.withColumn("_block", repeated_block(undecided, rules.smallest_block, rules.across_lines))
+        dirty = dirty | F.coalesce(F.col("_block"), F.lit(False))
+    reason = (
+        F.when(~F.col("_applies"), F.lit(None).cast("string"))
+        .when(~long_enough & ~F.col("_damage"), fv.REASON_NOT_RECOGNIZED)
+        .when(~long_enough, fv.REASON_SHORT)
         .when(dirty, fv.REASON_DIRTY)
-        .when(~damage & vague, fv.REASON_NOT_RECOGNIZED)
+        .when(~F.col("_damage") & tx.contains_any(text, rules.vague_words), fv.REASON_NOT_RECOGNIZED)
     )
+    return settle(df, **{name: reason}).drop("_applies", "_damage", "_dirty", "_block")
 
 
 def answer_text(prediction: str, rules: GuardRules = CLASSIC_RULES) -> Column:
@@ -109,12 +115,12 @@ def rule_guard(df: DataFrame, prediction: str = "prediction", rules: GuardRules
     else:
         df = df.withColumn("file_missing", F.lit(False))
     missing = F.col("file_missing")
-    df = df.withColumn("assistant_text", answer_text(prediction, rules))
-    df = df.withColumn("token_count", F.when(missing, 0).otherwise(tx.token_count("assistant_text")))
-    df = df.withColumn("_rule", rule_reason(F.col("assistant_text"), F.col("token_count"), rules, ~missing))
-    reason = F.when(missing, fv.REASON_MISSING_FILE).otherwise(F.col("_rule"))
+    df = settle(df, assistant_text=answer_text(prediction, rules))
+    df = settle(df, token_count=F.when(missing, 0).otherwise(tx.token_count("assistant_text")))
+    df = add_rule_reason(df, "assistant_text", "token_count", rules, "_rule", ~missing)
+    failed = F.when(missing, fv.REASON_MISSING_FILE).otherwise(F.col("_rule"))
     return (
-        df.withColumn("_rule", reason)
+        df.withColumn("_rule", failed)
         .withColumn("quality_verdict", F.when(F.col("_rule").isNull(), "PASS").otherwise("FAIL"))
         .withColumn("reason_code", F.coalesce(F.col("_rule"), F.lit(fv.REASON_RULE_ONLY)))
         .withColumn("rule_triggered", F.col("_rule").isNotNull())
@@ -134,26 +140,26 @@ def apply_answers(guarded: DataFrame, answers: DataFrame, key: str, values=None,
     defaults = defaults or fv.STRUCTURE_DEFAULTS
     joined = guarded.join(answers.select(key, "judge_answer", "structure_answer"), key, "left")
     judged = (F.col("quality_verdict") == "PASS") & F.col("judge_answer").isNotNull()
-    verdict = an.tagged_verdict("judge_answer")
-    joined = joined.withColumn("_judged", judged).withColumn("_verdict", F.when(judged, verdict))
+    joined = settle(joined, _judged=judged, _verdict=F.when(judged, an.tagged_verdict("judge_answer")))
     passed = F.col("_verdict") == "PASS"
-    structure = an.flat_structure(F.coalesce("structure_answer", F.lit("")), values, defaults)
-    block = F.regexp_extract(F.coalesce("structure_answer", F.lit("")), an.FLAT_BLOCK, 0)
+    structure = F.coalesce("structure_answer", F.lit(""))
+    block = F.regexp_extract(structure, an.FLAT_BLOCK, 0)
     readable = F.from_json(block, "map<string,string>", an.STRICT_JSON).isNotNull() & (block != "")
-    joined = joined.withColumn("_structure", F.when(passed, structure))
+    joined = settle(
+        joined,
+        _structure=F.when(passed, an.flat_structure(structure, values, defaults)),
+        fallback_used=F.when(passed, ~readable),
+        _reason=F.when(passed, fv.REASON_HIGH_QUALITY)
+        .when(F.col("_judged"), an.tagged_reason("judge_answer"))
+        .otherwise(F.col("reason_code")),
+    )
     for field in defaults:
         joined = joined.withColumn(field, F.col("_structure")[field])
     return (
-        joined.withColumn(
-            "reason_code",
-            F.when(passed, fv.REASON_HIGH_QUALITY)
-            .when(F.col("_judged"), an.tagged_reason("judge_answer"))
-            .otherwise(F.col("reason_code")),
-        )
+        joined.withColumn("reason_code", F.col("_reason"))
         .withColumn("quality_verdict", F.coalesce("_verdict", "quality_verdict"))
         .withColumn("llm_used", F.col("_judged"))
-        .withColumn("fallback_used", F.when(passed, ~readable))
-        .drop("_judged", "_verdict", "_structure", "judge_answer", "structure_answer")
+        .drop("_judged", "_verdict", "_structure", "_reason", "judge_answer", "structure_answer")
     )
 
 

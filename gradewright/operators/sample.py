@@ -93,7 +93,7 @@ def with_hash(df: DataFrame, key: str, seed: Column | int) -> DataFrame:
 
 
 def range_counts(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Rows per stratum and hash range, checkpointed: sizes, cuts and checks then
+    """Rows per stratum and hash range, written out: sizes, cuts and checks then
     need no further pass over the rows."""
     return cut_lineage(rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("size")))
 
@@ -140,7 +140,7 @@ def shortfall(allocation: DataFrame) -> DataFrame:
 
 def hold_out(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> tuple[DataFrame, DataFrame]:
     """Fixed test set of n rows and the remaining pool, disjoint by key. The test
-    set is checkpointed, so passes over the pool do not draw it again."""
+    set is written out, so passes over the pool do not draw it again."""
     rows = with_hash(df, key, seed)
     counts = range_counts(rows, strata)
     available = counts.agg(F.sum("size")).first()[0] or 0

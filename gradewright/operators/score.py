@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gradewright import fixed_values as fv
 from gradewright.functions.grades import lookup, round_half_even
 from gradewright.functions.text import col, or_default
-from gradewright.session import cut_lineage, if_small
+from gradewright.session import cut_lineage, if_small, settle
 
 ATTRIBUTES = ("damage_type", "severity", "location", "risk")
 
@@ -92,7 +92,7 @@ def bonus_by_table(df: DataFrame, rules: DataFrame, name: str = "bonus",
     A rule row constrains the attributes it has a value for. Rows are reduced to
     their distinct attribute combinations; each combination looks its rules up
     by equality, once per subset of constrained attributes. No row is compared
-    with every rule. The sums are checkpointed and counted, then return to the
+    with every rule. The sums are written out and counted, then return to the
     rows by an equality join on the combination, broadcast if there are few.
     """
     def pattern(kept: Sequence[str]) -> Column:
@@ -144,12 +144,12 @@ def score_rows(df: DataFrame, columns: Mapping[str, str] | None = None, rules: S
     names = columns or {a: a for a in ATTRIBUTES}
     defaults = dict.fromkeys(ATTRIBUTES, "unknown") | {"severity": severity_default}
     values = {a: F.coalesce(F.col(names[a]), F.lit(defaults[a])) for a in ATTRIBUTES}
-    for a in ATTRIBUTES:
-        df = df.withColumn(f"{a}_score", points(a, values[a], rules))
+    df = settle(
+        df, **{f"{a}_score": points(a, values[a], rules) for a in ATTRIBUTES}, combination_bonus=bonus(values, rules.bonuses)
+    )
     raw = weighted_sum({a: F.col(f"{a}_score") for a in ATTRIBUTES}, rules.weights)
     return (
-        df.withColumn("combination_bonus", bonus(values, rules.bonuses))
-        .withColumn("raw_score", F.least(F.lit(1.0), raw + F.col("combination_bonus")))
+        df.withColumn("raw_score", F.least(F.lit(1.0), raw + F.col("combination_bonus")))
         .withColumn("priority_level", level("raw_score", rules.thresholds))
         .withColumn("priority_description", level_text("priority_level", rules.texts))
     )
@@ -169,7 +169,7 @@ def score_guarded(df: DataFrame, rules: ScoreRules = DEFAULT_RULES, components:
     values = {a: or_default(c, "medium" if a == "severity" else "unknown") for a, c in fields.items()}
     scores = {a: points(a, values[a], rules) for a in ATTRIBUTES}
     raw = F.least(F.lit(1.0), weighted_sum(scores, rules.weights) + bonus(values, rules.bonuses))
-    df = df.withColumn("_raw", F.when(scored, raw))
+    df = settle(df, _raw=F.when(scored, raw))
     out = (
         df.withColumn("priority_score", round_half_even("_raw", 4))
         .withColumn("priority_level", F.coalesce(level("_raw", rules.thresholds), F.lit(0)))

@@ -14,8 +14,6 @@ from gradewright import fixed_values as fv
 from gradewright.functions.grades import is_number, tier, tier_names
 from gradewright.functions.text import col
 
-ALL = W.Window.partitionBy()
-
 # Distinct values `percentile` may hold in one task's memory.
 HELD_VALUES = 2_000_000
 NARROWING = 4096
@@ -35,7 +33,7 @@ def count_by(df: DataFrame, *by: str, total: Column | None = None) -> DataFrame:
     value. Rows of a hot value are combined on the map side.
     """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(ALL) if total is None else total
+    whole = F.sum("n").over(W.Window.partitionBy()) if total is None else total
     return counts.withColumn("pct", share(F.col("n"), whole))
 
 
@@ -146,13 +144,19 @@ def histogram(df: DataFrame, value: Column | str, width: int = 10, top: int = 20
 
 # --- exact percentiles -------------------------------------------------------
 
-def quantile_columns(value: Column, probabilities: Mapping[str, float], accuracy: int | None = None) -> list[Column]:
-    """Percentile aggregates. Exact with linear interpolation by default, which
-    holds every distinct value of a group: for values of bounded range, such as
-    lengths, token counts or levels. `accuracy` switches to percentile_approx."""
+def quantiles(value: Column, probabilities: Mapping[str, float], accuracy: int | None = None) -> Column:
+    """Array of percentiles in one aggregate. Exact with linear interpolation by
+    default, which holds every distinct value of a group: for values of bounded
+    range, such as lengths, token counts or levels. `accuracy` switches to
+    percentile_approx."""
+    points = [float(p) for p in probabilities.values()]
     if accuracy is not None:
-        return [F.percentile_approx(value, p, accuracy).alias(n) for n, p in probabilities.items()]
-    return [F.percentile(value, p).alias(n) for n, p in probabilities.items()]
+        return F.percentile_approx(value, points, accuracy)
+    return F.percentile(value, points)
+
+
+def spread(array: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(array)[i].alias(n) for i, n in enumerate(names)]
 
 
 def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str, float],
@@ -168,7 +172,8 @@ def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str,
     spans = group_spans(rows, by, 1)
     if fits(spans, 1, held_values):
         known = rows.where(F.col("_0").isNotNull())
-        return known.groupBy(*by).agg(*quantile_columns(F.col("_0"), probabilities))
+        found = known.groupBy(*by).agg(quantiles(F.col("_0"), probabilities).alias("_q"))
+        return found.select(*by, *spread("_q", list(probabilities)))
     return _narrowed(rows, "_0", spans, probabilities, by)
 
 
@@ -287,8 +292,10 @@ def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[st
         }
         aggs += [c.alias(prefix + n) for n, c in found.items()]
         if held:
-            aggs += quantile_columns(v, {prefix + n: p for n, p in QUARTILES.items()})
+            aggs.append(quantiles(v, QUARTILES).alias(f"_q{i}"))
     out = rows.groupBy(*by).agg(*aggs)
+    for i, prefix in enumerate(values if held else ()):
+        out = out.select("*", *spread(f"_q{i}", [prefix + n for n in QUARTILES]))
     if not held:
         for i, prefix in enumerate(values):
             quartiles = _narrowed(rows, f"_{i}", spans, {prefix + n: p for n, p in QUARTILES.items()}, by)
@@ -323,13 +330,14 @@ def token_percentiles(df: DataFrame, tokens: Column | str = "token_count", accur
     """p5, p25, p50, p75, p95 and max of a count."""
     tokens = col(tokens)
     points = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return df.groupBy(*by).agg(*quantile_columns(tokens, points, accuracy), F.max(tokens).alias("max"))
+    found = df.groupBy(*by).agg(quantiles(tokens, points, accuracy).alias("_q"), F.max(tokens).alias("max"))
+    return found.select(*by, *spread("_q", list(points)), "max")
 
 
 def calibrate(df: DataFrame, tokens: Column | str = "token_count", low: float = 0.05, high: float = 0.95) -> tuple[float, float]:
     """Token thresholds at two percentiles, to be passed to a guard."""
-    row = df.agg(*quantile_columns(col(tokens), {"low": low, "high": high})).first()
-    return row["low"], row["high"]
+    row = df.agg(quantiles(col(tokens), {"low": low, "high": high}).alias("q")).first()
+    return tuple(row["q"])
 
 
 def threshold_rejections(df: DataFrame, thresholds: Sequence[tuple[str, float, float]],

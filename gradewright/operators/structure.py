@@ -13,6 +13,7 @@ from gradewright.functions import answers as an
 from gradewright.functions import text as tx
 from gradewright.functions.grades import lookup
 from gradewright.functions.text import col
+from gradewright.session import settle
 
 Rules = Sequence[tuple[str, Sequence[Sequence[str]]]]
 
@@ -55,15 +56,14 @@ def keyword_structure(text: Column | str, types: Rules = fv.TYPE_RULES, severiti
 
 
 def add_keyword_structure(df: DataFrame, text: str = "assistant_text", **rules) -> DataFrame:
-    """keyword_structure as four columns. The risk is looked up from the type
-    column, so the type rules are evaluated once."""
-    risks = rules.get("risks", fv.RISK_OF_TYPE)
-    return (
-        df.withColumn("damage_type", first_rule(text, rules.get("types", fv.TYPE_RULES), "unknown"))
-        .withColumn("severity_level", first_rule(text, rules.get("severities", fv.SEVERITY_RULES), "medium"))
-        .withColumn("location", first_rule(text, rules.get("locations", fv.LOCATION_RULES), "unknown"))
-        .withColumn("risk_factor", lookup("damage_type", risks, "unknown"))
+    """keyword_structure as four columns, each rule evaluated once."""
+    df = settle(
+        df,
+        damage_type=first_rule(text, rules.get("types", fv.TYPE_RULES), "unknown"),
+        severity_level=first_rule(text, rules.get("severities", fv.SEVERITY_RULES), "medium"),
+        location=first_rule(text, rules.get("locations", fv.LOCATION_RULES), "unknown"),
     )
+    return df.withColumn("risk_factor", lookup("damage_type", rules.get("risks", fv.RISK_OF_TYPE), "unknown"))
 
 
 def bilingual_structure(text: Column | str, types: Rules = fv.BILINGUAL_TYPE_RULES,
@@ -92,4 +92,4 @@ def structure_with_fallback(answer: Column | str, text: Column | str, **rules) -
 def structure_batch(df: DataFrame, text: str, answer: str | None = None, name: str = "structure", **rules) -> DataFrame:
     """Structure every row; NULL for a NULL text."""
     made = bilingual_structure(text, **rules) if answer is None else structure_with_fallback(answer, text, **rules)
-    return df.withColumn(name, F.when(F.col(text).isNotNull(), made))
+    return settle(df, **{name: F.when(F.col(text).isNotNull(), made)})

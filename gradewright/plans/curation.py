@@ -40,9 +40,9 @@ def curate_corpus(master: DataFrame, metadata: DataFrame | None = None,
                   settings: CurationSettings = CurationSettings()) -> Curated:
     """Denoise, filter, add metadata, hold out a test set, draw the train sets.
 
-    The path is the key of a row. The filtered corpus with metadata is written to
-    a checkpoint once; counting and drawing then read that table, so neither the
-    sentence work nor the join is repeated by the passes of the sampler.
+    The path is the key of a row. The filtered corpus with metadata is written out
+    once; counting and drawing then read that table, the counts only its key and
+    strata, so neither the sentence work nor the join is repeated.
     """
     s = settings
     curate.require_columns(master, s.path, s.text)

@@ -10,6 +10,7 @@ from gradewright import fixed_values as fv
 from gradewright.functions import text as tx
 from gradewright.operators import guard, score, structure
 from gradewright.operators.curate import require_columns
+from gradewright.session import settle
 
 SCORED_14 = (
     "image_id", "image_path", "assistant_text", "token_count", "cosine_similarity",
@@ -34,7 +35,7 @@ def grade_by_keywords(inference: DataFrame, guard_options: dict | None = None, s
                       rules: score.ScoreRules = score.DEFAULT_RULES) -> DataFrame:
     """Calibrated guard, keyword structure and score: 14 columns, no shuffle."""
     df = _cosine(require_columns(inference, "image_id", "image_path", "prediction"))
-    df = df.withColumn("assistant_text", tx.answer_after_pattern("prediction"))
+    df = settle(df, assistant_text=tx.answer_after_pattern("prediction"))
     df = guard.calibrated_guard(df, "assistant_text", **(guard_options or {}))
     df = structure.add_keyword_structure(df, "assistant_text", **(structure_rules or {}))
     passed = F.col("quality_verdict") == "PASS"

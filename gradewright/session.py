@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of keys and numbers up to which a counted table is broadcast.
@@ -24,6 +24,7 @@ def build_session(master: str = "local[*]", app: str = "gradewright", partitions
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,12 +54,27 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """The rows as a Parquet table in the shared folder.
+
+    Computed once, survives lost executors, and later passes read only the
+    columns they need. Its size is known, so joins are planned by it. The table
+    stays until the shared folder is cleaned.
+    """
+    folder = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns whose values are computed once per row.
+
+    The optimizer copies the expression of a plain column into every filter and
+    projection above it, so a regex behind a column may run many times per row.
+    It cannot look into a generator; `inline` over one struct is the cheapest.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(made)))
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:
