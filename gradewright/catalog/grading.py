@@ -188,7 +188,7 @@ JUDGED_FULL = f"""(SELECT *, CASE WHEN judged AND quality_verdict = 'PASS' THEN
     CASE WHEN judged AND quality_verdict = 'PASS' THEN NOT (block <> '' AND json_valid(block)) END AS fallback_used FROM {JUDGED})"""
 
 
-@query("g04_judge_answers", f"""
+@query("g04_j04_judge_answers", f"""
 SELECT image_id, quality_verdict, reason_code, token_count, llm_used, damage_type, severity_level, location, risk_factor, fallback_used FROM {JUDGED_FULL}""")
 def g04(spark, d):
     guarded = guard.rule_guard(inference(spark, d), "prediction", CLASSIC, image_manifest(spark, d))

@@ -37,47 +37,46 @@ def strata_counts(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
 
 
-def allocate(sizes: DataFrame, strata: Sequence[str], n: int | Column, by: Sequence[str] = ()) -> DataFrame:
+def allocate(sizes: DataFrame, strata: Sequence[str], n: int | Column, by: Sequence[str] = (),
+             whole_if_short: bool = False) -> DataFrame:
     """Rows to draw per stratum so that the targets sum to n.
 
     The target is the rounded proportional share. Whatever rounding leaves over
     goes to the largest target; what it adds too much is taken from the largest
     targets, one by one, always from the currently largest. Taking D units that
     way lowers the j largest targets to a common level, so the level follows from
-    running sums. Only strata with a target can lose a unit, and there are at
-    most 2n of them. Ties go to the larger stratum, then to the smaller key.
+    running sums. Ties go to the larger stratum, then to the smaller key.
+
+    `sizes` has one row per stratum. `by` allocates several tables at once;
+    `whole_if_short` targets every row where there are fewer than n.
     """
-    n = F.lit(n) if isinstance(n, int) else n
+    n = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
     group = W.Window.partitionBy(*by)
-    ranked = group.orderBy(F.col("_t").desc(), F.col("size").desc(), *strata)
-    shares = sizes.withColumn("_n", n.cast("bigint")).withColumn(
-        "_t", F.bround(F.col("size") / F.sum("size").over(group) * F.col("_n")).cast("bigint")
-    )
-    shares = shares.withColumn("_surplus", F.sum("_t").over(group) - F.col("_n"))
-    listed = shares.where(F.col("_t") > 0)
-    unlisted = shares.where(F.col("_t") == 0)
-    # Where every target rounds to 0, the first stratum by size takes all of n.
-    first = F.row_number().over(group.orderBy(F.col("size").desc(), *strata)) == 1
-    unlisted = unlisted.withColumn("target", F.when(first & (F.col("_surplus") == -F.col("_n")), F.col("_n")).otherwise(F.lit(0)))
-    listed = (
-        listed.withColumn("_r", F.row_number().over(ranked))
-        # Units to take until the r largest are all as low as the r-th.
-        .withColumn("_cost", F.sum("_t").over(ranked.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("_r") * F.col("_t"))
+    ranked = group.orderBy(F.desc("_t"), F.desc("size"), *strata)
+    total = F.sum("size").over(group)
+    shares = sizes.withColumns({"_n": n, "_total": total}).withColumn(
+        "_t", F.bround(F.col("size") / F.col("_total") * F.col("_n")).cast("bigint")
     )
-    lowered = F.when(F.col("_cost") <= F.col("_surplus"), F.col("_r"))
-    listed = listed.withColumn("_j", F.max(lowered).over(group)).withColumn(
-        "_level", F.min(F.when(F.col("_r") == F.col("_j"), F.col("_t"))).over(group)
-    ).withColumn("_rest", F.col("_surplus") - F.min(F.when(F.col("_r") == F.col("_j"), F.col("_cost"))).over(group))
-    even = F.floor(F.col("_rest") / F.col("_j"))
-    extra = F.when(F.col("_r") <= F.col("_rest") % F.col("_j"), 1).otherwise(0)
+    ordered = shares.withColumns({
+        "_surplus": F.sum("_t").over(group) - F.col("_n"),
+        "_r": F.row_number().over(ranked),
+        "_sum": F.sum("_t").over(ranked.rowsBetween(W.Window.unboundedPreceding, 0)),
+    })
+    # Units to take until the r largest are all as low as the r-th.
+    cost = F.col("_sum") - F.col("_r") * F.col("_t")
+    lowest = F.struct(F.col("_r").alias("j"), F.col("_t").alias("level"), cost.alias("cost"))
+    lowered = ordered.withColumn("_low", F.max(F.when(cost <= F.col("_surplus"), lowest)).over(group))
+    rest = F.col("_surplus") - F.col("_low.cost")
+    even = F.floor(rest / F.col("_low.j"))
+    extra = F.when(F.col("_r") <= rest % F.col("_low.j"), 1).otherwise(0)
     target = (
         F.when((F.col("_surplus") < 0) & (F.col("_r") == 1), F.col("_t") - F.col("_surplus"))
-        .when((F.col("_surplus") > 0) & (F.col("_r") <= F.col("_j")), F.col("_level") - even - extra)
+        .when((F.col("_surplus") > 0) & (F.col("_r") <= F.col("_low.j")), F.col("_low.level") - even - extra)
         .otherwise(F.col("_t"))
     )
-    listed = listed.withColumn("target", target)
-    keep = [*by, *strata, "size", F.col("target").cast("bigint").alias("target")]
-    return listed.select(*keep).unionByName(unlisted.select(*keep))
+    if whole_if_short:
+        target = F.when(F.col("_total") < F.col("_n"), F.col("size")).otherwise(target)
+    return lowered.select(*by, *strata, "size", target.cast("bigint").alias("target"))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,11 +161,8 @@ def training_sets(pool: DataFrame, sizes: Sequence[int], strata: Sequence[str],
     rows = with_hash(rows, key, F.col(name) + seed)
     groups = [name, *strata]
     counts = range_counts(rows, groups)
-    held = F.sum("size").over(W.Window.partitionBy(name))
-    by_stratum = _sizes(counts, groups).withColumn("_held", held)
-    proportional = allocate(by_stratum.where(F.col("_held") >= F.col(name)), strata, F.col(name), [name])
-    everything = by_stratum.where(F.col("_held") < F.col(name)).select(*groups, "size", F.col("size").alias("target"))
-    return draw(rows, proportional.unionByName(everything), groups, key, counts)
+    targets = allocate(_sizes(counts, groups), strata, F.col(name), [name], whole_if_short=True)
+    return draw(rows, targets, groups, key, counts)
 
 
 def random_split(df: DataFrame, key: str, share: float = fv.VALIDATION_SHARE, seed: int = fv.SEED,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header in UTF-8. Part files carry no byte order mark: it would
     end up inside the data when parts are joined. Read them as UTF-8."""
-    df.write.mode(mode).options(header=True, encoding="UTF-8", escape='"').csv(path)
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, encoding="UTF-8", escape='"', **whole).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
