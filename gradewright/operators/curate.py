@@ -195,8 +195,13 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 # --- files -------------------------------------------------------------------
 
 def mark_missing_files(df: DataFrame, manifest: DataFrame, path: str = "image_path", mark: str = "file_missing") -> DataFrame:
-    """True where a path is given but not in the manifest. NULL and '' are not checked."""
-    present = manifest.select(F.col("path").alias("_path")).distinct().withColumn("_present", F.lit(True))
+    """True where a path is given but not in the manifest. NULL and '' are not checked.
+
+    The distinct paths are written out first. The join is then between two plain
+    tables: broadcast if the paths are few, else with adaptive splitting of a
+    path that very many rows share.
+    """
+    present = cut_lineage(manifest.select(F.col("path").alias("_path")).distinct()).withColumn("_present", F.lit(True))
     given = F.nullif(F.col(path), F.lit(""))
     return (
         df.join(present, F.col(path) == F.col("_path"), "left")

@@ -27,7 +27,11 @@ def _counted(df: DataFrame, text: str, members: Mapping[str, str], damages: Mapp
         F.array_append(F.array_distinct(matching_words(text, members)), F.lit(NONE)).alias("_m"),
         F.array_append(F.array_distinct(matching_words(text, damages)), F.lit(NONE)).alias("_d"),
     )
-    pairs = marked.select(*by, F.explode("_m").alias("member"), "_d").select(*by, "member", F.explode("_d").alias("damage"))
+    # The arrays are never empty; for a plain explode the optimizer would test
+    # that first, by searching all words once more.
+    pairs = marked.select(*by, F.explode_outer("_m").alias("member"), "_d").select(
+        *by, "member", F.explode_outer("_d").alias("damage")
+    )
     return pairs.groupBy(*by, "member", "damage").agg(F.count(F.lit(1)).alias("n"))
 
 

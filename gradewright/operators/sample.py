@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from gradewright import fixed_values as fv
-from gradewright.session import cut_lineage, if_small
+from gradewright.session import cut_lineage, if_small, settle
 
 HASH_RANGE_DIGITS = 4
 
@@ -87,8 +87,8 @@ def _null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Dat
 
 
 def with_hash(df: DataFrame, key: str, seed: Column | int) -> DataFrame:
-    hashed = df.withColumn("_hash", sampling_hash(key, seed))
-    return hashed.withColumn("_range", F.conv(F.substring("_hash", 1, HASH_RANGE_DIGITS), 16, 10).cast("int"))
+    hashed = settle(df, _hash=sampling_hash(key, seed))
+    return settle(hashed, _range=F.conv(F.substring("_hash", 1, HASH_RANGE_DIGITS), 16, 10).cast("int"))
 
 
 def range_counts(rows: DataFrame, strata: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 from gradewright import fixed_values as fv
 from gradewright.functions.grades import is_number, tier, tier_names
 from gradewright.functions.text import col
+from gradewright.session import if_small
 
 # Distinct values `percentile` may hold in one task's memory.
 HELD_VALUES = 2_000_000
@@ -26,15 +27,15 @@ def share(part: Column, whole: Column) -> Column:
 
 # --- counts ------------------------------------------------------------------
 
-def count_by(df: DataFrame, *by: str, total: Column | None = None) -> DataFrame:
+def count_by(df: DataFrame, *by: str) -> DataFrame:
     """Rows per value and their percentage of all rows.
 
-    Rows are counted before the total is formed, so the window sees one row per
-    value. Rows of a hot value are combined on the map side.
+    The total is the sum of the counts, joined as a single row, so neither the
+    rows nor the counts go through one task.
     """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(W.Window.partitionBy()) if total is None else total
-    return counts.withColumn("pct", share(F.col("n"), whole))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return join_groups(counts, total, ()).withColumn("pct", share(F.col("n"), F.col("_total"))).drop("_total")
 
 
 def count_listed(df: DataFrame, value: Column | str, listed: Sequence, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -161,20 +162,23 @@ def spread(array: str, names: Sequence[str]) -> list[Column]:
 
 def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str, float],
                 by: Sequence[str] = (), held_values: int = HELD_VALUES) -> DataFrame:
-    """Exact percentiles per group for values of any range and any group size.
+    """Exact percentiles per group, for values of any range and groups of any size.
 
-    Groups are expected to be few (stages, verdicts). Groups of at most
-    `held_values` numbers use `percentile`. Beyond that each needed rank is
-    narrowed down: count the values in 4096 slices of an interval, keep the
-    slice holding the rank, repeat. Only slice counts are shuffled.
+    Groups of at most `held_values` numbers use `percentile`. For a larger group
+    each needed rank is narrowed down: count the values in 4096 slices of an
+    interval, keep the slice holding the rank, repeat. Only slice counts are
+    shuffled. There are at most rows / held_values large groups.
     """
-    rows = df.select(*by, number(value).alias("_0"))
-    spans = group_spans(rows, by, 1)
-    if fits(spans, 1, held_values):
-        known = rows.where(F.col("_0").isNotNull())
-        found = known.groupBy(*by).agg(quantiles(F.col("_0"), probabilities).alias("_q"))
-        return found.select(*by, *spread("_q", list(probabilities)))
-    return _narrowed(rows, "_0", spans, probabilities, by)
+    rows = df.select(*by, number(value).alias("_v")).where(F.col("_v").isNotNull())
+    large = large_groups(rows, ["_v"], by, held_values)
+    if not large:
+        return _held(rows, probabilities, by)
+    narrowed = _narrowed(rows, large, probabilities, by)
+    if not by:
+        return narrowed
+    keys = narrowed.select(_group_key(by).alias("_key"))
+    rest = rows.withColumn("_key", _group_key(by)).join(if_small(keys, len(large)), "_key", "left_anti")
+    return _held(rest, probabilities, by).unionByName(narrowed)
 
 
 def number(value: Column | str) -> Column:
@@ -183,34 +187,32 @@ def number(value: Column | str) -> Column:
     return F.when(is_number(value), value)
 
 
-def group_spans(rows: DataFrame, by: Sequence[str], values: int) -> list[dict]:
-    """Count and range of the columns _0, _1, ... per group: a small row each."""
-    aggs = []
-    for i in range(values):
-        aggs += [F.count(f"_{i}").alias(f"n{i}"), F.min(f"_{i}").alias(f"lo{i}"), F.max(f"_{i}").alias(f"hi{i}")]
-    return [r.asDict() for r in rows.groupBy(*by).agg(*aggs).collect()]
+def large_groups(rows: DataFrame, columns: Sequence[str], by: Sequence[str], held_values: int) -> list[dict]:
+    """Count and range of each group with more numbers than one task may hold."""
+    aggs = [f(c).alias(n + c) for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    spans = rows.groupBy(*by).agg(*aggs)
+    too_many = reduce(lambda a, b: a | b, [F.col(f"n{c}") > held_values for c in columns])
+    return [r.asDict() for r in spans.where(too_many).collect()]
 
 
-def fits(spans: list[dict], values: int, held_values: int) -> bool:
-    """True if `percentile` may hold the values of every group in one task."""
-    return all(s[f"n{i}"] <= held_values for s in spans for i in range(values))
+def _held(rows: DataFrame, probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    found = rows.groupBy(*by).agg(quantiles(F.col("_v"), probabilities).alias("_q"))
+    return found.select(*by, *spread("_q", list(probabilities)))
 
 
-def _narrowed(rows: DataFrame, column: str, spans: list[dict], probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    i = column[1:]
-    rows = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
-    spans = [{**{c: s[c] for c in by}, "n": s[f"n{i}"], "lo": s[f"lo{i}"], "hi": s[f"hi{i}"]} for s in spans if s[f"n{i}"]]
+def _narrowed(rows: DataFrame, spans: list[dict], probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """Percentiles of the listed groups of the column _v."""
     found: dict[tuple, float] = {}
     open_ranks: dict[tuple, dict] = {}
     places = {}
     for s in spans:
         key = tuple(s[c] for c in by)
         for name, p in probabilities.items():
-            at = p * (s["n"] - 1)
-            low, high = int(at), min(int(at) + 1, s["n"] - 1)
+            at = p * (s["n_v"] - 1)
+            low, high = int(at), min(int(at) + 1, s["n_v"] - 1)
             places[key, name] = (low, high, at - low)
             for rank in (low, high):
-                open_ranks[(*key, rank)] = {"lo": s["lo"], "hi": s["hi"], "below": 0}
+                open_ranks[(*key, rank)] = {"lo": s["lo_v"], "hi": s["hi_v"], "below": 0}
     while open_ranks:
         settled = {t: s["lo"] for t, s in open_ranks.items() if s["lo"] == s["hi"]}
         found |= settled
@@ -280,26 +282,26 @@ def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[st
               held_values: int = HELD_VALUES) -> DataFrame:
     """The statistics of several values side by side, each under its prefix. All
     values share one pass for their spans and one for the statistics."""
-    rows = df.select(*by, *[number(v).alias(f"_{i}") for i, v in enumerate(values.values())])
-    spans = group_spans(rows, by, len(values))
-    held = fits(spans, len(values), held_values)
+    columns = {f"_{i}": prefix for i, prefix in enumerate(values)}
+    rows = df.select(*by, *[number(v).alias(c) for c, v in zip(columns, values.values())])
+    held = not large_groups(rows, list(columns), by, held_values)
     aggs = []
-    for i, prefix in enumerate(values):
-        v = F.col(f"_{i}")
+    for c, prefix in columns.items():
+        v = F.col(c)
         found = {
             "n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v),
             "invalid": F.count_if(v.isNull()),
         }
-        aggs += [c.alias(prefix + n) for n, c in found.items()]
+        aggs += [made.alias(prefix + n) for n, made in found.items()]
         if held:
-            aggs.append(quantiles(v, QUARTILES).alias(f"_q{i}"))
+            aggs.append(quantiles(v, QUARTILES).alias(f"_q{c}"))
     out = rows.groupBy(*by).agg(*aggs)
-    for i, prefix in enumerate(values if held else ()):
-        out = out.select("*", *spread(f"_q{i}", [prefix + n for n in QUARTILES]))
-    if not held:
-        for i, prefix in enumerate(values):
-            quartiles = _narrowed(rows, f"_{i}", spans, {prefix + n: p for n, p in QUARTILES.items()}, by)
-            out = join_groups(out, quartiles, by)
+    for c, prefix in columns.items():
+        names = [prefix + n for n in QUARTILES]
+        if held:
+            out = out.select("*", *spread(f"_q{c}", names))
+        else:
+            out = join_groups(out, percentiles(rows, c, dict(zip(names, QUARTILES.values())), by, held_values), by)
     return out.select(*by, *[prefix + n for prefix in values for n in STATISTICS])
 
 

@@ -55,4 +55,4 @@ def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint:
 
 def skip_done(inputs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Inputs whose key is not in the output yet."""
-    return inputs.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return inputs.join(done.select(*keys), list(keys), "left_anti")
