@@ -4,11 +4,14 @@ NumPy's sampler cannot be repeated on a cluster. Rows are ordered by the md5 of
 `key|seed` instead, so a sample depends on keys and seed only, not on the
 partitioning. The key has to be unique and not NULL.
 
-A stratum may hold most of the rows, so no stratum is ever sorted as a whole.
-Rows are counted by the first 16 bits of their hash; the counts tell in which
-of the 65,536 hash ranges the sample of a stratum ends. Rows of earlier ranges
-are in, later ones out, and only the rows kept so far are ranked, each range on
-its own.
+A stratum may hold most of the rows, so no stratum is ever sorted as a whole:
+* The sizes give the targets. Hashes are uniform, so the rows of lowest hash lie
+  below a bound near target / size. Rows above it are dropped as they are read.
+  What is left, about as many rows as asked for, is written out.
+* Should a bound have been too low, which the counts show, all rows are taken on.
+* Rows are counted by the first 16 bits of their hash. The counts tell in which
+  of the 65,536 hash ranges the sample of a stratum ends. Rows of earlier ranges
+  are in, later ones out, and each range is ranked on its own.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from gradewright import fixed_values as fv
 from gradewright.session import cut_lineage, if_small, settle
 
 HASH_RANGE_DIGITS = 4
+BOUND_DIGITS = 12
 
 
 def sampling_hash(key: Column | str, seed: Column | int) -> Column:
@@ -87,28 +91,56 @@ def _null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Dat
 
 
 def with_hash(df: DataFrame, key: str, seed: Column | int) -> DataFrame:
-    hashed = settle(df, _hash=sampling_hash(key, seed))
-    return settle(hashed, _range=F.conv(F.substring("_hash", 1, HASH_RANGE_DIGITS), 16, 10).cast("int"))
+    return settle(df, _hash=sampling_hash(key, seed))
+
+
+def with_range(rows: DataFrame) -> DataFrame:
+    return settle(rows, _range=F.conv(F.substring("_hash", 1, HASH_RANGE_DIGITS), 16, 10).cast("int"))
 
 
 def range_counts(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Rows per stratum and hash range, written out: sizes, cuts and checks then
-    need no further pass over the rows."""
+    """Rows per stratum and hash range, written out."""
     return cut_lineage(rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("size")))
 
 
+def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Rows whose hash may be among the lowest of their stratum: below the share
+    asked for and ten standard deviations more."""
+    wanted = F.col("target") + 10 * F.sqrt("target") + 100
+    bits = F.least(wanted / F.col("size"), F.lit(1.0)) * F.lit(float(16**BOUND_DIGITS))
+    text = F.lpad(F.lower(F.hex(F.ceil(bits).cast("bigint"))), BOUND_DIGITS, "0")
+    # 'g' is above every hash.
+    bound = F.when(wanted >= F.col("size"), "g").otherwise(text)
+    bounds = targets.where(F.col("target") > 0).select(*strata, bound.alias("_bound"))
+    few = if_small(bounds, targets.count())
+    return _null_safe(rows, few, strata).where(F.col("_hash") < F.col("_bound")).drop("_bound")
+
+
+def take(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str) -> DataFrame:
+    """The `target` rows of lowest hash per stratum, all if there are fewer. `rows`
+    carries `_hash`; `targets` has target and size per stratum, and is a table."""
+    kept = with_range(cut_lineage(below_bound(rows, targets, strata)))
+    counts = range_counts(kept, strata)
+    needed = targets.select(*strata, F.least("target", "size").alias("target")).where(F.col("target") > 0)
+    found = _null_safe(needed, _sizes(counts, strata), strata).where(F.col("size") >= F.col("target"))
+    if found.count() < needed.count():
+        kept = with_range(rows)
+        counts = range_counts(kept, strata)
+    return draw(kept, targets, strata, key, counts)
+
+
 def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, counts: DataFrame) -> DataFrame:
     """The `target` rows of lowest hash per stratum. `rows` carries `_hash` and
     `_range`; `counts` holds its rows per stratum and `_range`."""
     through = F.sum("size").over(W.Window.partitionBy(*strata).orderBy("_range"))
     started = counts.withColumn("_before", through - F.col("size"))
-    cuts = cut_lineage(
+    cuts = (
         _null_safe(started, targets.select(*strata, "target"), strata)
         .where(F.col("_before") < F.col("target"))
         .groupBy(*strata)
         .agg(F.max("_range").alias("_last"), F.max("_before").alias("_before"), F.max("target").alias("_target"))
     )
-    chosen = _null_safe(rows, if_small(cuts, cuts.count()), strata).where(F.col("_range") <= F.col("_last"))
+    chosen = _null_safe(rows, if_small(cuts, targets.count()), strata).where(F.col("_range") <= F.col("_last"))
     place = F.row_number().over(W.Window.partitionBy(*strata, "_range").orderBy("_hash", key))
     chosen = chosen.withColumn("_place", place).where(
         (F.col("_range") < F.col("_last")) | (F.col("_place") <= F.col("_target") - F.col("_before"))
@@ -123,9 +155,8 @@ def _sizes(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
 def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> DataFrame:
     """n rows with the strata in proportion. A stratum smaller than its target
     gives all its rows, so the result may be short; see `shortfall`."""
-    rows = with_hash(df, key, seed)
-    counts = range_counts(rows, strata)
-    return draw(rows, allocate(_sizes(counts, strata), strata, n), strata, key, counts)
+    targets = cut_lineage(allocate(strata_counts(df, strata), strata, n))
+    return take(with_hash(df, key, seed), targets, strata, key)
 
 
 def shortfall(allocation: DataFrame) -> DataFrame:
@@ -140,12 +171,11 @@ def shortfall(allocation: DataFrame) -> DataFrame:
 def hold_out(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> tuple[DataFrame, DataFrame]:
     """Fixed test set of n rows and the remaining pool, disjoint by key. The test
     set is written out, so passes over the pool do not draw it again."""
-    rows = with_hash(df, key, seed)
-    counts = range_counts(rows, strata)
-    available = counts.agg(F.sum("size")).first()[0] or 0
+    targets = cut_lineage(allocate(strata_counts(df, strata), strata, n))
+    available = targets.agg(F.sum("size")).first()[0] or 0
     if available < n:
         raise ValueError(f"{available} rows are fewer than the {n} asked for")
-    test = cut_lineage(draw(rows, allocate(_sizes(counts, strata), strata, n), strata, key, counts))
+    test = cut_lineage(take(with_hash(df, key, seed), targets, strata, key))
     return test, df.join(if_small(test.select(key), n), key, "left_anti")
 
 
@@ -154,15 +184,15 @@ def training_sets(pool: DataFrame, sizes: Sequence[int], strata: Sequence[str],
     """Independent samples of several sizes in one table, told apart by `name`.
 
     Each size has its own seed, so the sets are not nested. A size the pool
-    cannot fill gets the whole pool. All sizes are counted and drawn in the same
-    two passes over the pool.
+    cannot fill gets the whole pool. All sizes are drawn in the same pass over the
+    pool, after one that counts its strata.
     """
-    rows = pool.withColumn(name, F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    rows = with_hash(rows, key, F.col(name) + seed)
+    wanted = F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias(name)
     groups = [name, *strata]
-    counts = range_counts(rows, groups)
-    targets = allocate(_sizes(counts, groups), strata, F.col(name), [name], whole_if_short=True)
-    return draw(rows, targets, groups, key, counts)
+    by_stratum = strata_counts(pool, strata).select("*", wanted)
+    targets = cut_lineage(allocate(by_stratum, strata, F.col(name), [name], whole_if_short=True).select(*groups, "size", "target"))
+    rows = with_hash(pool.select("*", wanted), key, F.col(name) + seed)
+    return take(rows, targets, groups, key)
 
 
 def random_split(df: DataFrame, key: str, share: float = fv.VALIDATION_SHARE, seed: int = fv.SEED,
@@ -173,7 +203,7 @@ def random_split(df: DataFrame, key: str, share: float = fv.VALIDATION_SHARE, se
     The hash and key of the last validation row are found first, from the counts
     per hash range and the rows of one range. Marking is then a plain projection.
     """
-    rows = with_hash(df, key, seed)
+    rows = with_range(with_hash(df, key, seed))
     counts = range_counts(rows, [])
     total = counts.agg(F.sum("size")).first()[0] or 0
     wanted = math.ceil(round(total * share, 6))
