@@ -60,8 +60,11 @@ def answer_after_marker(text: Column | str, marker: str = "ASSISTANT:") -> Colum
 
 
 def answer_after_pattern(text: Column | str, word: str = "ASSISTANT") -> Column:
-    """Text after `word :` in any case, if any text follows; stripped."""
-    return strip(F.regexp_replace(col(text), rf"(?isuU)\A.*?{word}\s*:\s*(?=.)", ""))
+    """Text after `word :` in any case, if any text follows; stripped. Texts without
+    a colon are spared the regex."""
+    text = col(text)
+    after = F.regexp_replace(text, rf"(?isuU)\A.*?{word}\s*:\s*(?=.)", "")
+    return strip(F.when(text.contains(":"), after).otherwise(text))
 
 
 def answer_or_raw(text: Column | str, marker: str = "ASSISTANT:") -> Column:

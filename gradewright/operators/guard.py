@@ -19,8 +19,6 @@ from gradewright.functions.repeats import repeated_block
 from gradewright.operators.curate import mark_missing_files
 from gradewright.session import settle
 
-VERDICT_COLUMNS = ("quality_verdict", "reason_code")
-
 
 @dataclass(frozen=True)
 class GuardRules:
@@ -119,14 +117,12 @@ def rule_guard(df: DataFrame, prediction: str = "prediction", rules: GuardRules
     df = settle(df, token_count=F.when(missing, 0).otherwise(tx.token_count("assistant_text")))
     df = add_rule_reason(df, "assistant_text", "token_count", rules, "_rule", ~missing)
     failed = F.when(missing, fv.REASON_MISSING_FILE).otherwise(F.col("_rule"))
-    return (
-        df.withColumn("_rule", failed)
-        .withColumn("quality_verdict", F.when(F.col("_rule").isNull(), "PASS").otherwise("FAIL"))
-        .withColumn("reason_code", F.coalesce(F.col("_rule"), F.lit(fv.REASON_RULE_ONLY)))
-        .withColumn("rule_triggered", F.col("_rule").isNotNull())
-        .withColumn("llm_used", F.lit(False))
-        .drop("_rule", "file_missing")
-    )
+    return df.withColumns({
+        "quality_verdict": F.when(failed.isNull(), "PASS").otherwise("FAIL"),
+        "reason_code": F.coalesce(failed, F.lit(fv.REASON_RULE_ONLY)),
+        "rule_triggered": failed.isNotNull(),
+        "llm_used": F.lit(False),
+    }).drop("_rule", "file_missing")
 
 
 def apply_answers(guarded: DataFrame, answers: DataFrame, key: str, values=None, defaults=None) -> DataFrame:
@@ -153,14 +149,12 @@ def apply_answers(guarded: DataFrame, answers: DataFrame, key: str, values=None,
         .when(F.col("_judged"), an.tagged_reason("judge_answer"))
         .otherwise(F.col("reason_code")),
     )
-    for field in defaults:
-        joined = joined.withColumn(field, F.col("_structure")[field])
-    return (
-        joined.withColumn("reason_code", F.col("_reason"))
-        .withColumn("quality_verdict", F.coalesce("_verdict", "quality_verdict"))
-        .withColumn("llm_used", F.col("_judged"))
-        .drop("_judged", "_verdict", "_structure", "_reason", "judge_answer", "structure_answer")
-    )
+    return joined.withColumns({
+        **{field: F.col("_structure")[field] for field in defaults},
+        "reason_code": F.col("_reason"),
+        "quality_verdict": F.coalesce("_verdict", "quality_verdict"),
+        "llm_used": F.col("_judged"),
+    }).drop("_judged", "_verdict", "_structure", "_reason", "judge_answer", "structure_answer")
 
 
 def guard_struct(guarded: DataFrame, name: str = "guard") -> DataFrame:

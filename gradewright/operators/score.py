@@ -170,17 +170,10 @@ def score_guarded(df: DataFrame, rules: ScoreRules = DEFAULT_RULES, components:
     scores = {a: points(a, values[a], rules) for a in ATTRIBUTES}
     raw = F.least(F.lit(1.0), weighted_sum(scores, rules.weights) + bonus(values, rules.bonuses))
     df = settle(df, _raw=F.when(scored, raw))
-    out = (
-        df.withColumn("priority_score", round_half_even("_raw", 4))
-        .withColumn("priority_level", F.coalesce(level("_raw", rules.thresholds), F.lit(0)))
-        .withColumn(
-            "priority_description",
-            F.when(scored, level_text("priority_level", rules.texts))
-            .when(passed, fv.RULE_ONLY_SCORE)
-            .otherwise(no_score),
-        )
-    )
+    number = F.coalesce(level("_raw", rules.thresholds), F.lit(0))
+    text = F.when(scored, level_text(number, rules.texts)).when(passed, fv.RULE_ONLY_SCORE).otherwise(no_score)
+    made = {"priority_score": round_half_even("_raw", 4), "priority_level": number, "priority_description": text}
     if components:
         for name, a in (("damage", "damage_type"), ("severity", "severity"), ("location", "location")):
-            out = out.withColumn(f"raw_{name}_score", F.when(scored, round_half_even(scores[a], 4)))
-    return out.drop("_raw")
+            made[f"raw_{name}_score"] = F.when(scored, round_half_even(scores[a], 4))
+    return df.withColumns(made).drop("_raw")
