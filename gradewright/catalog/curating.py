@@ -32,12 +32,17 @@ MASTER = """(SELECT doc_id, lang,
   CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 89 = 0 THEN ' ' || chr(12288) || chr(10) ELSE text END AS text
 FROM documents)"""
 
-STAGED = rf"""(SELECT doc_id, path, text, lang, CASE
+def sql_staged(source: str) -> str:
+    """Rows of a source with the stage of the funnel that removes them."""
+    return rf"""(SELECT *, CASE
   WHEN path IS NULL OR text IS NULL OR {sql_strip('text')} = '' THEN 'missing_values'
   WHEN length(text) < {LOW} OR length(text) > {HIGH} THEN 'length_constraint'
   WHEN regexp_matches({sql_strip('text')}, '^([^\s]+\s*$|The )') THEN 'excluded_patterns'
   WHEN NOT ({' OR '.join(f"contains(text, '{k}')" for k in KEYWORDS)}) THEN 'missing_keywords' END AS stage
-FROM {MASTER})"""
+FROM {source})"""
+
+
+STAGED = sql_staged(MASTER)
 
 FUNNEL = dict(low=LOW, high=HIGH, excluded=EXCLUDED, keywords=KEYWORDS)
 
@@ -164,21 +169,30 @@ def f14(spark, d):
     return curate.missing_file_audit(master(spark, d), manifest(spark, d), "path")
 
 
-CLASSED = rf"""(SELECT doc_id, position, sentence,
+def sql_classed(source: str, key: str) -> str:
+    """Sentences of a source with their class; blank ones are left out."""
+    return rf"""(SELECT {key}, position, sentence,
   CASE WHEN regexp_matches({sql_strip('sentence')}, 'thth(ere|ing|ou)|èvi|erung[^\n]{{0,15}}en') THEN 'temporal'
        WHEN regexp_matches({sql_strip('sentence')}, 'with( the)?|keit|lich|(el|la)s? [^\n]{{0,15}}ción') THEN 'maintenance' ELSE 'kept' END AS class
-FROM (SELECT doc_id, i AS position, p[i] || CASE WHEN i < len(p) THEN '.' ELSE '' END AS sentence
-      FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i
-            FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)))
+FROM (SELECT {key}, i AS position, p[i] || CASE WHEN i < len(p) THEN '.' ELSE '' END AS sentence
+      FROM (SELECT {key}, p, unnest(generate_series(1, len(p))) AS i
+            FROM (SELECT {key}, string_split(text, '.') AS p FROM {source})))
 WHERE {sql_strip('sentence')} <> '')"""
 
 
+def sql_kept(text: str = "sentence") -> str:
+    return sql_strip(f"coalesce(string_agg({text}, '' ORDER BY position) FILTER (class = 'kept'), '')")
+
+
+CLASSED = sql_classed("documents", "doc_id")
+
+
 def denoised(spark, d):
     return curate.denoise(table(spark, d, "documents"), "text", TEMPORAL, MAINTENANCE, ".")
 
 
 @query("x09_denoise", f"""
-SELECT doc_id, {sql_strip("coalesce(string_agg(sentence, '' ORDER BY position) FILTER (class = 'kept'), '')")} AS text,
+SELECT doc_id, {sql_kept()} AS text,
   CAST(count(*) FILTER (class = 'temporal') AS INTEGER) AS temporal,
   CAST(count(*) FILTER (class = 'maintenance') AS INTEGER) AS maintenance,
   CAST(count(*) FILTER (class = 'kept') AS INTEGER) AS kept
@@ -197,12 +211,12 @@ def a09(spark, d):
 
 
 def metadata(spark, d):
-    """Labels as metadata of two quantizations, with file names repeated on purpose."""
+    """Labels as metadata of two quantizations."""
     labels = table(spark, d, "labels")
     return labels.select(
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("image"),
-        F.when(F.col("doc_id") % 4 == 0, "Q8_0").otherwise("Q5_K_M").alias("quantization"),
-        F.col("quality").cast("string").alias("component_type"),
+        F.when(F.col("quality") == 0, "Q8_0").otherwise("Q5_K_M").alias("quantization"),
+        F.col("toxic").cast("string").alias("component_type"),
         F.when(F.col("toxic") == 1, "toxic").alias("damage_type"),
     )
 
@@ -210,8 +224,8 @@ def metadata(spark, d):
 @query("j01_merge_metadata", f"""
 SELECT doc_id, path, coalesce(component_type, 'unknown') AS component_type, coalesce(damage_type, 'unknown') AS damage_type
 FROM {MASTER} m LEFT JOIN (
-  SELECT doc_id AS label_id, CAST(quality AS VARCHAR) AS component_type, CASE WHEN toxic = 1 THEN 'toxic' END AS damage_type
-  FROM labels WHERE doc_id % 4 <> 0) l ON m.path IS NOT NULL AND m.doc_id = l.label_id""")
+  SELECT doc_id AS label_id, CAST(toxic AS VARCHAR) AS component_type, CASE WHEN toxic = 1 THEN 'toxic' END AS damage_type
+  FROM labels WHERE quality <> 0) l ON m.path IS NOT NULL AND m.doc_id = l.label_id""")
 def j01(spark, d):
     merged = curate.merge_metadata(master(spark, d), metadata(spark, d), "path")
     return merged.select("doc_id", "path", "component_type", "damage_type")

@@ -114,18 +114,19 @@ def sql_classic(text: str, tokens: str) -> str:
       WHEN NOT {damage} AND {vague} THEN 'Not recognized from only image' END"""
 
 
-CASCADE = f"""(SELECT *, CASE WHEN conv_id % 17 = 0 THEN 'No such file or directory' ELSE rule END AS failed
-FROM (SELECT *, {sql_classic('assistant_text', 'tokens')} AS rule FROM (SELECT *, {sql_tokens('assistant_text')} AS tokens FROM {ANSWERED})))"""
+CASCADE = f"""(SELECT *, CASE WHEN no_file THEN 'No such file or directory' ELSE rule END AS failed
+FROM (SELECT *, {sql_classic('assistant_text', 'tokens')} AS rule FROM (SELECT *, {sql_tokens('assistant_text')} AS tokens, conv_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') AS no_file FROM {ANSWERED})))"""
 
 
 def image_manifest(spark, d):
-    turns = table(spark, d, "conversations").where("conv_id % 17 <> 0")
-    return turns.select(F.concat(F.lit("images/"), F.col("conv_id").cast("string"), F.lit(".png")).alias("path"))
+    """Files that exist: one per document that is not in Spanish."""
+    docs = table(spark, d, "documents").where("lang <> 'es'")
+    return docs.select(F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
 
 
 @query("g03_rule_cascade", f"""
 SELECT image_id, CASE WHEN failed IS NULL THEN 'PASS' ELSE 'FAIL' END AS quality_verdict, coalesce(failed, 'High Quality (rule only)') AS reason_code,
-  CASE WHEN conv_id % 17 = 0 THEN 0 ELSE tokens END AS token_count, failed IS NOT NULL AS rule_triggered, FALSE AS llm_used FROM {CASCADE}""")
+  CASE WHEN no_file THEN 0 ELSE tokens END AS token_count, failed IS NOT NULL AS rule_triggered, FALSE AS llm_used FROM {CASCADE}""")
 def g03(spark, d):
     guarded = guard.rule_guard(inference(spark, d), "prediction", CLASSIC, image_manifest(spark, d))
     return guarded.select("image_id", *plans.SCORED_22[7:9], "token_count", "rule_triggered", "llm_used")
@@ -176,7 +177,7 @@ def sql_field(block: str, field: str, default: str) -> str:
 JUDGED = f"""(SELECT *, judged AS llm_used,
     CASE WHEN NOT judged THEN CASE WHEN failed IS NULL THEN 'PASS' ELSE 'FAIL' END
          WHEN upper(regexp_extract(judge_answer, '(?i)VERDICT\\s*:\\s*(PASS|FAIL)', 1)) = 'PASS' THEN 'PASS' ELSE 'FAIL' END AS quality_verdict,
-    CASE WHEN conv_id % 17 = 0 THEN 0 ELSE tokens END AS token_count,
+    CASE WHEN no_file THEN 0 ELSE tokens END AS token_count,
     regexp_extract(coalesce(structure_answer, ''), '\\{{[^{{}}]+\\}}') AS block
   FROM (SELECT *, failed IS NULL AND judge_answer IS NOT NULL AS judged FROM {CASCADE} JOIN {ANSWERS} a ON image_id = a.id))"""
 
@@ -481,6 +482,6 @@ def a17(spark, d):
 
 
 @query("f14_file_audit_of_inference", """
-SELECT CAST(count(*) AS BIGINT) AS missing, min('images/' || conv_id || '.png') AS first_missing FROM conversations WHERE role = 'assistant' AND conv_id % 17 = 0""")
+SELECT CAST(count(*) AS BIGINT) AS missing, min('images/' || conv_id || '.png') AS first_missing FROM conversations WHERE role = 'assistant' AND conv_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es')""")
 def f14(spark, d):
     return curate.missing_file_audit(inference(spark, d), image_manifest(spark, d))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradewright.catalog import curating as cu
 from gradewright.catalog.registry import query, rounded, table
 from gradewright.operators import sample, stats
+from gradewright.plans import curation
 
 STRATA = ["lang", "quality"]
 N = 100
@@ -59,10 +61,10 @@ def m01_surplus(spark, d):
 
 
 @query("m01_shortfall", f"""
-WITH {sql_targets(CORPUS, N)} SELECT CAST(sum(target) AS BIGINT) AS requested, CAST(sum(least(target, size)) AS BIGINT) AS drawn,
+WITH {sql_targets(CORPUS, 1500)} SELECT CAST(sum(target) AS BIGINT) AS requested, CAST(sum(least(target, size)) AS BIGINT) AS drawn,
   CAST(sum(greatest(target - size, 0)) AS BIGINT) AS short FROM targets""")
 def m01_shortfall(spark, d):
-    return sample.shortfall(sample.allocate(sample.strata_counts(corpus(spark, d), STRATA), STRATA, N))
+    return sample.shortfall(sample.allocate(sample.strata_counts(corpus(spark, d), STRATA), STRATA, 1500))
 
 
 @query("m02_stratified_sample", f"WITH {sql_targets(CORPUS, N)} {sql_sample(CORPUS, 42)}")
@@ -85,12 +87,16 @@ def m03(spark, d):
     return test.select("doc_id", F.lit("test").alias("split")).unionByName(pool.select("doc_id", F.lit("pool").alias("split")))
 
 
-SPLIT_SQL = f"""
-WITH t0 AS (WITH {sql_targets(CORPUS, N)} {sql_sample(CORPUS, 42)}),
-pool AS (SELECT * FROM {CORPUS} WHERE doc_id NOT IN (SELECT doc_id FROM t0)),
-{", ".join(f"t{s} AS (WITH {sql_targets('pool', s)} {sql_sample('pool', 42 + s)})" for s in TRAIN)},
-splits AS (SELECT 'test' AS split, * FROM t0 {" ".join(f"UNION ALL SELECT 'train_{s}' AS split, * FROM t{s}" for s in TRAIN)})
-"""
+def sql_splits(source: str, n: int, sizes) -> str:
+    """Test set, pool and training sets of a source."""
+    drawn = ", ".join(f"t{k} AS (WITH {sql_targets('pool', k)} {sql_sample('pool', 42 + k)})" for k in sizes)
+    parts = " ".join(f"UNION ALL SELECT 'train_{k}' AS split, * FROM t{k}" for k in sizes)
+    return f"""t0 AS (WITH {sql_targets(source, n)} {sql_sample(source, 42)}),
+pool AS (SELECT * FROM {source} WHERE doc_id NOT IN (SELECT doc_id FROM t0)), {drawn},
+splits AS (SELECT 'test' AS split, * FROM t0 {parts})"""
+
+
+SPLIT_SQL = f"WITH {sql_splits(CORPUS, N, TRAIN)}"
 
 
 def splits(spark, d):
@@ -145,7 +151,16 @@ def a18(spark, d):
     return rounded(sample.split_sizes(splits(spark, d)), "pct")
 
 
-@query("e09_curated_splits")
+CURATED = f"""WITH classed AS MATERIALIZED {cu.sql_classed("(SELECT * FROM " + cu.MASTER + " WHERE text IS NOT NULL)", "doc_id")},
+kept AS MATERIALIZED (SELECT doc_id, {cu.sql_kept()} AS text FROM classed GROUP BY doc_id),
+cleaned AS MATERIALIZED (SELECT m.doc_id, m.path, coalesce(k.text, '') AS text FROM {cu.MASTER} m LEFT JOIN kept k USING (doc_id)),
+corpus AS MATERIALIZED (SELECT path AS doc_id, coalesce(CAST(toxic AS VARCHAR), 'unknown') AS lang, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'unknown' END AS quality, length(text) AS len
+  FROM (SELECT * FROM {cu.sql_staged("cleaned")} WHERE stage IS NULL) s LEFT JOIN (SELECT * FROM labels WHERE quality <> 0) l ON s.doc_id = l.doc_id),
+{sql_splits("corpus", 20, (30, 60))}"""
+
+
+@query("e09_curated_splits", f"""{CURATED}
+SELECT split, doc_id AS path, lang AS component_type, quality AS damage_type, CAST(len AS INTEGER) AS text_length FROM splits""")
 def e09(spark, d):
     curated = _curated(spark, d)
     return curated.splits.select("split", "path", "component_type", "damage_type", "text_length")
@@ -154,11 +169,9 @@ def e09(spark, d):
 @query("e06_dataset_report")
 def e06(spark, d):
     """All report tables in one long table: table name and row as JSON."""
-    from gradewright.plans.curation import dataset_report
-
     parts = [
         df.select(F.lit(name).alias("table_name"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
-        for name, df in dataset_report(_curated(spark, d), _settings()).items()
+        for name, df in curation.dataset_report(_curated(spark, d), _settings()).items()
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -167,17 +180,12 @@ def e06(spark, d):
 
 
 def _settings():
-    from gradewright.catalog import curating as c
-    from gradewright.plans.curation import CurationSettings
-
-    return CurationSettings(
-        path="path", text="text", temporal=c.TEMPORAL, maintenance=c.MAINTENANCE, sentence_end=".",
-        funnel=c.FUNNEL, test_size=20, train_sizes=(30, 60),
+    return curation.CurationSettings(
+        path="path", text="text", temporal=cu.TEMPORAL, maintenance=cu.MAINTENANCE, sentence_end=".",
+        funnel=cu.FUNNEL, test_size=20, train_sizes=(30, 60),
     )
 
 
 def _curated(spark, d):
-    from gradewright.catalog import curating as c
-    from gradewright.plans.curation import curate_corpus
-
-    return curate_corpus(c.master(spark, d).drop("lang", "doc_id"), c.metadata(spark, d), _settings())
+    master = cu.master(spark, d).drop("lang", "doc_id")
+    return curation.curate_corpus(master, cu.metadata(spark, d), _settings())
