@@ -129,7 +129,7 @@ SELECT image_id, CASE WHEN failed IS NULL THEN 'PASS' ELSE 'FAIL' END AS quality
   CASE WHEN no_file THEN 0 ELSE tokens END AS token_count, failed IS NOT NULL AS rule_triggered, FALSE AS llm_used FROM {CASCADE}""")
 def g03(spark, d):
     guarded = guard.rule_guard(inference(spark, d), "prediction", CLASSIC, image_manifest(spark, d))
-    return guarded.select("image_id", *plans.SCORED_22[7:9], "token_count", "rule_triggered", "llm_used")
+    return guarded.select("image_id", "quality_verdict", "reason_code", "token_count", "rule_triggered", "llm_used")
 
 
 # With the block test, which SQL cannot express.

@@ -171,6 +171,17 @@ STRUCTURE_VALUES = {
     "location": ("girder", "deck", "bearing", "pier", "railing", "unknown"),
     "risk_factor": ("structural", "durability", "aesthetic", "unknown"),
 }
+VERDICT_PATTERN = r"VERDICT\s*:\s*(PASS|FAIL)"
+REASON_PATTERN = r"REASON_CODE\s*:\s*(.{5,80})"
+FLAT_BLOCK = r"\{[^{}]+\}"
+# Where a JSON object may sit in an answer, best place first, with its group.
+JSON_PLACES = (
+    (r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}", 0),
+    (r"(?sU)```json\s*(\{.*?\})\s*```", 1),
+    (r"(?sU)```\s*(\{.*?\})\s*```", 1),
+    (r"(?s)(\{.*\})", 1),
+)
+REQUIRED_FIELDS = ("damage_type", "severity", "location", "risk")
 JUDGE_TEXT_LENGTH = 800
 STRUCTURER_TEXT_LENGTH = 600
 
@@ -266,3 +277,17 @@ DAMAGE_TYPE_WORDS = {
     "劣化": "Deterioration",
 }
 TOP_LABELS = 8
+
+# --- columns of graded tables ------------------------------------------------
+SCORED_14 = (
+    "image_id", "image_path", "assistant_text", "token_count", "cosine_similarity",
+    "quality_verdict", "reason_code", "damage_type", "severity_level", "location",
+    "risk_factor", "priority_score", "priority_level", "priority_description",
+)
+SCORED_22 = (
+    "image_id", "image_path", "prediction", "ground_truth", "cosine_similarity",
+    "assistant_text", "token_count", "quality_verdict", "reason_code", "rule_triggered",
+    "llm_used", "guard_elapsed_sec", "damage_type", "severity_level", "location",
+    "risk_factor", "priority_score", "priority_level", "priority_description",
+    "raw_damage_score", "raw_severity_score", "raw_location_score",
+)

@@ -10,22 +10,10 @@ from gradewright.functions.text import col, strip
 
 STRICT_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
-FLAT_BLOCK = r"\{[^{}]+\}"
-
-# Where a JSON object may sit in an answer, in order of preference.
-JSON_PLACES = (
-    (r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}", 0),
-    (r"(?sU)```json\s*(\{.*?\})\s*```", 1),
-    (r"(?sU)```\s*(\{.*?\})\s*```", 1),
-    (r"(?s)(\{.*\})", 1),
-)
-
-REQUIRED_FIELDS = ("damage_type", "severity", "location", "risk")
-
 
 def tagged_verdict(answer: Column | str) -> Column:
     """PASS only where the answer says `VERDICT: PASS`, else FAIL."""
-    word = F.regexp_extract(col(answer), r"(?iuU)VERDICT\s*:\s*(PASS|FAIL)", 1)
+    word = F.regexp_extract(col(answer), f"(?iuU){fv.VERDICT_PATTERN}", 1)
     return F.when(F.upper(word) == "PASS", "PASS").otherwise("FAIL")
 
 
@@ -33,7 +21,7 @@ def tagged_reason(answer: Column | str, high_quality: str = fv.REASON_HIGH_QUALI
                   unspecified: str = fv.REASON_UNSPECIFIED) -> Column:
     """5 to 80 characters after `REASON_CODE:`, else a default by verdict."""
     answer = col(answer)
-    found = F.regexp_extract(answer, r"(?iudU)REASON_CODE\s*:\s*(.{5,80})", 1)
+    found = F.regexp_extract(answer, f"(?iudU){fv.REASON_PATTERN}", 1)
     default = F.when(tagged_verdict(answer) == "PASS", high_quality).otherwise(unspecified)
     return F.when(found != "", strip(found)).otherwise(default)
 
@@ -45,7 +33,7 @@ def flat_structure(answer: Column | str, values: dict[str, tuple[str, ...]] | No
     values = values or fv.STRUCTURE_VALUES
     defaults = defaults or fv.STRUCTURE_DEFAULTS
     schema = ", ".join(f"{field} string" for field in defaults)
-    block = F.regexp_extract(col(answer), FLAT_BLOCK, 0)
+    block = F.regexp_extract(col(answer), fv.FLAT_BLOCK, 0)
     parsed = F.from_json(block, schema, STRICT_JSON)
     return F.struct(
         *[
@@ -68,9 +56,9 @@ def json_structure(answer: Column | str) -> Column:
 
     def complete(text: Column) -> Column:
         keys = F.map_keys(F.from_json(text, "map<string,string>", STRICT_JSON))
-        return F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED_FIELDS)))) == 4, F.lit(False))
+        return F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, fv.REQUIRED_FIELDS)))) == 4, F.lit(False))
 
-    best = F.coalesce(*[F.get(F.filter(json_candidates(answer, p, g), complete), F.lit(0)) for p, g in JSON_PLACES])
+    best = F.coalesce(*[F.get(F.filter(json_candidates(answer, p, g), complete), F.lit(0)) for p, g in fv.JSON_PLACES])
     parsed = F.transform(
         F.array_compact(F.array(best)),
         lambda text: F.struct(
@@ -81,7 +69,7 @@ def json_structure(answer: Column | str) -> Column:
 
     def finish(p: Column) -> Column:
         return F.struct(
-            *[p["fields"][f].alias(f) for f in REQUIRED_FIELDS],
+            *[p["fields"][f].alias(f) for f in fv.REQUIRED_FIELDS],
             F.coalesce(p["fields"]["description_ja"], F.lit("")).alias("description_ja"),
             F.coalesce(p["features"], F.array().cast("array<string>")).alias("key_features"),
             F.coalesce(p["fields"]["confidence"], F.lit(fv.ANSWER_CONFIDENCE)).alias("confidence"),

@@ -146,12 +146,22 @@ def funnel_table(counts: DataFrame) -> DataFrame:
     ).drop("initial_count")
 
 
-def funnel(df: DataFrame, path: str = fv.PATH_COLUMN, text: str = fv.TEXT_COLUMN, **options) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass all stages, with `text_length`, and the counts."""
+def stage_rows(df: DataFrame, path: str = fv.PATH_COLUMN, text: str = fv.TEXT_COLUMN, **options) -> DataFrame:
+    """All rows with `funnel_stage`."""
     require_columns(df, path, text)
-    staged = settle(df, funnel_stage=funnel_stage(path, text, **options))
+    return settle(df, funnel_stage=funnel_stage(path, text, **options))
+
+
+def passed_rows(staged: DataFrame, text: str = fv.TEXT_COLUMN) -> DataFrame:
+    """Rows no stage removes, with `text_length`."""
     kept = staged.where(F.col("funnel_stage").isNull()).drop("funnel_stage")
-    return kept.withColumn("text_length", F.length(text)), funnel_counts(staged)
+    return kept.withColumn("text_length", F.length(text))
+
+
+def funnel(df: DataFrame, path: str = fv.PATH_COLUMN, text: str = fv.TEXT_COLUMN, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass all stages, and the counts."""
+    staged = stage_rows(df, path, text, **options)
+    return passed_rows(staged, text), funnel_counts(staged)
 
 
 # --- metadata ----------------------------------------------------------------

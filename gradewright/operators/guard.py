@@ -139,7 +139,7 @@ def apply_answers(guarded: DataFrame, answers: DataFrame, key: str, values=None,
     joined = settle(joined, _judged=judged, _verdict=F.when(judged, an.tagged_verdict("judge_answer")))
     passed = F.col("_verdict") == "PASS"
     structure = F.coalesce("structure_answer", F.lit(""))
-    block = F.regexp_extract(structure, an.FLAT_BLOCK, 0)
+    block = F.regexp_extract(structure, fv.FLAT_BLOCK, 0)
     readable = F.from_json(block, "map<string,string>", an.STRICT_JSON).isNotNull() & (block != "")
     joined = settle(
         joined,

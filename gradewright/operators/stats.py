@@ -30,12 +30,11 @@ def share(part: Column, whole: Column) -> Column:
 def count_by(df: DataFrame, *by: str) -> DataFrame:
     """Rows per value and their percentage of all rows.
 
-    The total is the sum of the counts, joined as a single row, so neither the
-    rows nor the counts go through one task.
+    The total is the sum of the counts as a scalar subquery, so neither the rows
+    nor the counts are gathered in one task.
     """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return join_groups(counts, total, ()).withColumn("pct", share(F.col("n"), F.col("_total"))).drop("_total")
+    return counts.withColumn("pct", share(F.col("n"), counts.agg(F.sum("n")).scalar()))
 
 
 def count_listed(df: DataFrame, value: Column | str, listed: Sequence, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -306,9 +305,11 @@ def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[st
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join two per-group results; a NULL group matches itself."""
+    """Join two per-group results; a NULL group matches itself. Without groups the
+    right one is a single row and becomes a scalar subquery."""
     if not by:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        row = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumn("_row", row).select("*", "_row.*").drop("_row")
     renamed = right.select(*[F.col(c).alias(f"_{c}") if c in by else F.col(c) for c in right.columns])
     match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
     return left.join(renamed, match, "left").drop(*[f"_{c}" for c in by])

@@ -40,19 +40,21 @@ def curate_corpus(master: DataFrame, metadata: DataFrame | None = None,
                   settings: CurationSettings = CurationSettings()) -> Curated:
     """Denoise, filter, add metadata, hold out a test set, draw the train sets.
 
-    The path is the key of a row. The filtered corpus with metadata is written out
-    once; counting and drawing then read that table, the counts only its key and
-    strata, so neither the sentence work nor the join is repeated.
+    The path is the key of a row. The denoised and staged rows are written out once;
+    the noise and funnel counts read their few columns from there, and nothing
+    repeats the sentence work. The rows with metadata are written out too, so the
+    passes of the sampler do not repeat the join.
     """
     s = settings
     curate.require_columns(master, s.path, s.text)
-    df, noise = master, None
-    if s.denoise:
-        df = curate.denoise(df, s.text, s.temporal, s.maintenance, s.sentence_end)
-        noise = curate.denoise_totals(df)
-        df = df.drop("noise")
-    kept, counts = curate.funnel(df, s.path, s.text, **s.funnel)
-    corpus = cut_lineage(curate.merge_metadata(kept, metadata, s.path))
+    df = curate.denoise(master, s.text, s.temporal, s.maintenance, s.sentence_end) if s.denoise else master
+    staged = cut_lineage(curate.stage_rows(df, s.path, s.text, **s.funnel))
+    noise = curate.denoise_totals(staged) if s.denoise else None
+    counts = curate.funnel_counts(staged)
+    kept = curate.passed_rows(staged.drop("noise"), s.text)
+    corpus = curate.merge_metadata(kept, metadata, s.path)
+    if metadata is not None:
+        corpus = cut_lineage(corpus)
     test, pool = sample.hold_out(corpus, s.test_size, STRATA, s.path, s.seed)
     trains = sample.training_sets(pool, s.train_sizes, STRATA, s.path, s.seed)
     named = trains.withColumn("split", F.concat(F.lit("train_"), F.col("train_size").cast("string"))).drop("train_size")

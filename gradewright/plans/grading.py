@@ -12,18 +12,6 @@ from gradewright.operators import guard, score, structure
 from gradewright.operators.curate import require_columns
 from gradewright.session import settle
 
-SCORED_14 = (
-    "image_id", "image_path", "assistant_text", "token_count", "cosine_similarity",
-    "quality_verdict", "reason_code", "damage_type", "severity_level", "location",
-    "risk_factor", "priority_score", "priority_level", "priority_description",
-)
-SCORED_22 = (
-    "image_id", "image_path", "prediction", "ground_truth", "cosine_similarity",
-    "assistant_text", "token_count", "quality_verdict", "reason_code", "rule_triggered",
-    "llm_used", "guard_elapsed_sec", "damage_type", "severity_level", "location",
-    "risk_factor", "priority_score", "priority_level", "priority_description",
-    "raw_damage_score", "raw_severity_score", "raw_location_score",
-)
 STRUCTURE_COLUMNS = ("damage_type", "severity_level", "location", "risk_factor")
 
 
@@ -41,7 +29,7 @@ def grade_by_keywords(inference: DataFrame, guard_options: dict | None = None, s
     passed = F.col("quality_verdict") == "PASS"
     df = df.withColumns({c: F.when(passed, F.col(c)) for c in STRUCTURE_COLUMNS})
     df = score.score_guarded(df, rules, components=False, no_score=fv.NO_SCORE)
-    return df.select(*SCORED_14)
+    return df.select(*fv.SCORED_14)
 
 
 def grade_with_answers(inference: DataFrame, answers: DataFrame | None = None, manifest: DataFrame | None = None,
@@ -61,7 +49,7 @@ def grade_with_answers(inference: DataFrame, answers: DataFrame | None = None, m
     df = score.score_guarded(df, rules, components=True)
     df = df.withColumn("guard_elapsed_sec", F.lit(None).cast("double"))
     extra = ["fallback_used"] if answers is not None else []
-    return df.select(*SCORED_22, *extra)
+    return df.select(*fv.SCORED_22, *extra)
 
 
 def flat_report(results: DataFrame, limit: int = 200) -> DataFrame:

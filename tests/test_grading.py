@@ -188,12 +188,12 @@ def test_whole_runs(spark):
     texts = ["ASSISTANT: " + LONG[:90], "ERROR: none", "ASSISTANT: " + LONG]
     df = predictions(spark, texts)
     out = grading.grade_by_keywords(df)
-    assert tuple(out.columns) == grading.SCORED_14
+    assert tuple(out.columns) == fv.SCORED_14
     got = by_id(out, "quality_verdict", "damage_type", "priority_level", "priority_description", "priority_score")
     assert got["1"] == ("FAIL", None, 0, fv.NO_SCORE, None)
     assert got["0"][:2] == ("PASS", "rebar_exposure") and got["0"][4] > 0.8
     rule_only = grading.grade_with_answers(df)
-    assert tuple(rule_only.columns) == grading.SCORED_22
+    assert tuple(rule_only.columns) == fv.SCORED_22
     got = by_id(rule_only, "quality_verdict", "priority_score", "priority_level", "priority_description")
     assert got["2"] == ("PASS", None, 0, fv.RULE_ONLY_SCORE)
     assert got["1"] == ("FAIL", None, 0, fv.NO_SCORE_CLASSIC)
