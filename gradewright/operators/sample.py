@@ -103,7 +103,7 @@ def range_counts(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
     return cut_lineage(rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("size")))
 
 
-def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str]) -> DataFrame:
+def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str], n_strata: int) -> DataFrame:
     """Rows whose hash may be among the lowest of their stratum: below the share
     asked for and ten standard deviations more."""
     wanted = F.col("target") + 10 * F.sqrt("target") + 100
@@ -112,24 +112,25 @@ def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str]) -> D
     # 'g' is above every hash.
     bound = F.when(wanted >= F.col("size"), "g").otherwise(text)
     bounds = targets.where(F.col("target") > 0).select(*strata, bound.alias("_bound"))
-    few = if_small(bounds, targets.count())
-    return _null_safe(rows, few, strata).where(F.col("_hash") < F.col("_bound")).drop("_bound")
+    return _null_safe(rows, if_small(bounds, n_strata), strata).where(F.col("_hash") < F.col("_bound")).drop("_bound")
 
 
 def take(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str) -> DataFrame:
     """The `target` rows of lowest hash per stratum, all if there are fewer. `rows`
     carries `_hash`; `targets` has target and size per stratum, and is a table."""
-    kept = with_range(cut_lineage(below_bound(rows, targets, strata)))
+    n_strata = targets.count()
+    kept = with_range(cut_lineage(below_bound(rows, targets, strata, n_strata)))
     counts = range_counts(kept, strata)
-    needed = targets.select(*strata, F.least("target", "size").alias("target")).where(F.col("target") > 0)
-    found = _null_safe(needed, _sizes(counts, strata), strata).where(F.col("size") >= F.col("target"))
-    if found.count() < needed.count():
+    needed = targets.select(*strata, F.least("target", "size").alias("target"), F.lit(0).alias("size"))
+    found = counts.select(*strata, F.lit(0).alias("target"), "size")
+    both = needed.unionByName(found).groupBy(*strata).agg(F.sum("target").alias("target"), F.sum("size").alias("size"))
+    if not both.where(F.col("size") < F.col("target")).isEmpty():
         kept = with_range(rows)
         counts = range_counts(kept, strata)
-    return draw(kept, targets, strata, key, counts)
+    return draw(kept, targets, strata, key, counts, n_strata)
 
 
-def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, counts: DataFrame) -> DataFrame:
+def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, counts: DataFrame, n_strata: int) -> DataFrame:
     """The `target` rows of lowest hash per stratum. `rows` carries `_hash` and
     `_range`; `counts` holds its rows per stratum and `_range`."""
     through = F.sum("size").over(W.Window.partitionBy(*strata).orderBy("_range"))
@@ -140,7 +141,7 @@ def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, c
         .groupBy(*strata)
         .agg(F.max("_range").alias("_last"), F.max("_before").alias("_before"), F.max("target").alias("_target"))
     )
-    chosen = _null_safe(rows, if_small(cuts, targets.count()), strata).where(F.col("_range") <= F.col("_last"))
+    chosen = _null_safe(rows, if_small(cuts, n_strata), strata).where(F.col("_range") <= F.col("_last"))
     place = F.row_number().over(W.Window.partitionBy(*strata, "_range").orderBy("_hash", key))
     chosen = chosen.withColumn("_place", place).where(
         (F.col("_range") < F.col("_last")) | (F.col("_place") <= F.col("_target") - F.col("_before"))
@@ -148,10 +149,6 @@ def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, c
     return chosen.drop("_last", "_target", "_before", "_place", "_hash", "_range")
 
 
-def _sizes(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*strata).agg(F.sum("size").alias("size"))
-
-
 def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> DataFrame:
     """n rows with the strata in proportion. A stratum smaller than its target
     gives all its rows, so the result may be short; see `shortfall`."""

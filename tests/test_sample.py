@@ -127,7 +127,7 @@ def test_random_split_takes_the_lowest_hashes(spark):
 
 
 def test_too_low_a_bound_takes_all_rows_on(spark, monkeypatch):
-    monkeypatch.setattr(sample, "below_bound", lambda rows, targets, strata: rows.where("substring(_hash, 1, 1) < '1'"))
+    monkeypatch.setattr(sample, "below_bound", lambda rows, *rest: rows.where("substring(_hash, 1, 1) < '1'"))
     got = {r["id"] for r in sample.stratified_sample(spark.range(2000).withColumn("s", F.lit("all")), 777, ["s"], "id").collect()}
     order = sorted(range(2000), key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
     assert got == set(order[:777])
@@ -136,4 +136,4 @@ def test_too_low_a_bound_takes_all_rows_on(spark, monkeypatch):
 def test_bound_keeps_little_more_than_the_target(spark):
     df = sample.with_hash(spark.range(100_000).withColumn("s", F.lit("all")), "id", 1)
     targets = spark.createDataFrame([("all", 100_000, 2000)], "s string, size bigint, target bigint")
-    assert 2000 <= sample.below_bound(df, targets, ["s"]).count() < 3200
+    assert 2000 <= sample.below_bound(df, targets, ["s"], 1).count() < 3200
