@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradewright.llm import licenses, quality
+from gradewright.llm import licenses, packing, pieces, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +106,33 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op3_sentence_pieces")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a vocabulary's merges. Tested against the library on whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op7_dynamic_packing")
+def dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a tokenizer and a dynamic program. Tested against all cuts tried."""
+    made = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op9_simhash_classes")
+def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: XXH64. Tested against all pairs compared."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", "fingerprint", "component_id")
