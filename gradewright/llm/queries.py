@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import licenses, packing, pieces, quality, simhash
+from gradewright.llm import licenses, packing, pieces, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,26 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: XXH64. Tested against all pairs compared."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op5_histogram_shards")
+def histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: splitters by rounds of counting. Tested against the stated law."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, 40).select(
+        "doc_id",
+        sharding.size_of("text").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a trained classifier. Tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judge(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
