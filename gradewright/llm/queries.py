@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import licenses, packing, pieces, quality, sharding, simhash, toxicity
+from gradewright.llm import licenses, packing, pages, pieces, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,11 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.judge(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op8_page_templates")
+def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: parsing of markup. Tested against pages whose article is known."""
+    made = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    made = made.select("page_id", "url", F.inline(F.array(F.struct(F.col("main_text").alias("text")))))
+    return made.withColumn("n_chars", F.char_length("text").cast("long"))
