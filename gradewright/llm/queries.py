@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import licenses, packing, pages, pieces, quality, sharding, simhash, toxicity
+from gradewright.llm import licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +167,27 @@ def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     made = made.select("page_id", "url", F.inline(F.array(F.struct(F.col("main_text").alias("text")))))
     return made.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op4_surrogates")
+def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: keyed hashes with collision rounds. Tested by its properties."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = surrogates.replace(docs)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
+@query("op1_kd_tree_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""")
+def kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))

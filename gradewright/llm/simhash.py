@@ -200,5 +200,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found, _, root = labelled(held, "key", "text")
     found = cut_lineage(found.select("row", "row_number", F.struct(col("key").isNull().alias("none"), "key", "row_number").alias("place"), root))
     # A missing key is last; equal keys by place in the written table.
-    first = cut_lineage(found.groupBy(root).agg(F.min("place").alias("first")).select(col("first.row_number").alias("row_number")))
+    first = cut_lineage(found.groupBy(root).agg(F.min("place").alias("first")).select(F.col("first.row_number").alias("row_number")))
     return found.join(first, "row_number", "left_semi").select("row.*")
