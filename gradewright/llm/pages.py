@@ -262,8 +262,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     Repeated rows are treated alike. An input column `main_text` gives way.
     """
     docs = without(pages, "main_text")
-    host, name = free_names(docs, "_host", "_of")
-    template = cut_lineage(templates(docs, url, html).withColumnRenamed("host", name))
+    host, name, slot, word = free_names(docs, "_host", "_of", "_slots", "_words")
+    template = cut_lineage(templates(docs, url, html).toDF(name, slot, word))
 
     @F.arrow_udf("string")
     def run(htmls: pa.Array, slots: pa.Array, words: pa.Array) -> pa.Array:
@@ -271,4 +271,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     # The table's size on disk decides whether it is broadcast.
     joined = docs.withColumn(host, host_of(url)).join(template, col(host) == col(name), "left")
-    return joined.select(*[col(c) for c in docs.columns], run(F.coalesce(col(html), F.lit("")), "slots", "words").alias("main_text"))
+    return joined.select(*[col(c) for c in docs.columns], run(F.coalesce(col(html), F.lit("")), col(slot), col(word)).alias("main_text"))

@@ -271,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         made = (read(t.as_py()) for t in texts)
         return pa.array([m.astype("<i4").tobytes() if len(m) <= TRAIN_WORDS else None for m in made], pa.binary())
 
-    rows = docs.join(picked, docs[key] == col("k")).select("k", "y", F.coalesce(docs[text], F.lit("")).alias("text"))
+    held = docs.select(col(key).alias("of"), F.coalesce(col(text), F.lit("")).alias("text"))
+    rows = held.join(picked, col("of") == col("k")).select("k", "y", "text")
     rows = rows.groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "y", words("text").alias("w")).where("w is not null")
     seen = {}
     for r in sorted(rows.collect(), key=lambda r: str(r["k"])):
