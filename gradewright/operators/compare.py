@@ -19,9 +19,8 @@ def in_order(*order: Column | str) -> W.WindowSpec:
     return W.Window.partitionBy().orderBy(*order)
 
 
-def stage_summary(samples: DataFrame, value: str = "cosine_similarity", stage: str = "stage",
-                  held_values: int = stats.HELD_VALUES) -> DataFrame:
-    return stats.summary(samples, value, [stage], held_values)
+def stage_summary(samples: DataFrame, value: str = "cosine_similarity", stage: str = "stage") -> DataFrame:
+    return stats.summary(samples, value, [stage])
 
 
 def direction(step: Column) -> Column:
@@ -105,11 +104,10 @@ def metric_table(summary: DataFrame, stages: Sequence, stage: str = "stage",
 
 
 def progress_report(samples: DataFrame, value: str = "cosine_similarity", stage: str = "stage",
-                    tiers: Sequence[tuple[str, float]] = fv.TIERS, cost: Mapping[str, float] = fv.STAGE_HOURS,
-                    held_values: int = stats.HELD_VALUES) -> dict[str, DataFrame]:
+                    tiers: Sequence[tuple[str, float]] = fv.TIERS, cost: Mapping[str, float] = fv.STAGE_HOURS) -> dict[str, DataFrame]:
     """All tables of a progress report by name."""
     # A row per stage; written out, since every table below starts from it.
-    summary = cut_lineage(stage_summary(samples, value, stage, held_values))
+    summary = cut_lineage(stage_summary(samples, value, stage))
     distribution = cut_lineage(stats.tier_distribution(samples, value, [stage], tiers))
     top = distribution.where(F.col("tier") == tiers[0][0])
     return {

@@ -53,18 +53,17 @@ def evaluate(pairs: DataFrame, key: str, truth_vector: str = "truth_vector", pre
     return pair_metrics(pairs, truth_vector, prediction_vector).select(*by, key, *vec.METRICS, *lengths)
 
 
-def overall_metrics(samples: DataFrame, by: Sequence[str] = (), held_values: int = stats.HELD_VALUES) -> DataFrame:
+def overall_metrics(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One wide row per group: the statistics of each metric."""
-    found = stats.summaries(samples, {f"{m}_": m for m in OVERALL}, by, held_values)
+    found = stats.summaries(samples, {f"{m}_": m for m in OVERALL}, by)
     kept = [f"{m}_{s}" for m, names in OVERALL.items() for s in names]
     return found.select(*by, F.col("cosine_similarity_n").alias("n"), *kept)
 
 
-def evaluation_json(samples: DataFrame, tiers: Sequence[tuple[str, float]] = fv.TIERS, model_name: str = "",
-                    held_values: int = stats.HELD_VALUES) -> DataFrame:
+def evaluation_json(samples: DataFrame, tiers: Sequence[tuple[str, float]] = fv.TIERS, model_name: str = "") -> DataFrame:
     """The overall result as one JSON text: metadata, overall metrics and tiers.
     Per-sample rows stay a table of their own."""
-    overall = overall_metrics(samples, (), held_values)
+    overall = overall_metrics(samples, ())
     grouped = overall.select(
         F.col("n"),
         F.struct(

@@ -7,17 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from gradewright import fixed_values as fv
 from gradewright.functions.grades import is_number, tier, tier_names
 from gradewright.functions.text import col
-from gradewright.session import if_small
-
-# Distinct values `percentile` may hold in one task's memory.
-HELD_VALUES = 2_000_000
-NARROWING = 4096
+from gradewright.session import cut_lineage
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -135,11 +130,18 @@ def level_distribution(df: DataFrame, level: Column | str = "priority_level", by
 
 def histogram(df: DataFrame, value: Column | str, width: int = 10, top: int = 200) -> DataFrame:
     """Counts in bins [lo, lo + width) from 0 to top; the last bin is closed.
-    Values outside are not counted."""
+
+    Every row also has `below` and `above`, the numbers of values outside.
+    """
     value = col(value)
     bins = list(range(0, top, width))
-    lo = F.when(value == top, bins[-1]).otherwise(F.floor(value / width) * width)
-    return count_listed(df, lo.cast("int"), bins, "bin", ()).select("bin", "n")
+    lo = F.when(value == top, bins[-1]).otherwise(F.floor(value / width) * width).cast("int")
+    wide = df.agg(
+        F.count_if(value < 0).alias("below"), F.count_if(value > top).alias("above"),
+        *[F.count_if(lo == b).alias(f"_{b}") for b in bins],
+    )
+    cells = F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"_{b}").alias("n")) for b in bins])
+    return wide.select(F.inline(cells), "below", "above")
 
 
 # --- exact percentiles -------------------------------------------------------
@@ -159,110 +161,61 @@ def spread(array: str, names: Sequence[str]) -> list[Column]:
     return [F.col(array)[i].alias(n) for i, n in enumerate(names)]
 
 
-def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str, float],
-                by: Sequence[str] = (), held_values: int = HELD_VALUES) -> DataFrame:
-    """Exact percentiles per group, for values of any range and groups of any size.
-
-    Groups of at most `held_values` numbers use `percentile`. For a larger group
-    each needed rank is narrowed down: count the values in 4096 slices of an
-    interval, keep the slice holding the rank, repeat. Only slice counts are
-    shuffled. There are at most rows / held_values large groups.
-    """
-    rows = df.select(*by, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    large = large_groups(rows, ["_v"], by, held_values)
-    if not large:
-        return _held(rows, probabilities, by)
-    narrowed = _narrowed(rows, large, probabilities, by)
-    if not by:
-        return narrowed
-    keys = narrowed.select(_group_key(by).alias("_key"))
-    rest = rows.withColumn("_key", _group_key(by)).join(if_small(keys, len(large)), "_key", "left_anti")
-    return _held(rest, probabilities, by).unionByName(narrowed)
-
-
 def number(value: Column | str) -> Column:
     """The value as a double, NULL for NaN."""
     value = col(value).cast("double")
     return F.when(is_number(value), value)
 
 
-def large_groups(rows: DataFrame, columns: Sequence[str], by: Sequence[str], held_values: int) -> list[dict]:
-    """Count and range of each group with more numbers than one task may hold."""
-    aggs = [f(c).alias(n + c) for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    spans = rows.groupBy(*by).agg(*aggs)
-    too_many = reduce(lambda a, b: a | b, [F.col(f"n{c}") > held_values for c in columns])
-    return [r.asDict() for r in spans.where(too_many).collect()]
-
-
-def _held(rows: DataFrame, probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    found = rows.groupBy(*by).agg(quantiles(F.col("_v"), probabilities).alias("_q"))
-    return found.select(*by, *spread("_q", list(probabilities)))
-
-
-def _narrowed(rows: DataFrame, spans: list[dict], probabilities: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    """Percentiles of the listed groups of the column _v."""
-    found: dict[tuple, float] = {}
-    open_ranks: dict[tuple, dict] = {}
-    places = {}
-    for s in spans:
-        key = tuple(s[c] for c in by)
-        for name, p in probabilities.items():
-            at = p * (s["n_v"] - 1)
-            low, high = int(at), min(int(at) + 1, s["n_v"] - 1)
-            places[key, name] = (low, high, at - low)
-            for rank in (low, high):
-                open_ranks[(*key, rank)] = {"lo": s["lo_v"], "hi": s["hi_v"], "below": 0}
-    while open_ranks:
-        settled = {t: s["lo"] for t, s in open_ranks.items() if s["lo"] == s["hi"]}
-        found |= settled
-        open_ranks = {t: s for t, s in open_ranks.items() if t not in settled}
-        if open_ranks:
-            _narrow(rows, by, open_ranks)
-    out = []
-    for s in spans:
-        key = tuple(s[c] for c in by)
-        ends = [(found[(*key, low)], found[(*key, high)], part) for low, high, part in (places[key, n] for n in probabilities)]
-        out.append((*key, *[a + (b - a) * part for a, b, part in ends]))
-    fields = [rows.schema[c] for c in by] + [T.StructField(n, T.DoubleType()) for n in probabilities]
-    return rows.sparkSession.createDataFrame(out, T.StructType(fields))
-
-
-def _narrow(rows: DataFrame, by: Sequence[str], open_ranks: dict[tuple, dict]) -> None:
-    """One pass over the rows: shrink every open interval to the slice that holds
-    its rank. The intervals are few (groups x ranks), so they are broadcast."""
-    spark = rows.sparkSession
-    fields = [rows.schema[c] for c in by] + [
-        T.StructField("_rank", T.LongType()),
-        T.StructField("_lo", T.DoubleType()),
-        T.StructField("_hi", T.DoubleType()),
-        T.StructField("_below", T.LongType()),
-    ]
-    spans = spark.createDataFrame(
-        [(*target, s["lo"], s["hi"], s["below"]) for target, s in open_ranks.items()], T.StructType(fields)
-    ).groupBy(*by).agg(F.collect_list(F.struct("_rank", "_lo", "_hi", "_below")).alias("_spans"))
-    keyed = rows.withColumn("_key", _group_key(by))
-    spans = spans.select(_group_key(by).alias("_key"), "_spans")
-    inside = (
-        keyed.join(F.broadcast(spans), "_key")
-        .select(*by, "_v", F.explode("_spans").alias("s"))
-        .where(F.col("_v").between(F.col("s._lo"), F.col("s._hi")))
-    )
-    slice_no = F.floor((F.col("_v") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo")) * NARROWING)
-    slices = inside.groupBy(*by, "s._rank", "s._below", slice_no.alias("_slice")).agg(
-        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
-    )
-    order = W.Window.partitionBy(*by, "_rank").orderBy("_slice")
-    before = F.sum("_n").over(order) - F.col("_n") + F.col("_below")
-    hits = slices.withColumn("_before", before).where(
-        (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    )
-    for r in hits.collect():
-        open_ranks[(*[r[c] for c in by], r["_rank"])] = {"lo": r["_min"], "hi": r["_max"], "below": r["_before"]}
-
-
-def _group_key(by: Sequence[str]) -> Column:
-    """One text per group, NULL kept apart from every value."""
-    return F.to_json(F.struct(F.lit(0).alias("k"), *by), {"ignoreNullFields": "false"})
+def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str, float],
+                by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles with linear interpolation, per group, for values of any
+    range and groups of any size. Infinite values take part; a group without
+    numbers has no row."""
+    rows = df.select(*by, number(value).alias("_0"))
+    found = _ranked(rows, ["_0"], list(probabilities.values()), by)
+    return found.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probabilities)])
+
+
+def _ranked(rows: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Percentiles of several columns: the group, `_i` (place of the column) and `_q`
+    (array, one number per point).
+
+    Two shuffles, whatever the values: equal numbers of a group are counted with
+    map-side combining, the counts are range-partitioned by group and number and
+    written. Running sums inside each partition, after the totals of the partitions
+    before it, tell which number holds a rank. No task holds a group.
+    """
+    key = F.to_json(F.struct(F.lit(0).alias("k"), *by), {"ignoreNullFields": "false"})
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).alias("_v")) for i, c in enumerate(columns)])).alias("_c")
+    counts = rows.select(*by, cells).select(*by, "_c.*").where("_v is not null").groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut_lineage(
+        counts.withColumn("_key", key).repartitionByRange("_key", "_i", "_v").withColumn("_part", F.spark_partition_id()))
+    # A row per partition and group that meets it: partitions plus groups at most.
+    totals = placed.groupBy("_key", "_i", "_part").agg(F.sum("_n").alias("_n"))
+    group = W.Window.partitionBy("_key", "_i")
+    totals = totals.select(
+        "_key", "_i", "_part", (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(group).alias("_all"))
+    order = W.Window.partitionBy("_key", "_i", "_part").orderBy("_v")
+    summed = placed.withColumn("_to", F.sum("_n").over(order)).join(totals, ["_key", "_i", "_part"])
+    to, start = F.col("_start") + F.col("_to"), F.col("_start") + F.col("_to") - F.col("_n")
+    ends = []
+    for j, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("_all") - 1)
+        for name, rank in (("a", low), ("b", high)):
+            ends.append(F.when((start <= rank) & (rank < to), F.col("_v")).alias(f"_{name}{j}"))
+        ends.append((at - low).alias(f"_t{j}"))
+    held = [f"_{n}{j}" for j in range(len(points)) for n in "ab"]
+    hits = summed.select(*by, "_key", "_i", *ends).where(F.coalesce(*held).isNotNull())
+    met = hits.groupBy("_key", *by, "_i").agg(*[F.max(c).alias(c) for c in held], *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(points))])
+
+    def between(j: int) -> Column:
+        a, b, t = F.col(f"_a{j}"), F.col(f"_b{j}"), F.col(f"_t{j}")
+        return F.when((t == 0) | (a == b), a).otherwise(a * (1 - t) + b * t)
+
+    return met.select(*by, "_i", F.array(*[between(j) for j in range(len(points))]).alias("_q"))
 
 
 # --- summaries ---------------------------------------------------------------
@@ -271,19 +224,19 @@ STATISTICS = ("n", "mean", "std", "median", "min", "max", "q25", "q75", "invalid
 QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
-def summary(df: DataFrame, value: Column | str, by: Sequence[str] = (), held_values: int = HELD_VALUES) -> DataFrame:
+def summary(df: DataFrame, value: Column | str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, population std, median, min, max, quartiles and the number of
     rows without a number, per group."""
-    return summaries(df, {"": value}, by, held_values)
+    return summaries(df, {"": value}, by)
+
 
+def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
+    """The statistics of several values side by side, each under its prefix.
 
-def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str] = (),
-              held_values: int = HELD_VALUES) -> DataFrame:
-    """The statistics of several values side by side, each under its prefix. All
-    values share one pass for their spans and one for the statistics."""
+    The groups and numbers are written once, so the input is evaluated once.
+    """
     columns = {f"_{i}": prefix for i, prefix in enumerate(values)}
-    rows = df.select(*by, *[number(v).alias(c) for c, v in zip(columns, values.values())])
-    held = not large_groups(rows, list(columns), by, held_values)
+    rows = cut_lineage(df.select(*by, *[number(v).alias(c) for c, v in zip(columns, values.values())]))
     aggs = []
     for c, prefix in columns.items():
         v = F.col(c)
@@ -292,15 +245,12 @@ def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[st
             "invalid": F.count_if(v.isNull()),
         }
         aggs += [made.alias(prefix + n) for n, made in found.items()]
-        if held:
-            aggs.append(quantiles(v, QUARTILES).alias(f"_q{c}"))
-    out = rows.groupBy(*by).agg(*aggs)
-    for c, prefix in columns.items():
-        names = [prefix + n for n in QUARTILES]
-        if held:
-            out = out.select("*", *spread(f"_q{c}", names))
-        else:
-            out = join_groups(out, percentiles(rows, c, dict(zip(names, QUARTILES.values())), by, held_values), by)
+    ranked = _ranked(rows, list(columns), list(QUARTILES.values()), by)
+    wide = ranked.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_i") == i, F.col("_q")[j])).alias(prefix + name)
+        for i, prefix in enumerate(values) for j, name in enumerate(QUARTILES)
+    ])
+    out = join_groups(rows.groupBy(*by).agg(*aggs), wide, by)
     return out.select(*by, *[prefix + n for prefix in values for n in STATISTICS])
 
 
@@ -364,9 +314,8 @@ def threshold_rejections(df: DataFrame, thresholds: Sequence[tuple[str, float, f
     return wide.select("n", F.explode(cells).alias("c")).select("c.*", "n")
 
 
-def verdict_medians(df: DataFrame, values: Sequence[str], verdict: str = "quality_verdict",
-                    held_values: int = HELD_VALUES) -> DataFrame:
+def verdict_medians(df: DataFrame, values: Sequence[str], verdict: str = "quality_verdict") -> DataFrame:
     """Count and median of each value, PASS against FAIL."""
-    found = summaries(df, {f"{v}_": v for v in values}, [verdict], held_values)
+    found = summaries(df, {f"{v}_": v for v in values}, [verdict])
     kept = [F.col(f"{v}_{s}").alias(f"{n}_{v}") for n, s in (("n", "n"), ("median", "median")) for v in values]
     return found.select(verdict, *kept)

@@ -26,35 +26,65 @@ def numbers(seed=1, n=3000):
     return [("ab"[rng.random() < 0.3] if rng.random() < 0.95 else None, rng.choice(kinds)()) for _ in range(n)]
 
 
-@pytest.mark.parametrize("held", [10**6, 0, 1100])
-def test_percentiles_are_numpys(spark, held):
-    rows = numbers()
-    points = {"p0": 0.0, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = stats.percentiles(values(spark, rows), "v", points, ["g"], held_values=held).collect()
-    assert len(got) == 3
+POINTS = {"p0": 0.0, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 3000])
+def test_percentiles_are_numpys(spark, size):
+    rows = [("a", 1.0), *numbers(size, size)]
+    got = stats.percentiles(values(spark, rows), "v", POINTS, ["g"]).collect()
+    groups = {g for g, v in rows if v is not None and not math.isnan(v)}
+    assert {r["g"] for r in got} == groups
     for r in got:
         kept = [v for g, v in rows if g == r["g"] and v is not None and not math.isnan(v)]
-        for name, p in points.items():
+        for name, p in POINTS.items():
             assert r[name] == pytest.approx(np.percentile(kept, p * 100), rel=1e-12)
 
 
+@pytest.mark.parametrize("copies", [1, 5000])
+def test_percentiles_of_infinite_and_far_values(spark, copies):
+    """Infinite ends, and a range that is no number."""
+    found = [float("-inf"), -1.7e308, 0.0, 1.0, 2.0, 1.7e308, float("inf")]
+    df = spark.createDataFrame([("a", v) for v in found], "g string, v double").crossJoin(spark.range(copies)).drop("id")
+    got = one(stats.percentiles(df, "v", {"lo": 0.0, "q": 1 / 3, "m": 0.5, "hi": 1.0}))
+    ranked = sorted(found * copies)
+    at = (len(ranked) - 1) / 3
+    assert got["lo"] == float("-inf") and got["hi"] == float("inf") and got["m"] == 1.0
+    assert got["q"] == pytest.approx(ranked[int(at)] + (ranked[int(at) + 1] - ranked[int(at)]) * (at - int(at)))
+    whole = one(stats.summary(df, "v"))
+    assert whole["median"] == 1.0 and whole["min"] == float("-inf") and whole["max"] == float("inf") and whole["n"] == 7 * copies
+
+
 def test_one_value_may_be_most_rows(spark):
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.col("id") / 7).alias("v"))
-    got = stats.percentiles(df, "v", {"m": 0.5, "q": 0.1}, held_values=100).first()
+    got = stats.percentiles(df, "v", {"m": 0.5, "q": 0.1}).first()
     kept = [0.25 if i % 3 == 0 else i / 7 for i in range(60_000)]
     assert got["m"] == pytest.approx(np.median(kept)) and got["q"] == pytest.approx(np.percentile(kept, 10))
 
 
-@pytest.mark.parametrize("held", [10**6, 2])
-def test_summary(spark, held):
+def test_summaries_evaluate_their_input_once(spark):
+    """The number of jobs does not depend on values, and the input is read by one of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).mapInArrow(count, "id long")
+    stats.summaries(df, {"a_": F.col("id"), "b_": F.col("id") / 7}).collect()
+    assert seen.value == 1000
+
+
+def test_summary(spark):
     rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", NAN), ("a", None), ("b", 5.0), (None, 7.0), ("c", None)]
-    got = {r["g"]: r.asDict() for r in stats.summary(values(spark, rows), "v", ["g"], held).collect()}
+    got = {r["g"]: r.asDict() for r in stats.summary(values(spark, rows), "v", ["g"]).collect()}
     assert got["a"]["n"] == 3 and got["a"]["invalid"] == 2
     assert got["a"]["std"] == pytest.approx(np.std([1, 2, 4])) and got["a"]["median"] == 2.0
     assert got["a"]["q25"] == 1.5 and got["a"]["q75"] == 3.0
     assert got["b"]["std"] == 0.0 and got[None]["mean"] == 7.0
     assert got["c"]["n"] == 0 and got["c"]["median"] is None and got["c"]["invalid"] == 1
-    whole = one(stats.summary(values(spark, rows), "v", (), held))
+    whole = one(stats.summary(values(spark, rows), "v"))
     assert whole["n"] == 5 and whole["median"] == 4.0
 
 
@@ -91,7 +121,9 @@ def test_empty_tiers_and_levels_are_listed(spark):
 
 def test_histogram_is_numpys(spark):
     found = [0, 9, 10, 199, 200, 201, -1, 190, 55, 200]
-    got = [r["n"] for r in stats.histogram(spark.createDataFrame([(v,) for v in found], "v int"), "v").orderBy("bin").collect()]
+    rows = stats.histogram(spark.createDataFrame([(v,) for v in found], "v int"), "v").orderBy("bin").collect()
+    assert {(r["below"], r["above"]) for r in rows} == {(1, 1)}
+    got = [r["n"] for r in rows]
     assert got == np.histogram(found, bins=range(0, 210, 10))[0].tolist()
 
 
