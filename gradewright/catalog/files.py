@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gradewright.catalog import evaluating as ev
 from gradewright.catalog import grading as gr
 from gradewright.catalog.registry import query, rounded, sql_tokens, table
-from gradewright.operators import guard, score
+from gradewright.functions import text as tx
+from gradewright.operators import curate, guard, score
 from gradewright.session import fresh_folder
 from gradewright.sources import readers, writers
 from gradewright.streaming import incremental
@@ -56,15 +57,25 @@ def _evaluations(spark, d):
 SELECT stage || '-' || CAST(floor(sample_id / 1000) AS BIGINT) AS model_name, CAST(count(*) AS BIGINT) AS n_samples, round(avg(cosine_similarity), 6) AS mean,
   CAST(count(*) AS INTEGER) AS listed FROM {ev.SAMPLES} GROUP BY ALL""")
 def s03(spark, d):
-    read = spark.read.schema(readers.EVALUATION).json(_evaluations(spark, d))
+    read = readers.read_evaluations(spark, _evaluations(spark, d))
     return rounded(read.select("metadata.model_name", "metadata.n_samples", F.col("overall_metrics.cosine_similarity.mean").alias("mean"),
                                F.size("per_sample_results").alias("listed")), "mean")
 
 
-# Files have no SQL counterpart: the manifest is of the table files themselves.
-@query("s04_file_manifest")
+@query("s04_file_manifest", """
+SELECT doc_id, doc_id % 7 <> 0 AND lang = 'es' AS file_missing, count(*) FILTER (WHERE doc_id % 7 <> 0 AND lang = 'es') OVER () AS audited FROM documents""")
 def s04(spark, d):
-    return readers.file_manifest(spark, d, "*.parquet").select("name", "stem", "length").orderBy("name")
+    """Documents written to files, in folders with blanks and accents; their rows
+    name the file they are in, as address or plain path, or one that is not there."""
+    folder = fresh_folder(spark, "manifest files é")
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat("source", F.lit(" ñ")).alias("place"))
+    docs.where("lang <> 'es'").write.partitionBy("place").json(folder)
+    there = spark.read.schema("doc_id long, lang string").json(folder).select("doc_id", F.col("_metadata.file_path").alias("path"))
+    absent = docs.where("lang = 'es'").select("doc_id", F.concat(F.lit(folder + "/"), "place", F.lit("/none.json")).alias("path"))
+    rows = there.unionByName(absent).withColumn("path", F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 3 == 0, tx.plain_path("path")).otherwise(F.col("path")))
+    manifest = readers.file_manifest(spark, folder, "*.json")
+    marked = curate.mark_missing_files(rows, manifest, "path").select("doc_id", "file_missing")
+    return marked.withColumn("audited", curate.missing_file_audit(rows, manifest, "path").select("missing").scalar())
 
 
 @query("s05_per_sample_scores", f"SELECT round(cosine_similarity, 6) AS cosine_similarity FROM {ev.SAMPLES}")
@@ -77,12 +88,16 @@ def s05(spark, d):
     return rounded(readers.per_sample_scores(spark, empty, folder), "cosine_similarity")
 
 
-@query("s06_stages", "SELECT doc_id, lang AS stage FROM documents WHERE lang IN ('en', 'fr')")
+@query("s05_per_sample_arrays", f"SELECT round(cosine_similarity, 6) AS cosine_similarity FROM {ev.SAMPLES} WHERE cosine_similarity IS NOT NULL")
+def s05_arrays(spark, d):
+    return rounded(readers.per_sample_scores(spark, _evaluations(spark, d)), "cosine_similarity")
+
+
+@query("s06_stages", "SELECT doc_id, lang AS stage FROM documents")
 def s06(spark, d):
     base = fresh_folder(spark, "stages")
-    kept = table(spark, d, "documents").where(F.col("lang").isin("en", "fr"))
-    writers.write_splits(kept.select("doc_id", "lang"), base, "lang")
-    return readers.read_stages(spark, {s: f"{base}/lang={s}" for s in ("en", "fr", "absent")})
+    writers.write_splits(table(spark, d, "documents").select("doc_id", "lang"), base, "lang")
+    return readers.read_stages(spark, {s: f"{base}/lang={s}" for s in ("en", "fr", "de", "es", "absent")})
 
 
 @query("s07_rules", f"""

@@ -24,9 +24,9 @@ CLASSIC = guard.GuardRules(
 
 
 def inference(spark, d):
-    """Assistant turns as inference results; every 20th one is an error."""
+    """Assistant turns as inference results; every 20th one is an error, the one after it has none."""
     turns = table(spark, d, "conversations").where("role = 'assistant'")
-    prediction = F.when(F.col("conv_id") % 20 == 0, "ERROR: file not found").otherwise(
+    prediction = F.when(F.col("conv_id") % 20 == 0, "ERROR: file not found").when(F.col("conv_id") % 20 != 1,
         F.concat(F.lit("USER: describe. ASSISTANT: "), F.col("text"))
     )
     return turns.select(
@@ -38,10 +38,10 @@ def inference(spark, d):
 
 
 INFERENCE = """(SELECT conv_id || '_' || turn AS image_id, 'images/' || conv_id || '.png' AS image_path, conv_id,
-  CASE WHEN conv_id % 20 = 0 THEN 'ERROR: file not found' ELSE 'USER: describe. ASSISTANT: ' || text END AS prediction, text AS ground_truth
+  CASE WHEN conv_id % 20 = 0 THEN 'ERROR: file not found' WHEN conv_id % 20 <> 1 THEN 'USER: describe. ASSISTANT: ' || text END AS prediction, text AS ground_truth
 FROM conversations WHERE role = 'assistant')"""
 
-ANSWERED = f"""(SELECT *, {sql_strip("CASE WHEN contains(prediction, 'ASSISTANT:') THEN substr(prediction, strpos(prediction, 'ASSISTANT:') + 10) ELSE prediction END")} AS assistant_text
+ANSWERED = f"""(SELECT *, coalesce({sql_strip("CASE WHEN contains(prediction, 'ASSISTANT:') THEN substr(prediction, strpos(prediction, 'ASSISTANT:') + 10) ELSE prediction END")}, '') AS assistant_text
 FROM {INFERENCE})"""
 
 

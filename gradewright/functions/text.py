@@ -146,6 +146,21 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_replace(file_name(path), r"(?s)(?<=.)\.[^.]+$", "")
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
+
+
+def plain_path(path: Column | str) -> Column:
+    """A path without scheme and host, in the one form that file lists and data share.
+
+    With a scheme it is an address, whose percent signs are decoded, as Spark's
+    readers report it; a plain path is taken as it is.
+    """
+    path = col(path)
+    rest = F.regexp_replace(path, SCHEME, "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))), rest)
+    return F.when(path.rlike(SCHEME), decoded).otherwise(path)
+
+
 def join_path(folder: Column | str, path: Column | str) -> Column:
     """Path below a folder; an absolute path stands for itself."""
     folder = F.lit(folder) if isinstance(folder, str) else folder

@@ -206,25 +206,29 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 def mark_missing_files(df: DataFrame, manifest: DataFrame, path: str = "image_path", mark: str = "file_missing") -> DataFrame:
     """True where a path is given but not in the manifest. NULL and '' are not checked.
+    Both sides are compared without scheme and host.
 
     The distinct paths are written out first. The join is then between two plain
     tables: broadcast if the paths are few, else with adaptive splitting of a
     path that very many rows share.
     """
-    present = cut_lineage(manifest.select(F.col("path").alias("_path")).distinct()).withColumn("_present", F.lit(True))
-    given = F.nullif(F.col(path), F.lit(""))
+    present = cut_lineage(manifest.select(tx.plain_path("path").alias("_path")).distinct()).withColumn("_present", F.lit(True))
+    given = F.nullif(tx.plain_path(path), F.lit(""))
     return (
-        df.join(present, F.col(path) == F.col("_path"), "left")
-        .withColumn(mark, F.coalesce(given.isNotNull() & F.col("_present").isNull(), F.lit(False)))
-        .drop("_path", "_present")
+        df.withColumn("_given", given)
+        .join(present, F.col("_given") == F.col("_path"), "left")
+        .withColumn(mark, F.col("_given").isNotNull() & F.col("_present").isNull())
+        .drop("_path", "_present", "_given")
     )
 
 
 def missing_file_audit(df: DataFrame, manifest: DataFrame, path: str = "image_path") -> DataFrame:
-    """Number of rows whose file is missing and the first such path. Paths are
-    counted first, so a path used by many rows is joined once."""
-    uses = df.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    lost = uses.join(manifest.select("path"), "path", "left_anti")
+    """Number of rows whose file is missing and the first such path. NULL and '' are
+    not checked, as in `mark_missing_files`. Paths are counted first, so a path
+    used by many rows is joined once."""
+    uses = df.where(F.col(path) != "").groupBy(F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    uses = uses.withColumn("_given", tx.plain_path("path"))
+    lost = uses.join(manifest.select(tx.plain_path("path").alias("_given")), "_given", "left_anti")
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("missing"), F.min("path").alias("first_missing"))
 
 

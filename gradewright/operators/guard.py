@@ -58,9 +58,11 @@ def calibrated_reason(text: Column, tokens: Column, low: int = fv.LOW_TOKENS, hi
 
 
 def calibrated_guard(df: DataFrame, text: str = "assistant_text", **options) -> DataFrame:
-    """Add token_count, quality_verdict and reason_code."""
-    counted = settle(df, token_count=tx.token_count(text))
-    judged = settle(counted, reason_code=calibrated_reason(F.col(text), F.col("token_count"), **options))
+    """Add token_count, quality_verdict and reason_code. A NULL text counts as
+    empty: it has 0 tokens and is too short."""
+    given = F.coalesce(F.col(text), F.lit(""))
+    counted = settle(df, token_count=tx.token_count(given))
+    judged = settle(counted, reason_code=calibrated_reason(given, F.col("token_count"), **options))
     passed = F.col("reason_code") == fv.REASON_HIGH_QUALITY
     return judged.withColumn("quality_verdict", F.when(passed, "PASS").otherwise("FAIL"))
 
@@ -106,14 +108,14 @@ def rule_guard(df: DataFrame, prediction: str = "prediction", rules: GuardRules
     rule_triggered and llm_used.
 
     With a manifest of existing files, a row whose path is missing fails first,
-    with 0 tokens.
+    with 0 tokens. A NULL prediction counts as empty, so it fails the rules.
     """
     if manifest is not None:
         df = mark_missing_files(df, manifest, path)
     else:
         df = df.withColumn("file_missing", F.lit(False))
     missing = F.col("file_missing")
-    df = settle(df, assistant_text=answer_text(prediction, rules))
+    df = settle(df, assistant_text=F.coalesce(answer_text(prediction, rules), F.lit("")))
     df = settle(df, token_count=F.when(missing, 0).otherwise(tx.token_count("assistant_text")))
     df = add_rule_reason(df, "assistant_text", "token_count", rules, "_rule", ~missing)
     failed = F.when(missing, fv.REASON_MISSING_FILE).otherwise(F.col("_rule"))
@@ -132,9 +134,14 @@ def apply_answers(guarded: DataFrame, answers: DataFrame, key: str, values=None,
     the judge's reason; a PASS gets the attributes of its structure answer.
     `fallback_used` is true where that answer had no readable JSON, so all
     attributes are defaults. A passed row without an answer stays rule-only.
+
+    Of several answers to a key the one whose judge answer sorts first counts, a
+    missing one last; `curate.duplicate_keys(answers, key)` reports them.
     """
     defaults = defaults or fv.STRUCTURE_DEFAULTS
-    joined = guarded.join(answers.select(key, "judge_answer", "structure_answer"), key, "left")
+    order = F.struct(F.col("judge_answer").isNull(), "judge_answer", "structure_answer")
+    single = answers.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("judge_answer", "structure_answer"), order).alias("_answer"))
+    joined = guarded.join(single.select(key, "_answer.*"), key, "left")
     judged = (F.col("quality_verdict") == "PASS") & F.col("judge_answer").isNotNull()
     joined = settle(joined, _judged=judged, _verdict=F.when(judged, an.tagged_verdict("judge_answer")))
     passed = F.col("_verdict") == "PASS"

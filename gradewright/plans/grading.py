@@ -23,7 +23,7 @@ def grade_by_keywords(inference: DataFrame, guard_options: dict | None = None, s
                       rules: score.ScoreRules = score.DEFAULT_RULES) -> DataFrame:
     """Calibrated guard, keyword structure and score: 14 columns, no shuffle."""
     df = _cosine(require_columns(inference, "image_id", "image_path", "prediction"))
-    df = settle(df, assistant_text=tx.answer_after_pattern("prediction"))
+    df = settle(df, assistant_text=F.coalesce(tx.answer_after_pattern("prediction"), F.lit("")))
     df = guard.calibrated_guard(df, "assistant_text", **(guard_options or {}))
     df = structure.add_keyword_structure(df, "assistant_text", **(structure_rules or {}))
     passed = F.col("quality_verdict") == "PASS"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewright import fixed_values as fv
-from gradewright.functions.text import file_name, file_stem
+from gradewright.functions.text import SCHEME, file_name, file_stem, plain_path
 from gradewright.operators.curate import require_columns
 
 
@@ -36,10 +36,16 @@ EVALUATION = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header and quoted line breaks. Without a schema all columns are
-    text under the names of the header. A byte order mark is dropped."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8",
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without a schema all columns are text under the names of
+    the header. A byte order mark is dropped.
+
+    With quoted line breaks (`multi_line`) each file is read by one task, so tables
+    of many GB have to come as many files or as Parquet; files without them are
+    split with `multi_line=False`.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding=encoding)
     reader = reader.schema(schema) if schema is not None else reader
     return reader.csv(path)
 
@@ -51,22 +57,45 @@ def read_master(spark: SparkSession, path: str, path_column: str = fv.PATH_COLUM
     return require_columns(df, path_column, text_column)
 
 
-def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """Nested evaluation results, one document per file or line."""
-    return spark.read.schema(EVALUATION).option("multiLine", True).json(path)
-
-
-def file_manifest(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
-    """Files of a folder by pattern: path, name, stem and length. Contents are
-    not read, since the column is not selected."""
+def read_evaluations(spark: SparkSession, path: str, whole_files: bool | None = None) -> DataFrame:
+    """Nested evaluation results: a document per line, or one per file, which may
+    then be spread over lines.
+
+    The form is told by the lines, unless it is given. Files of the other form are
+    an error, so no document is lost. A file of one document is read by one task.
+    """
+    if whole_files is None:
+        # A line that is no object of its own belongs to a document of several lines.
+        odd = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").rlike(r"^\s*\{.*\}\s*$"))
+        whole_files = not odd.isEmpty()
+    if not whole_files:
+        return spark.read.schema(EVALUATION).option("mode", "FAILFAST").json(path)
+    text = F.col("value")
+    several = F.raise_error(F.lit("a file with several documents: read it by lines"))
+    # Documents in a row, which an array would part by a comma.
+    one = F.when(text.rlike(r"\}\s*\n\s*\{"), several).otherwise(F.from_json(text, EVALUATION, {"mode": "FAILFAST"}))
+    return spark.read.text(path, wholetext=True).where(F.trim(text) != "").select(one.alias("d")).select("d.*")
+
+
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*.png", root: str | None = None) -> DataFrame:
+    """Files of a folder and its partition folders by pattern: path, name, stem and length.
+
+    Paths have no scheme; with `root` they are relative to it. Contents are not
+    read, since the column is not selected.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", file_name("path").alias("name"), file_stem("path").alias("stem"), "length")
-
-
-def per_sample_scores(spark: SparkSession, evaluation: str, table: str | None = None) -> DataFrame:
-    """Non-NULL cosine scores from the per-sample array of an evaluation, or, where
-    that is empty, from the first column of a CSV table named like `cosine`."""
-    samples = read_evaluations(spark, evaluation).select(F.explode("per_sample_results").alias("s"))
+    path = F.regexp_replace("path", SCHEME, "")  # no address: its percent signs stand for themselves
+    if root is not None:
+        base = plain_path(F.lit(root.rstrip("/") + "/"))
+        path = F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)
+    listed = files.select(path.alias("path"), "length")
+    return listed.select("path", file_name("path").alias("name"), file_stem("path").alias("stem"), "length")
+
+
+def per_sample_scores(spark: SparkSession, evaluation: str, table: str | None = None, whole_files: bool | None = None) -> DataFrame:
+    """Non-NULL cosine scores from the per-sample arrays of an evaluation, or, where
+    those are empty, from the first column of a CSV table named like `cosine`."""
+    samples = read_evaluations(spark, evaluation, whole_files).select(F.explode("per_sample_results").alias("s"))
     scores = samples.select(F.col("s.cosine_similarity").alias("cosine_similarity"))
     if samples.isEmpty():
         if table is None:

@@ -161,3 +161,38 @@ def test_without_metadata_there_is_one_stratum(spark):
     master = spark.createDataFrame(rows, f"`{fv.PATH_COLUMN}` string, `{fv.TEXT_COLUMN}` string")
     made = curation.curate_corpus(master, None, curation.CurationSettings(test_size=20, train_sizes=(30,)))
     assert {r["split"]: r["count"] for r in made.splits.groupBy("split").count().collect()} == {"test": 20, "train_30": 30}
+
+
+def test_evaluations_by_line_and_by_file(spark, tmp_path):
+    docs = [{"metadata": {"model_name": f"m{i}"}, "per_sample_results": [{"image_id": str(i), "cosine_similarity": i / 10}]} for i in range(5)]
+    lines, files = tmp_path / "lines", tmp_path / "files"
+    lines.mkdir()
+    files.mkdir()
+    (lines / "all.json").write_text("\n".join(json.dumps(d) for d in docs))
+    for i, d in enumerate(docs):
+        (files / f"{i}.json").write_text(json.dumps(d, indent=2))
+    for folder, whole in ((lines, False), (files, True)):
+        for form in (whole, None):
+            read = readers.read_evaluations(spark, str(folder), form)
+            assert sorted(r[0] for r in read.select("metadata.model_name").collect()) == [f"m{i}" for i in range(5)]
+        assert sorted(r[0] for r in readers.per_sample_scores(spark, str(folder), whole_files=whole).collect()) == [i / 10 for i in range(5)]
+    for folder, whole in ((lines, True), (files, False)):
+        with pytest.raises(Exception, match="(?i)several documents|malformed|failfast"):
+            readers.read_evaluations(spark, str(folder), whole).collect()
+
+
+def test_a_manifest_meets_the_paths_of_data(spark, tmp_path):
+    from gradewright.operators import curate
+
+    folder = tmp_path / "im ages é"
+    folder.mkdir()
+    for name in ("a b.png", "ñ%20.png", "c.txt"):
+        (folder / name).write_bytes(b"x")
+    there = [f"{folder}/a b.png", f"file:{folder}/a b.png", "file://" + str(folder).replace(" ", "%20").replace("é", "%C3%A9") + "/a%20b.png", f"{folder}/ñ%20.png"]
+    rows = [(p, False) for p in there] + [(None, False), ("", False), (f"{folder}/c.txt", True), (f"{folder}/d.png", True)]
+    df = spark.createDataFrame(rows, "image_path string, want boolean")
+    manifest = readers.file_manifest(spark, str(folder))
+    marked = curate.mark_missing_files(df, manifest)
+    assert marked.where("file_missing != want").count() == 0 and marked.count() == len(rows)
+    assert tuple(curate.missing_file_audit(df, manifest).first()) == (2, f"{folder}/c.txt")
+    assert sorted(r["path"] for r in readers.file_manifest(spark, str(folder), root=str(tmp_path)).collect()) == ["im ages é/a b.png", "im ages é/ñ%20.png"]

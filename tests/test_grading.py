@@ -213,3 +213,25 @@ def test_rules_file(spark, tmp_path):
     assert rules.tables["damage_type"] == {"crack": 1} and rules.tables["risk"] == fv.SCORE_TABLES["risk"]
     assert rules.thresholds == {5: 0.9, 1: 0.0} and len(rules.bonuses) == 1
     assert score.load_rules(spark, str(tmp_path / "absent.json")) is score.DEFAULT_RULES
+
+
+def test_a_missing_text_passes_no_guard(spark):
+    df = spark.createDataFrame([("1", "p", None, "g"), ("2", "p", "", "g")], "image_id string, image_path string, prediction string, ground_truth string")
+    for rules in (guard.CLASSIC_RULES, guard.BATCH_RULES):
+        for r in guard.rule_guard(df, "prediction", rules).collect():
+            assert (r["quality_verdict"], r["token_count"], r["assistant_text"]) == ("FAIL", 0, "")
+            assert r["reason_code"] == fv.REASON_NOT_RECOGNIZED
+    for made in (guard.calibrated_guard(df, "prediction"), grading.grade_by_keywords(df)):
+        for r in made.collect():
+            assert (r["quality_verdict"], r["token_count"], r["reason_code"]) == ("FAIL", 0, fv.REASON_TOO_SHORT)
+    answers = spark.createDataFrame([("1", "VERDICT: PASS", "{}")], "image_id string, judge_answer string, structure_answer string")
+    assert {r["quality_verdict"] for r in grading.grade_with_answers(df, answers).collect()} == {"FAIL"}
+
+
+def test_repeated_answers_do_not_repeat_rows(spark):
+    text = "USER: x ASSISTANT: " + "鉄筋露出が見られる。" * 1 + "".join(chr(0x4E00 + i) for i in range(120))
+    df = spark.createDataFrame([("1", "p", text, "g")], "image_id string, image_path string, prediction string, ground_truth string")
+    rows = [("1", None, None), ("1", "VERDICT: PASS", "{}"), ("1", "VERDICT: FAIL\nREASON_CODE: Dirty or Noisy image", None), (None, "VERDICT: PASS", "{}")]
+    answers = spark.createDataFrame(rows, "image_id string, judge_answer string, structure_answer string")
+    made = guard.apply_answers(guard.rule_guard(df), answers, "image_id").collect()
+    assert [(r["quality_verdict"], r["reason_code"]) for r in made] == [("FAIL", "Dirty or Noisy image")]
