@@ -1,8 +1,10 @@
 """Exact proportional stratified samples and disjoint splits.
 
 NumPy's sampler cannot be repeated on a cluster. Rows are ordered by the md5 of
-`key|seed` instead, so a sample depends on keys and seed only, not on the
-partitioning. The key has to be unique and not NULL.
+`key|seed` instead, so a sample depends on rows and seed only, not on the
+partitioning. Rows are drawn singly: of rows that share a key, those whose other
+columns hash lowest come first; rows that agree in all columns are alike. A NULL
+key is an error.
 
 A stratum may hold most of the rows, so no stratum is ever sorted as a whole:
 * The sizes give the targets. Hashes are uniform, so the rows of lowest hash lie
@@ -29,6 +31,7 @@ from gradewright.session import cut_lineage, if_small, settle
 
 HASH_RANGE_DIGITS = 4
 BOUND_DIGITS = 12
+FEW_ROWS = 10_000
 
 
 def sampling_hash(key: Column | str, seed: Column | int) -> Column:
@@ -41,6 +44,18 @@ def strata_counts(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
 
 
+def _checked_sizes(df: DataFrame, strata: Sequence[str], key: str) -> DataFrame:
+    """Stratum sizes, written, from an aggregate that also finds NULL keys."""
+    sizes = cut_lineage(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col(key).isNull()).alias("_nulls")))
+    _no_nulls(sizes.agg(F.sum("_nulls")).first()[0], key)
+    return sizes.drop("_nulls")
+
+
+def _no_nulls(n: int | None, key: str) -> None:
+    if n:
+        raise ValueError(f"{n} rows have no {key}; drop them or give them one before sampling")
+
+
 def allocate(sizes: DataFrame, strata: Sequence[str], n: int | Column, by: Sequence[str] = (),
              whole_if_short: bool = False) -> DataFrame:
     """Rows to draw per stratum so that the targets sum to n.
@@ -142,7 +157,10 @@ def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, c
         .agg(F.max("_range").alias("_last"), F.max("_before").alias("_before"), F.max("target").alias("_target"))
     )
     chosen = _null_safe(rows, if_small(cuts, n_strata), strata).where(F.col("_range") <= F.col("_last"))
-    place = F.row_number().over(W.Window.partitionBy(*strata, "_range").orderBy("_hash", key))
+    others = [c for c in rows.columns if c not in ("_hash", "_range", key)]
+    # What tells rows of one key apart; only the rows of the chosen ranges are looked at.
+    rest = F.md5(F.to_json(F.struct(F.lit(0).alias("k"), *others), {"ignoreNullFields": "false"}))
+    place = F.row_number().over(W.Window.partitionBy(*strata, "_range").orderBy("_hash", key, rest))
     chosen = chosen.withColumn("_place", place).where(
         (F.col("_range") < F.col("_last")) | (F.col("_place") <= F.col("_target") - F.col("_before"))
     )
@@ -152,7 +170,7 @@ def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, c
 def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> DataFrame:
     """n rows with the strata in proportion. A stratum smaller than its target
     gives all its rows, so the result may be short; see `shortfall`."""
-    targets = cut_lineage(allocate(strata_counts(df, strata), strata, n))
+    targets = cut_lineage(allocate(_checked_sizes(df, strata, key), strata, n))
     return take(with_hash(df, key, seed), targets, strata, key)
 
 
@@ -167,8 +185,12 @@ def shortfall(allocation: DataFrame) -> DataFrame:
 
 def hold_out(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int = fv.SEED) -> tuple[DataFrame, DataFrame]:
     """Fixed test set of n rows and the remaining pool, disjoint by key. The test
-    set is written out, so passes over the pool do not draw it again."""
-    targets = cut_lineage(allocate(strata_counts(df, strata), strata, n))
+    set is written out, so passes over the pool do not draw it again.
+
+    An undrawn row that shares its key with a drawn one is in neither; see
+    `hold_out_report`.
+    """
+    targets = cut_lineage(allocate(_checked_sizes(df, strata, key), strata, n))
     available = targets.agg(F.sum("size")).first()[0] or 0
     if available < n:
         raise ValueError(f"{available} rows are fewer than the {n} asked for")
@@ -176,6 +198,14 @@ def hold_out(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int =
     return test, df.join(if_small(test.select(key), n), key, "left_anti")
 
 
+def hold_out_report(df: DataFrame, test: DataFrame, pool: DataFrame) -> DataFrame:
+    """Rows of the whole, the test set and the pool, and those dropped since the
+    test set has their key."""
+    parts = [d.select(F.lit(n).alias("part")) for n, d in (("rows", df), ("test", test), ("pool", pool))]
+    counts = reduce(DataFrame.unionAll, parts).groupBy().agg(*[F.count_if(F.col("part") == n).alias(n) for n in ("rows", "test", "pool")])
+    return counts.withColumn("dropped", F.col("rows") - F.col("test") - F.col("pool"))
+
+
 def training_sets(pool: DataFrame, sizes: Sequence[int], strata: Sequence[str], key: str, seed: int = fv.SEED,
                   name: str = "train_size") -> DataFrame:
     """Independent samples of several sizes in one table, told apart by `name`.
@@ -186,7 +216,7 @@ def training_sets(pool: DataFrame, sizes: Sequence[int], strata: Sequence[str],
     """
     wanted = F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias(name)
     groups = [name, *strata]
-    by_stratum = strata_counts(pool, strata).select("*", wanted)
+    by_stratum = _checked_sizes(pool, strata, key).select("*", wanted)
     targets = cut_lineage(allocate(by_stratum, strata, F.col(name), [name], whole_if_short=True).select(*groups, "size", "target"))
     rows = with_hash(pool.select("*", wanted), key, F.col(name) + seed)
     return take(rows, targets, groups, key)
@@ -194,35 +224,32 @@ def training_sets(pool: DataFrame, sizes: Sequence[int], strata: Sequence[str],
 
 def random_split(df: DataFrame, key: str, share: float = fv.VALIDATION_SHARE, seed: int = fv.SEED,
                  name: str = "split") -> DataFrame:
-    """Mark ceil(share x n) rows as validation, the others as train. The number
-    is exact; the rows are the ones of lowest hash.
+    """Mark ceil(share x n) rows as validation, the others as train: the rows of
+    lowest hash. The number is exact for unique keys; rows of one key stay
+    together, so repeated ones may add the twins of the last.
 
-    The hash and key of the last validation row are found first, from the counts
-    per hash range and the rows of one range. Marking is then a plain projection.
+    The last hash is narrowed down by counting its next digits, a pass per four
+    digits, until few rows are left to choose from. Marking is a plain projection.
     """
-    rows = with_range(with_hash(df, key, seed))
-    counts = range_counts(rows, [])
-    total = counts.agg(F.sum("size")).first()[0] or 0
-    wanted = math.ceil(round(total * share, 6))
-    if not wanted:
+    rows = with_hash(df, key, seed)
+    total, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    _no_nulls(nulls, key)
+    left = math.ceil(round(total * share, 6))
+    if not left:
         return df.withColumn(name, F.lit("train"))
-    through = F.sum("size").over(W.Window.partitionBy().orderBy("_range"))
-    cut = (
-        counts.withColumn("_before", through - F.col("size"))
-        .where((F.col("_before") < wanted) & (F.col("_before") + F.col("size") >= wanted))
-        .first()
-    )
-    order = F.struct("_hash", key)
-    last = (
-        rows.where(F.col("_range") == cut["_range"])
-        .select("_hash", key)
-        .orderBy("_hash", key)
-        .limit(wanted - cut["_before"])
-        .agg(F.max(order).alias("last"))
-        .first()["last"]
-    )
-    held = (F.col("_hash") < last["_hash"]) | ((F.col("_hash") == last["_hash"]) & (F.col(key) <= last[key]))
-    return rows.withColumn(name, F.when(held, "validation").otherwise("train")).drop("_hash", "_range")
+    prefix, size = "", total
+    while len(prefix) < 32 and (not prefix or size > FEW_ROWS):
+        digits = F.substring("_hash", len(prefix) + 1, HASH_RANGE_DIGITS).alias("d")
+        # At most 16 ** HASH_RANGE_DIGITS counts.
+        counts = rows.where(F.startswith("_hash", F.lit(prefix))).groupBy(digits).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(counts.collect()):
+            if left <= r["n"]:
+                prefix, size = prefix + r["d"], r["n"]
+                break
+            left -= r["n"]
+    # Few rows, or rows of one hash, of which any is the last.
+    last = rows.where(F.startswith("_hash", F.lit(prefix))).select("_hash").orderBy("_hash").limit(min(left, size, FEW_ROWS)).agg(F.max("_hash")).first()[0]
+    return rows.withColumn(name, F.when(F.col("_hash") <= last, "validation").otherwise("train")).drop("_hash")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

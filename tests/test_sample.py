@@ -137,3 +137,43 @@ def test_bound_keeps_little_more_than_the_target(spark):
     df = sample.with_hash(spark.range(100_000).withColumn("s", F.lit("all")), "id", 1)
     targets = spark.createDataFrame([("all", 100_000, 2000)], "s string, size bigint, target bigint")
     assert 2000 <= sample.below_bound(df, targets, ["s"], 1).count() < 3200
+
+
+def repeated(spark, seed=0):
+    """Every third key twice, once with other columns."""
+    rng = random.Random(seed)
+    rows = [(f"k{i % 200}", "ab"[i % 2], i) for i in range(300)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "k string, s string, v int")
+
+
+def test_repeated_keys_do_not_depend_on_partitioning(spark):
+    made = []
+    for n in (1, 3, 7):
+        df = repeated(spark, n).repartition(n)
+        test, pool = sample.hold_out(df, 60, ["s"], "k")
+        sets = sample.training_sets(pool, [20, 50], ["s"], "k")
+        made.append([sorted(map(tuple, d.collect())) for d in (test, pool, sets, sample.stratified_sample(df, 40, ["s"], "k"), sample.random_split(df, "k"))])
+        report = sample.hold_out_report(df, test, pool).first()
+        assert report["rows"] == 300 and report["test"] == 60 and report["pool"] + report["dropped"] == 240
+        assert sample.overlap(test, pool, "k").first()[0] == 0
+    assert made[0] == made[1] == made[2]
+
+
+def test_a_missing_key_is_an_error(spark):
+    df = spark.createDataFrame([("a", "s", 1), (None, "s", 2)], "k string, s string, v int")
+    for draw in (lambda: sample.stratified_sample(df, 1, ["s"], "k"), lambda: sample.hold_out(df, 1, ["s"], "k"),
+                 lambda: sample.training_sets(df, [1], ["s"], "k"), lambda: sample.random_split(df, "k")):
+        with pytest.raises(ValueError, match="1 rows have no k"):
+            draw()
+
+
+@pytest.mark.parametrize("few", [1, 10_000])
+def test_random_split_narrows_down(spark, few, monkeypatch):
+    monkeypatch.setattr(sample, "FEW_ROWS", few)
+    monkeypatch.setattr(sample, "HASH_RANGE_DIGITS", 1)
+    df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
+    made = sample.random_split(df, "k", 0.137)
+    assert made.where("split = 'validation'").count() == 137
+    same = spark.createDataFrame([("x",)] * 50, "k string")
+    assert sample.random_split(same, "k", 0.1).where("split = 'validation'").count() == 50
