@@ -175,7 +175,7 @@ def t03(spark, d):
     output, checkpoint = fresh_folder(spark, "counters"), fresh_folder(spark, "counters-progress")
     stream = incremental.read_folder_stream(spark, d, DOCUMENTS, "documents*.parquet")
     incremental.run_counters(guard.calibrated_guard(stream, "text", **gr.GUARD), ["quality_verdict"], output, checkpoint)
-    return spark.read.parquet(output)
+    return incremental.latest_counters(spark, output)
 
 
 @query("e03_evaluate_from_file", f"""

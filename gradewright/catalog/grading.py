@@ -10,6 +10,7 @@ from gradewright.catalog.registry import query, rounded, sql_any, sql_lookup, sq
 from gradewright.functions import text as tx
 from gradewright.operators import curate, guard, keywords, score, stats, structure
 from gradewright.plans import grading as plans
+from gradewright.session import cut_lineage
 
 GUARD = dict(low=30, high=200, damage_words=reg.DAMAGE_WORDS, vague_words=reg.VAGUE_WORDS)
 RULES = dict(types=reg.TYPE_RULES, severities=reg.SEVERITY_RULES, locations=reg.LOCATION_RULES)
@@ -306,7 +307,7 @@ def j06(spark, d):
         [tuple(b["condition"].get(a) for a in score.ATTRIBUTES) + (b["bonus"],) for b in BONUSES],
         ", ".join(f"{ORDER_COLUMNS[a]} string" for a in score.ATTRIBUTES) + ", bonus double",
     )
-    lines = score.bonus_by_table(graded_lines(spark, d), rules, attributes=[ORDER_COLUMNS[a] for a in score.ATTRIBUTES])
+    lines = score.bonus_by_table(cut_lineage(graded_lines(spark, d)), rules, attributes=[ORDER_COLUMNS[a] for a in score.ATTRIBUTES])
     return rounded(lines.select("l_orderkey", "l_linenumber", "bonus"), "bonus")
 
 

@@ -234,17 +234,21 @@ def missing_file_audit(df: DataFrame, manifest: DataFrame, path: str = "image_pa
 
 # --- ids ---------------------------------------------------------------------
 
-def positional_ids(df: DataFrame, order: str, name: str = "image_id", prefix: str = "image_", width: int = 4) -> DataFrame:
+def positional_ids(df: DataFrame, order: str, name: str = "image_id", prefix: str = "image_", width: int = 4,
+                   tie_break: Sequence[str] = ()) -> DataFrame:
     """Ids `image_0000`, `image_0001`, ... in the order of a column.
 
+    `tie_break` names columns that order equal values. With them the ids do not
+    depend on the partitioning, and a very common value is split over partitions.
+
     Rows are range-partitioned by the order column and written out with the
     number of their partition; each partition is numbered on its own, starting
     after the rows of the partitions before it.
     """
-    placed = cut_lineage(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    placed = cut_lineage(df.repartitionByRange(*[F.col(c) for c in (order, *tie_break)]).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(W.Window.partitionBy().orderBy("_part")) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(W.Window.partitionBy("_part").orderBy(order)) - 1
+    place = F.row_number().over(W.Window.partitionBy("_part").orderBy(order, *tie_break)) - 1
     # One row per partition: at most spark.sql.shuffle.partitions.
     numbered = placed.withColumn("_place", place).join(F.broadcast(starts), "_part")
     digits = (F.col("_start") + F.col("_place")).cast("string")

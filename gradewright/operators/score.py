@@ -6,15 +6,15 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import combinations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright import fixed_values as fv
 from gradewright.functions.grades import lookup, round_half_even
 from gradewright.functions.text import col, or_default
-from gradewright.session import cut_lineage, if_small, settle
+from gradewright.session import cut_lineage, settle
 
 ATTRIBUTES = ("damage_type", "severity", "location", "risk")
 
@@ -35,8 +35,8 @@ DEFAULT_RULES = ScoreRules()
 
 
 def load_rules(spark, path: str | None) -> ScoreRules:
-    """Rules from a JSON file, the defaults if there is none. A table the file
-    lacks keeps its default."""
+    """Rules from a JSON file, the defaults if there is none. A table or a weight
+    the file lacks keeps its default."""
     if path is None or not _exists(spark, path):
         return DEFAULT_RULES
     (text,) = spark.read.text(path, wholetext=True).first()
@@ -44,7 +44,9 @@ def load_rules(spark, path: str | None) -> ScoreRules:
     tables = {a: given.get(f"{a}_scores", fv.SCORE_TABLES[a]) for a in ATTRIBUTES}
     levels = given.get("priority_thresholds", fv.LEVEL_THRESHOLDS)
     texts = given.get("priority_descriptions", fv.LEVEL_TEXTS)
+    weights = {a: float(given.get("weights", {}).get(a, fv.WEIGHTS[a])) for a in ATTRIBUTES}
     return ScoreRules(
+        weights=weights,
         tables=tables,
         thresholds={int(k): float(v) for k, v in levels.items()},
         texts={int(k): v for k, v in texts.items()},
@@ -56,8 +58,8 @@ def _exists(spark, path: str) -> bool:
     try:
         spark.read.text(path, wholetext=True).schema  # noqa: B018 - resolves the path
         return True
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
 
@@ -91,14 +93,20 @@ def bonus_by_table(df: DataFrame, rules: DataFrame, name: str = "bonus",
 
     A rule row constrains the attributes it has a value for. Rows are reduced to
     their distinct attribute combinations; each combination looks its rules up
-    by equality, once per subset of constrained attributes. No row is compared
-    with every rule. The sums are written out and counted, then return to the
-    rows by an equality join on the combination, broadcast if there are few.
+    by equality, once per set of attributes that some rule constrains. No row is
+    compared with every rule. The sums are written out and return to the rows by
+    an equality join on the combination; their size on disk decides on a broadcast.
+
+    `df` is evaluated twice: give a written table where it is a join.
     """
     def pattern(kept: Sequence[str]) -> Column:
         return F.to_json(F.struct(*[F.col(a).cast("string").alias(a) for a in kept])) if kept else F.lit("{}")
 
-    subsets = [s for k in range(len(attributes) + 1) for s in combinations(attributes, k)]
+    constrained = F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), F.lit(a)) for a in attributes]))
+    # At most 2 ** attributes sets, whatever the number of rules.
+    subsets = [tuple(r[0]) for r in rules.select(constrained).distinct().collect()]
+    if not subsets:
+        return df.withColumn(name, F.lit(0.0))
     # to_json leaves NULL fields out, so a rule's own pattern names what it constrains.
     by_pattern = rules.select(pattern(attributes).alias("_p"), "bonus").groupBy("_p").agg(F.sum("bonus").alias("_b"))
     combos = df.select(*attributes).distinct()
@@ -106,7 +114,7 @@ def bonus_by_table(df: DataFrame, rules: DataFrame, name: str = "bonus",
     sums = cut_lineage(asked.join(by_pattern, "_p").groupBy(*attributes).agg(F.sum("_b").alias("_sum")))
     renamed = sums.select(*[F.col(a).alias(f"_{a}") for a in attributes], "_sum")
     match = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes])
-    joined = df.join(if_small(renamed, sums.count()), match, "left").withColumn(name, F.coalesce("_sum", F.lit(0.0)))
+    joined = df.join(renamed, match, "left").withColumn(name, F.coalesce("_sum", F.lit(0.0)))
     return joined.drop("_sum", *[f"_{a}" for a in attributes])
 
 

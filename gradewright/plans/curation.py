@@ -58,7 +58,8 @@ def curate_corpus(master: DataFrame, metadata: DataFrame | None = None,
     test, pool = sample.hold_out(corpus, s.test_size, STRATA, s.path, s.seed)
     trains = sample.training_sets(pool, s.train_sizes, STRATA, s.path, s.seed)
     named = trains.withColumn("split", F.concat(F.lit("train_"), F.col("train_size").cast("string"))).drop("train_size")
-    return Curated(test.withColumn("split", F.lit("test")).unionByName(named), noise, counts)
+    # Written once: whoever reads the splits does not draw them again.
+    return Curated(cut_lineage(test.withColumn("split", F.lit("test")).unionByName(named)), noise, counts)
 
 
 def dataset_report(curated: Curated, settings: CurationSettings = CurationSettings(), test: str = "test") -> dict[str, DataFrame]:

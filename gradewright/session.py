@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of keys and numbers up to which a counted table is broadcast.
-BROADCAST_ROWS = 500_000
+# Rows up to which a counted table of keys is broadcast, of at most so many bytes each.
+BROADCAST_ROWS = 100_000
+BROADCAST_ROW_BYTES = 512
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "gradewright", partitions: int = 8,
@@ -34,18 +37,18 @@ def build_session(master: str = "local[*]", app: str = "gradewright", partitions
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` where it is set.
 
-    A local session without the setting gets a temporary folder. On a cluster
-    the setting is required, since a machine-local folder dies with its node.
+    Only a session within one process, as in tests, may do without the setting: it
+    gets a temporary folder that goes when the process ends. On a cluster a
+    machine-local folder would die with its node. No setting is changed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="gradewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _OWN:
+        _OWN["folder"] = tempfile.TemporaryDirectory(prefix="gradewright-", ignore_cleanup_errors=True)
+    return _OWN["folder"].name
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -78,5 +81,11 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of known length; a longer one is joined by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast a table of known length and short rows; any other is joined by shuffle.
+
+    Rows count as short by the widest one, found with one aggregate.
+    """
+    if rows > BROADCAST_ROWS:
+        return df
+    width = df.agg(F.max(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if width <= BROADCAST_ROW_BYTES else df

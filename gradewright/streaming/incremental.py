@@ -35,11 +35,12 @@ def run_incrementally(stream: DataFrame, transform: Callable[[DataFrame], DataFr
 
 
 def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint: str) -> None:
-    """Running counts per value, written whole after each batch. The state holds
-    one row per value."""
+    """Running counts per value, written whole after each batch into a folder of
+    its own, so that a stop in between leaves the last ones; `latest_counters`
+    reads them. The state holds one row per value."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     query = (
         stream.groupBy(*by)
@@ -53,6 +54,12 @@ def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint:
     query.awaitTermination()
 
 
+def latest_counters(spark: SparkSession, output: str) -> DataFrame:
+    """The counters of the last batch that was written."""
+    every = spark.read.parquet(output)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def skip_done(inputs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Inputs whose key is not in the output yet."""
     return inputs.join(done.select(*keys), list(keys), "left_anti")

@@ -177,3 +177,11 @@ def test_random_split_narrows_down(spark, few, monkeypatch):
     assert made.where("split = 'validation'").count() == 137
     same = spark.createDataFrame([("x",)] * 50, "k string")
     assert sample.random_split(same, "k", 0.1).where("split = 'validation'").count() == 50
+
+
+def test_positional_ids_of_ties(spark):
+    from gradewright.operators import curate
+
+    df = spark.range(400).select((F.col("id") % 3).cast("string").alias("p"), F.col("id").alias("v"))
+    made = [sorted(map(tuple, curate.positional_ids(df.repartition(n), "p", tie_break=["v"]).collect())) for n in (1, 5)]
+    assert made[0] == made[1] and sorted(r[-1] for r in made[0]) == [f"image_{i:04d}" for i in range(400)]
