@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewright.llm.common import col
-from gradewright.llm.pieces import bounded_groups
 
 LENGTH = 2048
 END_ID = 1
@@ -31,6 +30,7 @@ SENTENCE_PENALTY = 24  # a cut at a sentence end costs as much as so much paddin
 INNER_PENALTY = 96  # a cut inside a sentence
 STEP = 128  # where no sentence ends for a window's length, cuts may fall so far apart
 BLOCK = 1 << 19  # tokens packed at once
+ROWS = 1_000  # pieces handed on at once, about
 
 
 def best_cuts(at: list[int], penalty: list[int], length: int) -> list[int]:
@@ -73,7 +73,8 @@ def candidates(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray, opens: np.
     at = np.flatnonzero(after)
     wide = np.flatnonzero(np.diff(at) > length // 2)
     if len(wide):
-        inner = np.concatenate([np.arange(at[w] + STEP, at[w + 1], STEP) for w in wide])
+        step = min(STEP, max(1, length // 4))
+        inner = np.concatenate([np.arange(at[w] + step, at[w + 1], step) for w in wide])
         at = np.union1d(at, inner)
     penalty = np.where(after[at], SENTENCE_PENALTY, INNER_PENALTY)
     penalty[np.isin(at, ends)] = 0
@@ -127,18 +128,56 @@ class Packer:
         self.size = len(ids) - stop
 
 
-def sentence_ids(tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """Of each id, whether it can close a sentence and whether it can open one."""
-    n = max(tokenizer.get_vocab_size(), END_ID + 1)
-    closes, opens = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    for i in range(tokenizer.get_vocab_size()):
-        text = tokenizer.decode([i], skip_special_tokens=False)
-        closes[i] = text.rstrip("\"')»”").endswith((".", "!", "?", "。", "！", "？", "\n"))
-        opens[i] = text[:1].isspace()
-    return closes, opens
+class Tokenizer:
+    """Ids of a byte-level BPE vocabulary.
 
+    Its ranks are applied by the faster of two libraries; a text that one cannot
+    split (its pattern backtracks too far in very long white space) goes to the
+    other. Strings of special tokens are ordinary text. Both give the same ids.
+    """
+
+    # The vocabulary's split of a text before merging, with possessive repeats.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+    def __init__(self, vocabulary: str, ranks: str):
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.vocabulary, self.whole = vocabulary, None
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return self.encode_whole(text)
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        if self.whole is None:
+            self.whole = tokenizers.Tokenizer.from_file(self.vocabulary)
+            self.whole.encode_special_tokens = True
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def sentence_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each id, whether it can close a sentence and whether one can start with it."""
+        n = max(*self.ranks.values(), END_ID) + 1
+        closes, opens = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        for piece, i in self.ranks.items():
+            text = piece.decode("utf-8", "replace")
+            closes[i] = text.rstrip("\"')»”").endswith((".", "!", "?", "。", "！", "？", "\n"))
+            opens[i] = text[:1].isspace()
+        return closes, opens
+
+
+def pack(docs: DataFrame, vocabulary: str, ranks: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces of documents in sequences of at most `length` tokens.
 
     Returns the key (of any type, repeated or NULL keys too), start, length,
@@ -154,14 +193,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        packer = Packer(*sentence_ids(model), TaskContext.get().partitionId() << 33, length)
+        tokenizer = Tokenizer(vocabulary, ranks)
+        packer = Packer(*tokenizer.sentence_ids(), TaskContext.get().partitionId() << 33, length)
         out, key_type = [], None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,12 +204,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for b in batches:
             key_type = b.schema.field(0).type
-            keys, done = b.column(0), 0
-            for group in bounded_groups(b.column(1)):
-                for e in model.encode_batch_fast(group, add_special_tokens=False):
-                    out += packer.add(keys[done].as_py(), np.array([*e.ids, END_ID], dtype=np.int64))
-                    done += 1
-                if out:
+            for key, text in zip(b.column(0), b.column(1)):
+                ids = np.append(tokenizer.encode(text.as_py()), np.uint32(END_ID))
+                out += packer.add(key.as_py(), ids)
+                if len(out) >= ROWS:
                     yield batch(out)
                     out = []
         out += packer.flush()

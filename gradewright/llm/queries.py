@@ -125,7 +125,7 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_dynamic_packing")
 def dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: a tokenizer and a dynamic program. Tested against all cuts tried."""
-    made = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    made = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return made.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
