@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewright.catalog.registry import query, rounded, table
+from gradewright.catalog.registry import ORACLES, long_rows, query, rounded, sql_long, table
 from gradewright.functions import vectors as vec
 from gradewright.operators import compare, evaluate, stats
 
@@ -87,12 +90,6 @@ def e02(spark, d):
     return rounded(overall, *[c for c in overall.columns if c != "n"])
 
 
-# A JSON text of doubles; e02_overall_metrics and e02_tiers check its numbers.
-@query("e02_x15_evaluation_json")
-def e02_json(spark, d):
-    return evaluate.evaluation_json(samples(spark, d), TIERS, "given vectors")
-
-
 @query("e02_tiers", f"""
 SELECT CAST(position AS INTEGER) AS position, tier, CAST(count(*) FILTER (cosine_similarity >= lo AND cosine_similarity < hi) AS BIGINT) AS n,
   round(count(*) FILTER (cosine_similarity >= lo AND cosine_similarity < hi) * 100.0::DOUBLE / count(*), 6) AS pct FROM {SAMPLES}, {TIER_BOUNDS} GROUP BY position, tier""")
@@ -164,11 +161,46 @@ def w07(spark, d):
     return rounded(compare.metric_table(summary(spark, d), [1, 2, 3, 4]), "1", "2", "3", "4")
 
 
-# All tables of the report in one; each is checked on its own above.
-@query("e05_progress_report")
+OVERALL_COLUMNS = [f"{m}_{k}" for m, kept in evaluate.OVERALL.items() for k in kept]
+
+
+@query("e02_x15_evaluation_json", " UNION ALL ".join([
+    sql_long("overall", ORACLES["e02_overall_metrics"], [], ["n", *OVERALL_COLUMNS]),
+    sql_long("tiers", ORACLES["e02_tiers"], ["tier"], ["n", "pct"]),
+]))
+def e02_json(spark, d):
+    """The JSON text, read back and laid out as rows."""
+    text = evaluate.evaluation_json(samples(spark, d), TIERS, "given vectors").withColumnRenamed("evaluation", "j")
+
+    def number(path):
+        return F.get_json_object("j", f"$.{path}").cast("double")
+
+    overall = text.select(number("metadata.n_samples").alias("n"), *[
+        number(f"overall_metrics.{m}.{k}").alias(f"{m}_{k}") for m, kept in evaluate.OVERALL.items() for k in kept])
+    tiers = [name for name, _ in TIERS] + ["very_poor"]
+    each = text.select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("tier"), number(f"quality_distribution.{t}.count").alias("n"), number(f"quality_distribution.{t}.percentage").alias("pct"))
+        for t in tiers])).alias("t")).select("t.*")
+    return long_rows("overall", overall, [], ["n", *OVERALL_COLUMNS]).unionByName(long_rows("tiers", each, ["tier"], ["n", "pct"]))
+
+
+# Table of the report: SQL of the same table, its keys and its numbers.
+REPORT = {
+    "summary": (ORACLES["e04_w07_stage_summary"], ["stage"], ["n", *STAT_COLUMNS]),
+    "distribution": (ORACLES["e04_stage_tiers"], ["stage", "tier"], ["n", "pct"]),
+    "versus_baseline": (ORACLES["w01_w02_versus_baseline"], ["stage"], ["mean", "baseline_mean", "improvement"]),
+    "progression": (ORACLES["w03_w04_progression"], [], ["stages", "average_step", "plateau"]),
+    "best": (ORACLES["w05_l04_best_stage"], ["stage"], ["mean"]),
+    "most_in_top_tier": (ORACLES["w05_most_in_top_tier"], ["stage"], ["n"]),
+    "efficiency": (ORACLES["w06_efficiency"], ["stage"], ["mean", "cost", "gain", "extra_cost", "efficiency", "recommended"]),
+    "rollup": (f"""SELECT stage, count(*) FILTER (cosine_similarity >= 0) * 100.0::DOUBLE / count(*) AS acceptable_pct,
+      count(*) FILTER (cosine_similarity < 0) * 100.0::DOUBLE / count(*) AS poor_pct FROM {SAMPLES} GROUP BY stage""", ["stage"], ["acceptable_pct", "poor_pct"]),
+}
+
+
+@query("e05_progress_report", " UNION ALL ".join(sql_long(n, *made) for n, made in REPORT.items()))
 def e05(spark, d):
-    out = None
-    for name, df in compare.progress_report(samples(spark, d), tiers=TIERS, cost=COST).items():
-        part = df.select(F.lit(name).alias("table_name"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All tables of the report in one long table."""
+    tables = compare.progress_report(samples(spark, d), tiers=TIERS, cost=COST)
+    parts = [long_rows(n, tables[n], keys, columns) for n, (_, keys, columns) in REPORT.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -36,6 +36,27 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
+# --- tables of different columns as one long table ------------------------------
+
+
+def long_rows(name: str, df: DataFrame, keys, columns) -> DataFrame:
+    """Rows of a report table as table_name, key, metric, value; absent values have no row."""
+    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    cells = [
+        F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("int" if df.schema[c].dataType.simpleString() == "boolean" else "double").cast("double"), 6).alias("value"))
+        for c in columns
+    ]
+    made = df.select(F.lit(name).alias("table_name"), key.alias("key"), F.explode(F.array(*cells)).alias("c"))
+    return made.select("table_name", "key", "c.*").where("value IS NOT NULL")
+
+
+def sql_long(name: str, sql: str, keys, columns) -> str:
+    key = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) or "''"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {key} AS key, '{c}' AS metric, round(CAST({c} AS DOUBLE), 6) AS value FROM ({sql}) WHERE {c} IS NOT NULL" for c in columns
+    )
+
+
 # --- dictionaries of word parts that occur in the test texts ------------------
 DAMAGE_WORDS = ("thble", "erwh", "éeaux", "erkeit", "ciónll", "anea", "ouai")
 VAGUE_WORDS = ("onre", "enst", "éan", "osga")

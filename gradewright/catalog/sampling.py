@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.catalog import curating as cu
-from gradewright.catalog.registry import query, rounded, table
+from gradewright.catalog.registry import long_rows, query, rounded, sql_long, table
 from gradewright.operators import sample, stats
 from gradewright.plans import curation
 
@@ -166,17 +169,35 @@ def e09(spark, d):
     return curated.splits.select("split", "path", "component_type", "damage_type", "text_length")
 
 
-@query("e06_dataset_report")
+TEST_ROWS = "(SELECT * FROM splits WHERE split = 'test')"
+# Table of the report: SQL over the CTEs of CURATED, its keys and its numbers.
+REPORT = {
+    "funnel": ("""SELECT stage, removed, n - sum(removed) OVER (ORDER BY position) AS remaining, (n - sum(removed) OVER (ORDER BY position)) * 100.0::DOUBLE / n AS retention_pct
+      FROM (SELECT position, s.stage, count(r.doc_id) AS removed FROM (SELECT unnest(range(5)) AS position,
+        unnest(['initial', 'missing_values', 'length_constraint', 'excluded_patterns', 'missing_keywords']) AS stage) s LEFT JOIN staged r ON r.stage = s.stage GROUP BY ALL),
+      (SELECT count(*) AS n FROM staged)""", ["stage"], ["removed", "remaining", "retention_pct"]),
+    "split_sizes": ("""SELECT split, n, n * 100.0::DOUBLE / (n + CASE WHEN split = 'test' THEN (SELECT max(n) FROM counts WHERE split <> 'test')
+      ELSE (SELECT n FROM counts WHERE split = 'test') END) AS pct FROM counts""", ["split"], ["n", "pct"]),
+    "component_types": (f"SELECT lang AS component_type, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM {TEST_ROWS}) AS pct FROM {TEST_ROWS} GROUP BY lang", ["component_type"], ["n", "pct"]),
+    "damage_types": (f"SELECT quality AS damage_type, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM {TEST_ROWS}) AS pct FROM {TEST_ROWS} GROUP BY quality", ["damage_type"], ["n", "pct"]),
+    "lengths": ("""SELECT split, count(len) AS n, avg(len) AS mean, quantile_cont(len, 0.5) AS median, stddev_samp(len) AS std, min(len) AS min, max(len) AS max
+      FROM splits GROUP BY split""", ["split"], ["n", "mean", "median", "std", "min", "max"]),
+    "distinct": ("SELECT split, count(DISTINCT lang) AS n_component_type, count(DISTINCT quality) AS n_damage_type FROM splits GROUP BY split", ["split"], ["n_component_type", "n_damage_type"]),
+    "noise": (f"""SELECT sum(t) AS temporal_removed, sum(m) AS maintenance_removed, count(*) FILTER (t + m > 0) AS rows_affected,
+        (SELECT count(*) FROM cleaned JOIN (SELECT doc_id, text AS given FROM {cu.MASTER}) USING (doc_id) WHERE given <> '' AND text = '') AS rows_emptied
+      FROM (SELECT doc_id, count(*) FILTER (class = 'temporal') AS t, count(*) FILTER (class = 'maintenance') AS m, count(*) FILTER (class = 'kept') AS k
+        FROM classed GROUP BY doc_id)""", [], ["temporal_removed", "maintenance_removed", "rows_affected", "rows_emptied"]),
+}
+
+
+@query("e06_dataset_report", f"""{CURATED}, counts AS (SELECT split, count(*) AS n FROM splits GROUP BY split),
+staged AS MATERIALIZED (SELECT * FROM {cu.sql_staged("cleaned")})
+{" UNION ALL ".join(sql_long(n, *made) for n, made in REPORT.items())}""")
 def e06(spark, d):
-    """All report tables in one long table: table name and row as JSON."""
-    parts = [
-        df.select(F.lit(name).alias("table_name"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
-        for name, df in curation.dataset_report(_curated(spark, d), _settings()).items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All tables of the report in one long table."""
+    tables = curation.dataset_report(_curated(spark, d), _settings())
+    parts = [long_rows(n, tables[n], keys, columns) for n, (_, keys, columns) in REPORT.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _settings():
