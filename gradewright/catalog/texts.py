@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradewright.catalog.registry import DAMAGE_WORDS, query, sql_any, sql_strip, sql_tokens, table
+from gradewright.session import settle
 from gradewright.functions import repeats
 from gradewright.functions import text as tx
 from gradewright.functions.grades import clip_unit, ordinal, round_half_even, tier
@@ -104,11 +105,8 @@ def x10(spark, d):
 # SQL has no backreferences; the tests compare with a regex and a plain search.
 @query("x11_repeated_block")
 def x11(spark, d):
-    return table(spark, d, "documents").select(
-        "doc_id",
-        repeats.repeated_block("text").alias("repeats"),
-        repeats.repeated_block("text", across_lines=False).alias("repeats_in_line"),
-    )
+    both = settle(table(spark, d, "documents"), both=repeats.repeated_blocks("text"))
+    return both.select("doc_id", F.col("both.anywhere").alias("repeats"), F.col("both.in_line").alias("repeats_in_line"))
 
 
 @query("x15_as_json", """

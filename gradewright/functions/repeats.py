@@ -61,20 +61,21 @@ def _grams(codes: np.ndarray, k: int) -> np.ndarray:
     return made
 
 
-def has_cube(text: str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True) -> bool:
-    """True if a block of at least `smallest` code points occurs 3 times in a row."""
-    if len(text) < 3 * smallest:
-        return False
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    grams = _grams(codes, smallest)
-    # Count by the top bits of the hash. A chance collision only lets a k-gram
-    # that is unique be taken for a repeated one.
-    bits = min(max(len(grams).bit_length() + 4, 8), 30)
-    slots = (grams >> np.uint64(64 - bits)).astype(np.int64)
-    repeated = np.bincount(slots, minlength=1 << bits)[slots] > 1
-    if not across_lines:
-        breaks = np.concatenate(([0], np.cumsum(codes == 10)))
-        repeated &= breaks[smallest:] == breaks[:-smallest]
+def _repeated(grams: np.ndarray) -> np.ndarray:
+    """Which k-grams occur elsewhere, too, by the top bits of their hash. A chance
+    collision only lets one that is unique be taken for repeated.
+
+    One byte for each of 4 to 8 slots per character, and 32-bit slot numbers.
+    """
+    bits = min(max(len(grams).bit_length() + 2, 8), 31)
+    slots = (grams >> np.uint64(64 - bits)).astype(np.uint32)
+    ranked = np.sort(slots)
+    twice = np.zeros(1 << bits, dtype=bool)
+    twice[ranked[1:][ranked[1:] == ranked[:-1]]] = True
+    return twice[slots]
+
+
+def _cube_in(codes: np.ndarray, repeated: np.ndarray, smallest: int) -> bool:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], repeated.view(np.int8), [0]))))
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts + smallest - 1 >= 3 * smallest
@@ -83,15 +84,42 @@ def has_cube(text: str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True)
     )
 
 
+def has_cubes(text: str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True, in_line: bool = True) -> tuple[bool, bool]:
+    """Whether a block of at least `smallest` code points occurs 3 times in a row,
+    anywhere and within one line; False for the form not asked for."""
+    if len(text) < 3 * smallest:
+        return False, False
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    repeated = _repeated(_grams(codes, smallest))
+    anywhere = _cube_in(codes, repeated, smallest) if across_lines else False
+    if not in_line or (across_lines and not anywhere):
+        return anywhere, False
+    breaks = np.concatenate(([0], np.cumsum(codes == 10)))
+    return anywhere, _cube_in(codes, repeated & (breaks[smallest:] == breaks[:-smallest]), smallest)
+
+
+def has_cube(text: str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True) -> bool:
+    """True if a block of at least `smallest` code points occurs 3 times in a row."""
+    return any(has_cubes(text, smallest, across_lines, not across_lines))
+
+
 def repeated_block(text: Column | str, smallest: int = fv.MIN_BLOCK, across_lines: bool = True) -> Column:
     """Column form of has_cube. NULL in, NULL out: blank out rows that need no
     test, and their text never leaves the JVM."""
 
     @F.arrow_udf("boolean")
     def test(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if t is None else has_cube(t, smallest, across_lines) for t in texts.to_pylist()],
-            pa.bool_(),
-        )
+        return pa.array([None if t is None else has_cube(t, smallest, across_lines) for t in (x.as_py() for x in texts)], pa.bool_())
+
+    return test(col(text))
+
+
+def repeated_blocks(text: Column | str, smallest: int = fv.MIN_BLOCK) -> Column:
+    """Both forms in one pass: struct of `anywhere` and `in_line`; NULL in, NULLs out."""
+
+    @F.arrow_udf("struct<anywhere:boolean,in_line:boolean>")
+    def test(texts: pa.Array) -> pa.Array:
+        made = [(None, None) if t is None else has_cubes(t, smallest) for t in (x.as_py() for x in texts)]
+        return pa.StructArray.from_arrays([pa.array([m[i] for m in made], pa.bool_()) for i in (0, 1)], names=["anywhere", "in_line"])
 
     return test(col(text))

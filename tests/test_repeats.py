@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from gradewright.functions.repeats import has_cube, repeated_block
+from gradewright.functions.repeats import has_cube, has_cubes, repeated_block, repeated_blocks
 
 ANY = re.compile(r"(.{10,}?)\1{2,}", re.DOTALL)
 LINE = re.compile(r"(.{10,})\1{2,}")
@@ -32,6 +32,7 @@ def test_random_texts_against_the_pattern():
         text = noise[0] + block * rng.randint(1, 4) + noise[1]
         assert has_cube(text) == bool(ANY.search(text)), text
         assert has_cube(text, across_lines=False) == bool(LINE.search(text)), text
+        assert has_cubes(text) == (bool(ANY.search(text)), bool(LINE.search(text))), text
         hits += bool(ANY.search(text))
     assert 500 < hits < 3900
 
@@ -48,3 +49,21 @@ def test_column_keeps_nulls(spark):
     df = spark.createDataFrame([(0, "0123456789" * 3), (1, None), (2, "x")], "i int, t string")
     rows = df.orderBy("i").select(repeated_block("t").alias("r")).collect()
     assert [r.r for r in rows] == [True, None, False]
+
+
+def test_both_forms_in_one_column(spark):
+    df = spark.createDataFrame([(0, "0123456789" * 3), (1, None), (2, "01234\n6789" * 3)], "i int, t string")
+    rows = df.orderBy("i").select(repeated_blocks("t").alias("r")).collect()
+    assert [tuple(r.r) for r in rows] == [(True, True), (None, None), (True, False)]
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(500_000))
+    tracemalloc.start()
+    assert has_cubes(text) == (False, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(text)

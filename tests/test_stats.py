@@ -251,8 +251,11 @@ def test_report_tables(spark):
     assert wide.columns == ["position", "metric", "1k", "2k", "3k", "4k"] and wide.count() == 5
 
 
-def test_long_tables_are_no_report(spark):
-    from gradewright.plans.reports import markdown_table
-
-    with pytest.raises(ValueError):
-        markdown_table(spark.range(2000))
+def test_reports_of_any_length(spark):
+    from gradewright.plans.reports import markdown_table, report_lines
+
+    text = markdown_table(spark.range(2500).orderBy("id")).split("\n")
+    assert text[:3] == ["| id |", "|---|", "| 0 |"] and text[-1] == "| 2,499 |" and len(text) == 2502
+    df = spark.createDataFrame([(True, None, 0.5, "a|b"), (None, 1234, None, None)], "b boolean, n int, x double, s string")
+    assert markdown_table(df).split("\n")[2:] == ["| yes | - | 0.5000 | a\\|b |", "| - | 1,234 | - | - |"]
+    assert report_lines("T", {"one_table": df}).count() == 8
