@@ -93,8 +93,8 @@ FROM (SELECT *, {sql_level('raw')} * CASE WHEN raw IS NULL THEN NULL ELSE 1 END
     FROM (SELECT *, CASE WHEN reason_code = 'High Quality' THEN 'PASS' ELSE 'FAIL' END AS quality_verdict, {sql_structure('assistant_text')} FROM {GUARDED}))))))"""
 
 
-def scored(spark, d):
-    return plans.grade_by_keywords(inference(spark, d), GUARD, RULES)
+def scored(spark, d, *columns):
+    return plans.grade_by_keywords(inference(spark, d), GUARD, RULES, columns=columns or fv.SCORED_14)
 
 
 # --- guards -------------------------------------------------------------------
@@ -353,7 +353,7 @@ def _nested(spark, d):
 @query("a01_reason_counts", f"""
 SELECT reason_code, CAST(count(*) AS BIGINT) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM {SCORED} GROUP BY reason_code""")
 def a01(spark, d):
-    counts = stats.count_by(scored(spark, d), "reason_code").orderBy(F.desc("n"), "reason_code")
+    counts = stats.count_by(scored(spark, d, "reason_code"), "reason_code").orderBy(F.desc("n"), "reason_code")
     return rounded(counts, "pct")
 
 
@@ -369,7 +369,7 @@ def a02(spark, d):
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (quality_verdict = 'PASS') AS BIGINT) AS n_pass, CAST(count(*) FILTER (quality_verdict = 'FAIL') AS BIGINT) AS n_fail,
   round(count(*) FILTER (quality_verdict = 'PASS') * 100.0::DOUBLE / count(*), 6) AS pass_pct, round(count(*) FILTER (quality_verdict = 'FAIL') * 100.0::DOUBLE / count(*), 6) AS fail_pct FROM {SCORED}""")
 def a03(spark, d):
-    return rounded(stats.verdict_rates(scored(spark, d)), "pass_pct", "fail_pct")
+    return rounded(stats.verdict_rates(scored(spark, d, "quality_verdict")), "pass_pct", "fail_pct")
 
 
 @query("a04_mean_score", f"SELECT round(avg(priority_score), 6) AS mean_score, round(avg(token_count) FILTER (quality_verdict = 'PASS'), 6) AS mean_tokens FROM {SCORED}")

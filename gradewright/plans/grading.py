@@ -3,6 +3,8 @@ inference results, apart from the optional joins of the rule guard."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,22 @@ def _cosine(df: DataFrame) -> DataFrame:
 
 
 def grade_by_keywords(inference: DataFrame, guard_options: dict | None = None, structure_rules: dict | None = None,
-                      rules: score.ScoreRules = score.DEFAULT_RULES) -> DataFrame:
-    """Calibrated guard, keyword structure and score: 14 columns, no shuffle."""
+                      rules: score.ScoreRules = score.DEFAULT_RULES, columns: Sequence[str] = fv.SCORED_14) -> DataFrame:
+    """Calibrated guard, keyword structure and score: 14 columns, no shuffle.
+
+    With fewer `columns`, rules that none of them needs do not run: costly columns
+    are computed behind generators, which the optimizer does not prune.
+    """
     df = _cosine(require_columns(inference, "image_id", "image_path", "prediction"))
     df = settle(df, assistant_text=F.coalesce(tx.answer_after_pattern("prediction"), F.lit("")))
     df = guard.calibrated_guard(df, "assistant_text", **(guard_options or {}))
+    if set(columns) <= {*df.columns}:
+        return df.select(*columns)
     df = structure.add_keyword_structure(df, "assistant_text", **(structure_rules or {}))
     passed = F.col("quality_verdict") == "PASS"
     df = df.withColumns({c: F.when(passed, F.col(c)) for c in STRUCTURE_COLUMNS})
     df = score.score_guarded(df, rules, components=False, no_score=fv.NO_SCORE)
-    return df.select(*fv.SCORED_14)
+    return df.select(*columns)
 
 
 def grade_with_answers(inference: DataFrame, answers: DataFrame | None = None, manifest: DataFrame | None = None,

@@ -101,3 +101,12 @@ def test_cut_lineage_keeps_the_schema(spark):
     df = spark.createDataFrame([(1, "漢", [1.0], {"a": 1})], "`列 1` int, s string, a array<double>, m map<string,int>")
     cut = cut_lineage(df)
     assert cut.schema == df.schema and cut.collect() == df.collect()
+
+
+def test_counts_of_reasons_run_no_structure_rules(spark):
+    from gradewright.catalog import QUERIES, registry
+
+    rule = registry.TYPE_RULES[0][1][0][0]
+    assert rule in plan(QUERIES["r06_r07_scored_14_columns"](spark, SF))
+    for name in ("a01_reason_counts", "a03_verdict_rates"):
+        assert rule not in plan(QUERIES[name](spark, SF))
