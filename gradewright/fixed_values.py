@@ -291,3 +291,10 @@ SCORED_22 = (
     "risk_factor", "priority_score", "priority_level", "priority_description",
     "raw_damage_score", "raw_severity_score", "raw_location_score",
 )
+
+# --- curation ------------------------------------------------------------------
+FUNNEL_STAGES = ("missing_values", "length_constraint", "excluded_patterns", "missing_keywords")
+QUANTIZATION = "Q5_K_M"
+METADATA_NAMES = {"image": "filename"}
+# Attribute: the column without which it does not count.
+METADATA_ATTRIBUTES = {"component_type": "component_type", "damage_type": "component_type"}

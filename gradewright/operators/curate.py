@@ -14,7 +14,7 @@ from gradewright.functions.text import col
 from gradewright.operators.stats import share
 from gradewright.session import cut_lineage, settle
 
-FUNNEL_STAGES = ("missing_values", "length_constraint", "excluded_patterns", "missing_keywords")
+FUNNEL_STAGES = fv.FUNNEL_STAGES
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -166,15 +166,15 @@ def funnel(df: DataFrame, path: str = fv.PATH_COLUMN, text: str = fv.TEXT_COLUMN
 
 # --- metadata ----------------------------------------------------------------
 
-def prepare_metadata(meta: DataFrame, quantization: str = "Q5_K_M") -> DataFrame:
-    """Metadata of one quantization, keyed by `filename`, with the attributes it has."""
-    meta = equal_if_present(meta, "quantization", quantization)
-    if "image" in meta.columns:
-        meta = meta.withColumnRenamed("image", "filename")
-    wanted = ["filename"]
-    if "component_type" in meta.columns:
-        wanted += [c for c in ("component_type", "damage_type") if c in meta.columns]
-    return meta.select(*wanted)
+def prepare_metadata(meta: DataFrame, quantization: str = fv.QUANTIZATION) -> DataFrame:
+    """Metadata of one quantization, keyed by `filename`, with the attributes it has.
+
+    Columns come under the names of METADATA_NAMES; an attribute counts only where
+    the column it depends on is there.
+    """
+    meta = equal_if_present(meta, "quantization", quantization).withColumnsRenamed(fv.METADATA_NAMES)
+    there = set(meta.columns)
+    return meta.select("filename", *[a for a, needed in fv.METADATA_ATTRIBUTES.items() if {a, needed} <= there])
 
 
 def fill_attributes(df: DataFrame, attributes: Mapping[str, str]) -> DataFrame:
