@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from gradewright import fixed_values as fv
-from gradewright.session import cut_lineage, if_small, settle
+from gradewright.session import cut_lineage, settle
 
 HASH_RANGE_DIGITS = 4
 BOUND_DIGITS = 12
@@ -118,7 +118,7 @@ def range_counts(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
     return cut_lineage(rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("size")))
 
 
-def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str], n_strata: int) -> DataFrame:
+def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Rows whose hash may be among the lowest of their stratum: below the share
     asked for and ten standard deviations more."""
     wanted = F.col("target") + 10 * F.sqrt("target") + 100
@@ -127,14 +127,13 @@ def below_bound(rows: DataFrame, targets: DataFrame, strata: Sequence[str], n_st
     # 'g' is above every hash.
     bound = F.when(wanted >= F.col("size"), "g").otherwise(text)
     bounds = targets.where(F.col("target") > 0).select(*strata, bound.alias("_bound"))
-    return _null_safe(rows, if_small(bounds, n_strata), strata).where(F.col("_hash") < F.col("_bound")).drop("_bound")
+    return _null_safe(rows, bounds, strata).where(F.col("_hash") < F.col("_bound")).drop("_bound")
 
 
 def take(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str) -> DataFrame:
     """The `target` rows of lowest hash per stratum, all if there are fewer. `rows`
     carries `_hash`; `targets` has target and size per stratum, and is a table."""
-    n_strata = targets.count()
-    kept = with_range(cut_lineage(below_bound(rows, targets, strata, n_strata)))
+    kept = with_range(cut_lineage(below_bound(rows, targets, strata)))
     counts = range_counts(kept, strata)
     needed = targets.select(*strata, F.least("target", "size").alias("target"), F.lit(0).alias("size"))
     found = counts.select(*strata, F.lit(0).alias("target"), "size")
@@ -142,10 +141,10 @@ def take(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str) -
     if not both.where(F.col("size") < F.col("target")).isEmpty():
         kept = with_range(rows)
         counts = range_counts(kept, strata)
-    return draw(kept, targets, strata, key, counts, n_strata)
+    return draw(kept, targets, strata, key, counts)
 
 
-def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, counts: DataFrame, n_strata: int) -> DataFrame:
+def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, counts: DataFrame) -> DataFrame:
     """The `target` rows of lowest hash per stratum. `rows` carries `_hash` and
     `_range`; `counts` holds its rows per stratum and `_range`."""
     through = F.sum("size").over(W.Window.partitionBy(*strata).orderBy("_range"))
@@ -156,7 +155,7 @@ def draw(rows: DataFrame, targets: DataFrame, strata: Sequence[str], key: str, c
         .groupBy(*strata)
         .agg(F.max("_range").alias("_last"), F.max("_before").alias("_before"), F.max("target").alias("_target"))
     )
-    chosen = _null_safe(rows, if_small(cuts, n_strata), strata).where(F.col("_range") <= F.col("_last"))
+    chosen = _null_safe(rows, cuts, strata).where(F.col("_range") <= F.col("_last"))
     others = [c for c in rows.columns if c not in ("_hash", "_range", key)]
     # What tells rows of one key apart; only the rows of the chosen ranges are looked at.
     rest = F.md5(F.to_json(F.struct(F.lit(0).alias("k"), *others), {"ignoreNullFields": "false"}))
@@ -195,7 +194,7 @@ def hold_out(df: DataFrame, n: int, strata: Sequence[str], key: str, seed: int =
     if available < n:
         raise ValueError(f"{available} rows are fewer than the {n} asked for")
     test = cut_lineage(take(with_hash(df, key, seed), targets, strata, key))
-    return test, df.join(if_small(test.select(key), n), key, "left_anti")
+    return test, df.join(test.select(key), key, "left_anti")
 
 
 def hold_out_report(df: DataFrame, test: DataFrame, pool: DataFrame) -> DataFrame:

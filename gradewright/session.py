@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a counted table of keys is broadcast, of at most so many bytes each.
-BROADCAST_ROWS = 100_000
-BROADCAST_ROW_BYTES = 512
 _OWN: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -78,14 +75,3 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     made = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select(*kept, F.inline(F.array(made)))
-
-
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of known length and short rows; any other is joined by shuffle.
-
-    Rows count as short by the widest one, found with one aggregate.
-    """
-    if rows > BROADCAST_ROWS:
-        return df
-    width = df.agg(F.max(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
-    return F.broadcast(df) if width <= BROADCAST_ROW_BYTES else df

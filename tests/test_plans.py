@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gradewright.functions import text as tx
 from gradewright.operators import curate, guard, keywords, sample
 from gradewright.plans import grading
-from gradewright.session import cut_lineage, if_small, settle
+from gradewright.session import cut_lineage, settle
 from tests.oracle import plan
 
 SF = "/root/testdata/sf0.001"
@@ -85,10 +85,11 @@ def test_metadata_joins_as_a_broadcast_only_by_size(spark, docs):
     assert "Broadcast" not in text and "SortMergeJoin" in text
 
 
-def test_only_counted_tables_are_broadcast(docs):
-    assert if_small(docs, 10**9) is docs
-    joined = docs.join(if_small(docs.select("doc_id"), 5), "doc_id")
-    assert "BroadcastHashJoin" in plan(joined)
+def test_the_size_of_written_tables_decides_on_a_broadcast(spark, docs):
+    keys = cut_lineage(docs.select("doc_id"))
+    assert "BroadcastHashJoin" in plan(docs.join(keys, "doc_id"))
+    wide = cut_lineage(spark.range(3_000_000).select(F.col("id").alias("doc_id")))
+    assert "BroadcastHashJoin" not in plan(wide.join(wide.select("doc_id"), "doc_id"))
 
 
 def test_settled_columns_keep_nulls_and_rows(spark):
