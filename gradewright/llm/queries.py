@@ -134,8 +134,7 @@ def dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_classes")
 def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: XXH64. Tested against all pairs compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.classes(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 @query("op5_histogram_shards")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gradewright.llm.common import col, free_names, without
+from gradewright.llm.common import col
 from gradewright.session import cut_lineage
 
 RADIUS = 3
@@ -161,44 +162,45 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(col("root").alias("node"), "root").distinct())
 
 
-def labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str, str]:
-    """The rows with row_number and component_id, and the names of two more
-    columns: the fingerprint as a number, and the component's smallest one."""
-    fp, root = free_names(docs, "_fp", "_root")
-    hashed = docs.withColumn(fp, fingerprint(text)).withColumn("row_number", F.monotonically_increasing_id())
-    hashed = cut_lineage(hashed)
-    fps = cut_lineage(hashed.groupBy(col(fp).alias("fp")).agg(F.min(col(key)).alias("first")))
+def labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, mark (a hash of the text), fp, component_id and root, the component's
+    smallest fingerprint; a written table of numbers, without the texts."""
+    ids = cut_lineage(docs.select(
+        col(key).alias("key"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"), fingerprint(text).alias("fp")))
+    fps = cut_lineage(ids.groupBy("fp").agg(F.min("key").alias("first")))
     roots = cut_lineage(components(links(fps.select("fp"))))
     linked = fps.join(roots, col("fp") == col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = cut_lineage(linked)
     named = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    found = linked.join(named, "root").select(col("fp").alias("_found"), col("root").alias(root), "component_id")
-    found = cut_lineage(found)
-    return hashed.join(found, col(fp) == col("_found")).drop("_found"), fp, root
+    found = cut_lineage(linked.select("fp", "root").join(named, "root"))
+    return ids.join(found, "fp")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add `fingerprint` (16 hex digits) and `component_id`.
+    """The key, `fingerprint` (16 hex digits) and `component_id` of every row.
 
     The component is named by its smallest key; NULL keys do not name one, so it
     is NULL where no row of a component has a key. NULL texts count as empty;
     texts without words share fingerprint 0 and link like any other. Repeated rows
-    fall into one component. Input columns called like an added one give way.
+    fall into one component and stay repeated. Other columns are not read.
     """
-    docs = without(docs, "fingerprint", "component_id", "row_number", "_found")
-    made, fp, _ = labelled(docs, key, text)
-    return made.select(*[col(c) for c in docs.columns], hex_of(fp).alias("fingerprint"), "component_id")
+    return labelled(docs, key, text).select(col("key").alias(key), hex_of("fp").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the smallest key's, of equal ones the first stored.
+    """One row of each component, with the columns of the input.
 
-    A component without keys keeps its first stored row. Columns of the input.
+    The smallest key's row stays; among texts of that key the one of smallest
+    hash, and of rows that agree in key and text any. A component without keys
+    keeps the text of smallest hash.
     """
+    place = F.struct(col("key").isNull().alias("none"), "key", "mark")
+    first = labelled(docs, key, text).groupBy("root").agg(F.min(place).alias("first"))
+    first = cut_lineage(first.select(F.col("first.key").alias("of"), F.col("first.mark").alias("text_mark")))
     held = docs.select(
-        F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"), col(text).alias("text"))
-    found, _, root = labelled(held, "key", "text")
-    found = cut_lineage(found.select("row", "row_number", F.struct(col("key").isNull().alias("none"), "key", "row_number").alias("place"), root))
-    # A missing key is last; equal keys by place in the written table.
-    first = cut_lineage(found.groupBy(root).agg(F.min("place").alias("first")).select(F.col("first.row_number").alias("row_number")))
-    return found.join(first, "row_number", "left_semi").select("row.*")
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
+        F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"))
+    kept = held.join(first, col("key").eqNullSafe(col("of")) & (col("mark") == col("text_mark")))
+    # Texts move once: the rows of a key and text are together for both steps.
+    rank = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(0)))
+    return kept.withColumn("rank", rank).where("rank = 1").select("row.*")
