@@ -42,7 +42,7 @@ LANGUAGE_WORDS = {
 class Reader:
     """Hashes of a text's words, through a bounded table of words met before."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.table: dict[str, int] = {}
         self.limit = limit
 
@@ -297,15 +297,15 @@ def score(model: Model, text: Column | str) -> Column:
             return (1 / (1 + np.exp(-np.clip(values - shift, -30, 30)))).tolist()
 
         for batch in batches:
-            out, group, size = [], [], 0
+            group, size = [], 0
             for t in batch:
                 group.append(read(t.as_py() or ""))
                 size += len(group[-1])
-                if size > 100_000:
-                    out += scored(group)
+                if size > 50_000:
+                    yield pa.array(scored(group), pa.float64())
                     group, size = [], 0
-            out += scored(group) if group else []
-            yield pa.array(out, pa.float64())
+            if group:
+                yield pa.array(scored(group), pa.float64())
 
     return F.round(run(F.coalesce(col(text), F.lit(""))), 6)
 
