@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from gradewright.llm.common import col, without
 
-TABLE_WORDS = 200_000  # entries of a task's table
+TABLE_WORDS = 150_000  # entries of a task's table
 LONG_WORD = 64  # longer ones are segmented each time, not kept
 
 
@@ -88,20 +88,16 @@ def encode(docs: DataFrame, model: str, text: str = "text", decoded: bool = True
 
         segmenter = Segmenter(model)
         for texts in batches:
-            parts: list[bytes] = []
-            back: list[str] = []
             for group in bounded_groups(texts):
-                made = segmenter.encode(group)
-                parts += made
+                parts = segmenter.encode(group)
+                ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int64)
+                ids = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
+                arrays, names = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["ids"]
                 if decoded:
-                    back += segmenter.model.decode([np.frombuffer(m, "<i4").tolist() for m in made], num_threads=1)
-            ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            arrays, names = [ids], ["ids"]
-            if decoded:
-                arrays.append(pa.array(back, pa.string()))
-                names.append("decoded")
-            yield pa.StructArray.from_arrays(arrays, names=names)
+                    back = segmenter.model.decode([np.frombuffer(p, "<i4").tolist() for p in parts], num_threads=1)
+                    arrays.append(pa.array(back, pa.string()))
+                    names.append("decoded")
+                yield pa.StructArray.from_arrays(arrays, names=names)
 
     made = run(F.coalesce(col(text), F.lit("")))
     return docs.select("*", F.inline(F.array(made)))
