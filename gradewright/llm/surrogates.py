@@ -33,7 +33,7 @@ SURNAMES = {
     "latin": "Smith Miller Brown Wilson Taylor Clark Lewis Walker Garcia Lopez Martinez Torres Müller Schmidt Fischer Weber Wagner Becker Bernard Dubois Moreau Laurent Lefebvre Rossi Novak Jensen Hansen Larsen".split(),
     "cyrillic": "Иванов Петров Сидоров Кузнецов Смирнов Попов Соколов Лебедев".split(),
 }
-TITLES = {"m": "Mr Mr. Herr Señor Sr. Monsieur".split(), "f": "Mrs Mrs. Ms Ms. Miss Frau Señora Sra. Madame Mme".split()}
+TITLES = {"m": "Mr Mr. Herr Señor Sr. Monsieur".split(), "f": "Mrs Mrs. Ms Ms. Miss Frau Señora Sra. Madame Mme".split(), "": "Dr Dr. Prof Prof. Mx Mx.".split()}
 ATTEMPTS = 12  # after so many collisions an entity gets a marked, certainly distinct surrogate
 
 
@@ -46,7 +46,7 @@ def _every_given() -> list[str]:
 
 
 NAME = r"\p{Lu}[\p{L}'’-]+"
-_TITLED = _any(TITLES["m"] + TITLES["f"])
+_TITLED = _any([t for titles in TITLES.values() for t in titles])
 #: Types in the order in which they are looked for at a place.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
@@ -170,22 +170,30 @@ def _picked(names: list[str], digest: Column, at: int) -> Column:
 def _name(entity: Column, key: Key, attempt: Column) -> Column:
     """Title kept; given name of the same gender and script, surname of the same script."""
     words = F.split(entity, " ")
-    titled = F.element_at(words, 1).isin(*TITLES["m"], *TITLES["f"])
+    title = F.element_at(words, 1)
+    titled = title.isin(*[t for titles in TITLES.values() for t in titles])
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
     # Each word of a name has its own replacement, so parts of a name agree across mentions.
-    def part(w: Column) -> Column:
+    def part(w: Column, i: Column) -> Column:
         digest = key.digest(F.lit("name"), w, attempt.cast("string"))
+
         def surname(at: int) -> Column:
             return F.when(cyrillic, _picked(SURNAMES["cyrillic"], digest, at)).otherwise(_picked(SURNAMES["latin"], digest, at))
 
+        def given(gender: str) -> Column:
+            return F.when(cyrillic, _picked(GIVEN[gender, "cyrillic"], digest, 1)).otherwise(_picked(GIVEN[gender, "latin"], digest, 1))
+
         # Later attempts join surnames, so that there are always names left.
         made = F.when(attempt < 2, surname(1)).when(attempt < 5, F.concat_ws("-", surname(1), surname(9))).otherwise(
             F.concat_ws("-", surname(1), surname(9), surname(17)))
-        for (gender, script), names in GIVEN.items():
+        # A first name that no list has goes by its title.
+        first = titled & (i == 1) & (F.size(words) == 3)
+        made = F.when(first & title.isin(*TITLES["m"]), given("m")).when(first & title.isin(*TITLES["f"]), given("f")).otherwise(made)
+        for (_gender, _script), names in GIVEN.items():
             made = F.when(w.isin(*names), _picked(names, digest, 1)).otherwise(made)
         return made
 
-    return F.array_join(F.transform(words, lambda w, i: F.when(titled & (i == 0), w).otherwise(part(w))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when(titled & (i == 0), w).otherwise(part(w, i))), " ")
 
 
 def _email(entity: Column, key: Key, attempt: Column) -> Column:

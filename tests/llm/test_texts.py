@@ -146,6 +146,14 @@ def test_surrogates_keep_type_and_format(spark):
     assert other != rows[2]["text"]
 
 
+def test_titles_tell_the_gender_of_unknown_names(spark):
+    docs = spark.createDataFrame([(1, "Mr. Zaphod Weber, Frau Trillian Weber, Dr. Weber")], "doc_id int, text string")
+    made = {e["entity"]: e["surrogate"].split() for e in surrogates.replace(docs).first()["entities"]}
+    assert made["Mr. Zaphod Weber"][1] in surrogates.GIVEN["m", "latin"]
+    assert made["Frau Trillian Weber"][1] in surrogates.GIVEN["f", "latin"]
+    assert made["Dr. Weber"][0] == "Dr." and {m[-1] for m in made.values()} == {made["Dr. Weber"][1]}
+
+
 def test_surrogates_are_distinct_and_no_entity(spark):
     """Octets of one digit leave few surrogates, names fewer still: collisions are certain."""
     ips = [f"{a}.{b}.{c}.1" for a in range(1, 9) for b in range(8) for c in range(8)]
