@@ -213,7 +213,9 @@ def classes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"),
         F.sum(mixed.bitwiseAND(F.lit((1 << 31) - 1))).alias("low"), F.sum(F.shiftrightunsigned(mixed, 32)).alias("high"))
     token = cut_lineage(token)
-    host = token.where("path = '' and block is null").select(col("host").alias("of"), col("pages").alias("host_pages"), col("chars").alias("host_chars"))
+    # Written by itself: by its size it is broadcast, or the join may split a host's many tokens.
+    host = cut_lineage(token.where("path = '' and block is null").select(
+        col("host").alias("of"), col("pages").alias("host_pages"), col("chars").alias("host_chars")))
     kept = token.join(host, col("host") == col("of")).where(
         (col("pages") >= SUPPORT * col("host_pages")) & (col("block").isNull() | (col("pages") >= CONSTANT * col("host_pages"))))
     depth = F.size(F.split("path", "/")) - 1
