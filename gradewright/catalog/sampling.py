@@ -109,6 +109,20 @@ def splits(spark, d):
     return test.withColumn("split", F.lit("test")).unionByName(named)
 
 
+@query("m03_repeated_keys", f"""
+SELECT CAST(count(*) + count(*) FILTER (WHERE doc_id % 5 = 0) AS BIGINT) AS rows, CAST({N} AS BIGINT) AS test,
+  CAST(count(*) + count(*) FILTER (WHERE doc_id % 5 = 0) - {N} AS BIGINT) AS rest, CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS moved FROM documents""")
+def m03_repeated(spark, d):
+    """Every fifth key twice: the parts add up, share no key, and do not depend on the partitioning."""
+    copies = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    df = corpus(spark, d).withColumn("copy", F.explode(copies))
+    test, pool = sample.hold_out(df.repartition(3), N, STRATA, "doc_id")
+    again, _ = sample.hold_out(df.repartition(7), N, STRATA, "doc_id")
+    report = sample.hold_out_report(df, test, pool).select("rows", "test", (F.col("pool") + F.col("dropped")).alias("rest"))
+    moved = test.exceptAll(again).agg(F.count(F.lit(1)).alias("moved"))
+    return report.withColumns({"shared": sample.overlap(test, pool, "doc_id").scalar(), "moved": moved.scalar()})
+
+
 @query("m04_training_sets", f"{SPLIT_SQL} SELECT split, doc_id, lang, quality FROM splits")
 def m04(spark, d):
     return splits(spark, d).select("split", "doc_id", "lang", "quality")
