@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -182,34 +184,38 @@ def _ranked(rows: DataFrame, columns: Sequence[str], points: Sequence[float], by
     (array, one number per point).
 
     Two shuffles, whatever the values: equal numbers of a group are counted with
-    map-side combining, the counts are range-partitioned by group and number and
-    written. Running sums inside each partition, after the totals of the partitions
-    before it, tell which number holds a rank. No task holds a group.
+    map-side combining, and the counts are range-partitioned by group and number.
+    They are written in that order with a running sum per partition. A number's
+    place in its group follows from the totals of the partitions and the place at
+    which its group begins, so no task holds a group.
     """
-    key = F.to_json(F.struct(F.lit(0).alias("k"), *by), {"ignoreNullFields": "false"})
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).alias("_v")) for i, c in enumerate(columns)])).alias("_c")
     counts = rows.select(*by, cells).select(*by, "_c.*").where("_v is not null").groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = cut_lineage(
-        counts.withColumn("_key", key).repartitionByRange("_key", "_i", "_v").withColumn("_part", F.spark_partition_id()))
-    # A row per partition and group that meets it: partitions plus groups at most.
-    totals = placed.groupBy("_key", "_i", "_part").agg(F.sum("_n").alias("_n"))
-    group = W.Window.partitionBy("_key", "_i")
-    totals = totals.select(
-        "_key", "_i", "_part", (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(group).alias("_all"))
-    order = W.Window.partitionBy("_key", "_i", "_part").orderBy("_v")
-    summed = placed.withColumn("_to", F.sum("_n").over(order)).join(totals, ["_key", "_i", "_part"])
-    to, start = F.col("_start") + F.col("_to"), F.col("_start") + F.col("_to") - F.col("_n")
+    order = [*by, "_i", "_v"]
+    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_part": F.spark_partition_id(), "_to": F.lit(0).cast("long")})
+    placed = cut_lineage(placed.mapInArrow(_running, placed.schema))
+    # A row per partition.
+    parts = placed.groupBy("_part").agg(F.sum("_n").alias("_n"))
+    parts = cut_lineage(parts.select(F.col("_part"), (F.sum("_n").over(W.Window.orderBy("_part")) - F.col("_n")).alias("_before")))
+    placed = placed.join(parts, "_part").withColumn("_to", F.col("_before") + F.col("_to")).drop("_before")
+    start = F.col("_to") - F.col("_n")
+    groups = cut_lineage(placed.groupBy(*by, "_i").agg(F.sum("_n").alias("_all"), F.min(start).alias("_start")).toDF(
+        *[f"_of_{c}" for c in by], "_of_i", "_all", "_start"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_i") == F.col("_of_i"))
+    summed = placed.join(groups, same)
     ends = []
     for j, p in enumerate(points):
         at = F.lit(float(p)) * (F.col("_all") - 1)
         low = F.floor(at)
         high = F.least(low + 1, F.col("_all") - 1)
         for name, rank in (("a", low), ("b", high)):
-            ends.append(F.when((start <= rank) & (rank < to), F.col("_v")).alias(f"_{name}{j}"))
+            rank = F.col("_start") + rank
+            ends.append(F.when((start <= rank) & (rank < F.col("_to")), F.col("_v")).alias(f"_{name}{j}"))
         ends.append((at - low).alias(f"_t{j}"))
-    held = [f"_{n}{j}" for j in range(len(points)) for n in "ab"]
-    hits = summed.select(*by, "_key", "_i", *ends).where(F.coalesce(*held).isNotNull())
-    met = hits.groupBy("_key", *by, "_i").agg(*[F.max(c).alias(c) for c in held], *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(points))])
+    found = [f"_{n}{j}" for j in range(len(points)) for n in "ab"]
+    hits = summed.select(*by, "_i", *ends).where(F.coalesce(*found).isNotNull())
+    met = hits.groupBy(*by, "_i").agg(*[F.max(c).alias(c) for c in found], *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(points))])
 
     def between(j: int) -> Column:
         a, b, t = F.col(f"_a{j}"), F.col(f"_b{j}"), F.col(f"_t{j}")
@@ -218,6 +224,15 @@ def _ranked(rows: DataFrame, columns: Sequence[str], points: Sequence[float], by
     return met.select(*by, "_i", F.array(*[between(j) for j in range(len(points))]).alias("_q"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fill `_to` with the running sum of `_n` through a partition."""
+    before = 0
+    for b in batches:
+        to = np.cumsum(b.column("_n").to_numpy(zero_copy_only=False)) + before
+        before = int(to[-1]) if len(to) else before
+        yield b.set_column(b.schema.get_field_index("_to"), "_to", pa.array(to, pa.int64()))
+
+
 # --- summaries ---------------------------------------------------------------
 
 STATISTICS = ("n", "mean", "std", "median", "min", "max", "q25", "q75", "invalid")
