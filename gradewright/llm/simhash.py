@@ -195,7 +195,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     keeps the text of smallest hash.
     """
     place = F.struct(col("key").isNull().alias("none"), "key", "mark")
-    first = labelled(docs, key, text).groupBy("root").agg(F.min(place).alias("first"))
+    return rows_of(docs, labelled(docs, key, text).groupBy("root").agg(F.min(place).alias("first")), key, text)
+
+
+def rows_of(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
+    """One input row for each key and mark in the column `first`."""
     first = cut_lineage(first.select(F.col("first.key").alias("of"), F.col("first.mark").alias("text_mark")))
     held = docs.select(
         F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gradewright.llm import nearest, packing, pages, sharding, simhash, toxicity
+from gradewright.llm import copies, nearest, packing, pages, sharding, simhash, toxicity
 from tests.llm.cases import BASE, hard_documents, no_documents, plain
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -293,6 +293,47 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert made == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1200)}, -5: -5, -4: -5}
 
 
+def jaccard_five(a, b):
+    sets = []
+    for text in (a, b):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        sets.append({" ".join(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def edited_texts():
+    """Texts with copies of which 1 to 8 words are replaced: similarities around 0.8."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(40):
+        own = [f"w{j}" for j in rng.integers(0, 3000, 200)]
+        texts.append(" ".join(own))
+        for n in range(1, 9):
+            other = list(own)
+            for j in rng.choice(200, n, replace=False):
+                other[j] = f"new{i}-{n}-{j}"
+            texts.append(" ".join(other))
+    return texts
+
+
+@pytest.mark.parametrize("cell", [copies.CELL, 1000])
+def test_near_copies_of_a_fifth(spark, cell):
+    """Groups are those of all pairs with a 5-word Jaccard similarity of 0.8 or more."""
+    texts = edited_texts()
+    docs = hard_documents(spark).unionByName(
+        spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), allowMissingColumns=True)
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if i // 9 == j // 9 and label[i] != label[j] and jaccard_five(texts[i], texts[j]) >= 0.8:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    kept = copies.one_of_each(docs, cell=cell)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id >= 1000").collect()) == sorted({1000 + x for x in label})
+    assert kept.where("doc_id in (1, 2) or doc_id is null").count() == 2  # the copies of 1 are gone
+    assert 40 < len(set(label)) < 300 and copies.one_of_each(no_documents(spark)).count() == 0
+
+
 # --- toxicity -----------------------------------------------------------------------
 
 
