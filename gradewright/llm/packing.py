@@ -133,7 +133,8 @@ class Tokenizer:
 
     Its ranks are applied by the faster of two libraries; a text that one cannot
     split (its pattern backtracks too far in very long white space) goes to the
-    other. Strings of special tokens are ordinary text. Both give the same ids.
+    other, and so does one that holds the string of an added token, which is one
+    id. Both give the same ids.
     """
 
     # The vocabulary's split of a text before merging, with possessive repeats.
@@ -141,6 +142,7 @@ class Tokenizer:
 
     def __init__(self, vocabulary: str, ranks: str):
         import base64
+        import json
 
         import tiktoken
 
@@ -148,8 +150,12 @@ class Tokenizer:
             self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.vocabulary, self.whole = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as file:
+            self.added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
 
     def encode(self, text: str) -> np.ndarray:
+        if any(token in text for token in self.added):
+            return self.encode_whole(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         except ValueError:
@@ -163,12 +169,11 @@ class Tokenizer:
 
         if self.whole is None:
             self.whole = tokenizers.Tokenizer.from_file(self.vocabulary)
-            self.whole.encode_special_tokens = True
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def sentence_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each id, whether it can close a sentence and whether one can start with it."""
-        n = max(*self.ranks.values(), END_ID) + 1
+        n = max(*self.ranks.values(), *self.added.values(), END_ID) + 1
         closes, opens = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         for piece, i in self.ranks.items():
             text = piece.decode("utf-8", "replace")

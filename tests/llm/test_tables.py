@@ -197,6 +197,21 @@ def test_ranks_give_the_vocabularys_ids(text):
 TOKENIZER = packing.Tokenizer(VOCABULARY, RANKS)
 
 
+def test_added_tokens_are_one_id(spark):
+    """Ids are those of the library with its defaults, strings of added tokens included."""
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(VOCABULARY)
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x. ", f"One. {end}\n" + BASE, f"{' ' * 300_000}x{end}", "<|endoftext|", "<|END|>", "plain text"]
+    want = {i: model.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[0] == [64, 50256, 65]
+    for i, t in enumerate(texts):
+        assert TOKENIZER.encode(t).tolist() == want[i]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    check_pieces(packing.pack(docs, VOCABULARY, RANKS, length=64).collect(), {i: [[*v, 1]] for i, v in want.items()}, 64)
+
+
 def test_very_long_white_space():
     for text in (" " * 300_000 + "x", "\n" * 100_000, "x" * 100_000):
         assert TOKENIZER.encode(text).tolist() == TOKENIZER.encode_whole(text).tolist()
