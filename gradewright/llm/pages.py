@@ -49,6 +49,8 @@ ASIDE_NAMES = set(
     "form login search pagination pager toolbar skip".split()
 )
 HEAD_NAMES = set("header masthead topbar".split())
+# After these a name tells a state of the page, as in `with-sidebar`, and not what the element is.
+STATES = set("no not has with without hide hidden show".split())
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table body html article section div main nav".split())
@@ -60,14 +62,23 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Element:
-    __slots__ = ("aside", "name", "path", "within")
+    __slots__ = ("aside", "chars", "main", "marked", "name", "parent", "path", "within")
 
-    def __init__(self, name: str, path: str, aside: bool, within: bool):
-        self.name, self.path, self.aside, self.within = name, path, aside, within
+    def __init__(self, name: str, path: str, parent: Element | None, marked: bool, within: bool):
+        self.name, self.path, self.parent, self.marked, self.within = name, path, parent, marked, within
+        self.aside = marked or (parent is not None and parent.aside)
+        self.chars = self.main = 0  # running text below, and the most of it in an article or main element
+
+    def around(self) -> Iterator[Element]:
+        """The element and those around it."""
+        at: Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
 
 
 def _opened(name: str, rest: str, parent: Element) -> Element:
-    label, aside = name, parent.aside or name in ASIDE
+    label, aside = name, name in ASIDE
     within = parent.within or name in ("article", "main")
     if "=" in rest:
         for m in NAMED.finditer(rest):
@@ -78,17 +89,57 @@ def _opened(name: str, rest: str, parent: Element) -> Element:
                 aside = aside or value in ASIDE_ROLES
                 within = within or value == "main"
             else:
-                if name != "body" and name != "html":
-                    aside = aside or not ASIDE_NAMES.isdisjoint(words) or (not within and not HEAD_NAMES.isdisjoint(words))
+                if name not in ("html", "body", "article", "main"):
+                    own = {w for v in value.split() for w in _names(v)}
+                    aside = aside or not ASIDE_NAMES.isdisjoint(own) or (not within and not HEAD_NAMES.isdisjoint(own))
                 label += ("." if kind == "class" else "#") + "-".join(w for w in words if w)
     aside = aside or (name == "header" and not within)
-    return Element(name, f"{parent.path}/{label}", aside, within)
+    return Element(name, f"{parent.path}/{label}", parent, aside, within)
+
+
+def _names(value: str) -> list[str]:
+    """Words of one class or id that name the element."""
+    words = [w for w in re.split(r"[^a-z]+", value) if w]
+    return [w for i, w in enumerate(words) if not STATES.intersection(words[:i])]
+
+
+def _settle(blocks: list[tuple[Element, str]]) -> None:
+    """Take marks from elements that hold the article, so that `aside` is whether a block lies beside it.
+
+    Such an element has most of the page's running text, and it is a form, or has
+    most of that text in an article or main element, or no text would be left.
+    """
+    total = sum(len(text) for _, text in blocks)
+    held = {}
+    for owner, text in blocks:
+        article = None
+        for e in owner.around():
+            e.chars += len(text)
+            held[id(e)] = e
+            if e.name in ("article", "main"):
+                article = e
+            if article is not None:
+                e.main = max(e.main, article.chars)
+    while True:
+        clear = any(not any(e.marked for e in owner.around()) for owner, _ in blocks)
+        lifted = [
+            e for e in held.values()
+            if e.marked and 2 * e.chars > total and (e.name == "form" or 2 * e.main > total or not clear)
+            and not any(x.marked for x in e.around() if x is not e)
+        ]
+        if not lifted:
+            break
+        for e in lifted:
+            e.marked = False
+    for owner, _ in blocks:
+        owner.aside = any(e.marked for e in owner.around())
 
 
 def read_page(html: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
     """Paths of the elements in order, and blocks of text: path, beside the article, text."""
-    root = Element("", "", False, False)
-    stack, paths, blocks = [root], [], []
+    root = Element("", "", None, False, False)
+    stack, paths = [root], []
+    blocks: list[tuple[Element, str]] = []
     parts: list[str] = []
     owner = root
 
@@ -97,7 +148,7 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks.append((owner.path, owner.aside, text))
+                blocks.append((owner, text))
 
     def add(text: str) -> None:
         nonlocal owner
@@ -147,7 +198,8 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             stack.append(made)
     add(html[at:])
     close_block()
-    return paths, blocks
+    _settle(blocks)
+    return paths, [(owner.path, owner.aside, text) for owner, text in blocks]
 
 
 def block_hash(path: str, text: str) -> int:

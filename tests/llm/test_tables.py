@@ -432,6 +432,25 @@ def test_pages(spark):
     assert slots["a.example.com"] == "/html/body/div#content"
 
 
+WRAPPERS = [
+    "<div class='layout with-sidebar'>{}</div>", "<article class='post no-comments'>{}</article>", "<main class='has-sidebar'>{}</main>",
+    "<form id='aspnetForm'>{}</form>", "<form><div class='page sidebar'>{}</div></form>", "<article class='share'>{}</article>",
+    "<div class='social'><p>Stray</p><main>{}</main></div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_do_not_hold_on_the_article(wrapper):
+    article = "<p>" + "The article goes on for some time. " * 9 + "</p>"
+    made = pages.text_of(f"<body><nav>Menu</nav>{wrapper.format(article + '<div class=share>Share</div>')}<div class='comments'>First!</div></body>", [], set())
+    assert made.replace("Stray\n", "") == ("The article goes on for some time. " * 9).strip()
+
+
+def test_long_comments_stay_beside():
+    made = pages.text_of("<body><div><p>Short.</p></div><div class='comments'>" + "<p>Much is said here.</p>" * 50 + "</div></body>", [], set())
+    assert made == "Short."
+
+
 def test_template_words_are_left_out(spark):
     """A block that nearly all different pages of a host print is the template's; a common one is not."""
     rows = [page(f"<p>Share this page</p><p>Text {i}</p>" + ("<p>common</p>" if i % 2 else ""), i) for i in range(20)]
