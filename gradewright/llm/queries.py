@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
+from gradewright.llm import infill, licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +190,30 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""")
 def kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_piece_table_infill", r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(tok) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(tok) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(tok) + 1) AS c2,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50
+      THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(tok[1 : least(c1, c2)], '') AS prefix, array_to_string(tok[least(c1, c2) + 1 : greatest(c1, c2)], '') AS middle,
+    array_to_string(tok[greatest(c1, c2) + 1 :], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM parts""")
+def piece_table_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infill.transform(docs, output=False).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
