@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import infill, licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
+from gradewright.llm import codes, infill, licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,3 +217,40 @@ def piece_table_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return infill.transform(docs, output=False).select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def _codes_sql() -> str:
+    """Every part against every entry, round after round."""
+
+    def nearest(entries: str) -> str:
+        return (f"SELECT rid, part, p, entry, d FROM (SELECT c.rid, c.part, c.p, e.entry, "
+                f"list_sum(list_transform(range(len(c.p)), lambda i: (c.p[i + 1] - e.p[i + 1]) * (c.p[i + 1] - e.p[i + 1]))) AS d "
+                f"FROM cells c JOIN {entries} e USING (part)) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1")
+
+    def averaged(assigned: str, entries: str) -> str:
+        return (f"SELECT e.part, e.entry, coalesce(m.p, e.p) AS p FROM {entries} e LEFT JOIN ("
+                f"SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM ("
+                f"SELECT part, entry, i, CAST(sum(p[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS i FROM {assigned}) "
+                f"GROUP BY part, entry, i) GROUP BY part, entry) m ON e.part = m.part AND e.entry = m.entry")
+
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS MATERIALIZED (
+  SELECT rid, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS p FROM (SELECT rid, q, unnest(range(16)) AS part FROM v)
+), e0 AS MATERIALIZED (SELECT part, CAST(rid - 1 AS INTEGER) AS entry, p FROM cells WHERE rid <= 64),
+a0 AS MATERIALIZED ({nearest("e0")}), e1 AS MATERIALIZED ({averaged("a0", "e0")}),
+a1 AS MATERIALIZED ({nearest("e1")}), e2 AS MATERIALIZED ({averaged("a1", "e1")}),
+a2 AS MATERIALIZED ({nearest("e2")}), coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(x, ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, i, CAST(p[i] AS VARCHAR) AS x FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS i FROM e2))) AS codebooks_sha256
+FROM coded JOIN v USING (rid)"""
+
+
+@query("op11_pivot_codes", _codes_sql())
+def pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return made.select("vec_id", codes.hex_code("code").alias("code"), "error", "label_error", "codebooks_sha256")
