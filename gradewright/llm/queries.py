@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import codes, infill, licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity
+from gradewright.llm import (
+    codes, grouping, infill, licenses, nearest, packing, pages, pieces, quality, sharding, simhash, surrogates, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,3 +256,10 @@ FROM coded JOIN v USING (rid)"""
 def pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return made.select("vec_id", codes.hex_code("code").alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_grouped_packing")
+def grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a tokenizer and a linear program. Tested against the library and by its laws."""
+    made = grouping.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
