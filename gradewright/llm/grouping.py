@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ END_ID = 1
 #: waste least by rounding, few leave more room that small pieces can fill.
 CHOICES = ((4, 8), (4, 16), (4, 64), (8, 16), (8, 64), (2, 16))
 TURNS = 2_000  # exchanges of the linear program; stopping early costs sequences, nothing else
-CACHE = 1 << 18  # words whose ids a worker keeps, twice
+CACHE = 1 << 19  # words, twice, and parts of words whose ids a worker keeps
 LONG_WORD = 64  # bytes; longer words are not kept
 SLICE = 1 << 20  # bytes of a text that are split into words at once
 TOKENS = 1 << 20  # tokens handed on at once, about
@@ -53,6 +55,26 @@ TOKENS = 1 << 20  # tokens handed on at once, about
 SPACE = b" \t\n\x0b\x0c\r"
 MARK = b"\x01"  # a word that is one id of no other word
 
+# Fixed values of the vocabulary's file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+# Its split for words without white space: of printable ASCII, and of Latin letters and signs whose
+# lower case and composition are those of single characters.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+LATIN_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+LATIN = regex.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for a byte: its own if that is printed, else the next of those from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 
 # --- the plan ------------------------------------------------------------------
 
@@ -260,11 +282,14 @@ def grouped_plan(counts: np.ndarray, length: int, large: int, groups: int) -> Pl
 
 
 class WordTokenizer:
-    """Ids of a vocabulary whose pieces never cross white space.
-
-    The text is split at ASCII white space, and each word's ids, made by the
-    vocabulary's library, are kept for the next time it comes. New words of a text are
-    encoded together, with a mark between them.
+    """Ids of a lower-casing byte-level vocabulary with word ends, whose pieces never cross white space.
+
+    The text is split at ASCII white space, and a word's ids are kept for the next
+    time it comes. New words in Latin letters are cut into parts as the vocabulary's
+    own split does it, parts are kept as well, and only new parts go to the library's
+    model, many at once: each part's last id is one that ends a word. All other words go
+    through the whole library, many at once with a mark between them. `check` tells
+    whether the file is one that this holds for.
     """
 
     def __init__(self, vocabulary: str):
@@ -275,38 +300,83 @@ class WordTokenizer:
 
         self.library = tokenizers.Tokenizer.from_file(vocabulary)
         (self.mark,) = self.library.encode(MARK.decode(), add_special_tokens=False).ids
+        self.model = tokenizers.Tokenizer(self.library.model)
+        self.model.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(" ")
+        names = self.library.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.last[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.kept: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # what was kept before; goes when the next is full
+        self.parts: dict[str, bytes] = {}
+        self.check(vocabulary)
+
+    def check(self, vocabulary: str) -> None:
+        import json
+
+        with open(vocabulary, encoding="utf-8") as file:
+            made = json.load(file)
+        kinds = [n["type"] for n in made["normalizer"]["normalizers"]], [n["type"] for n in made["pre_tokenizer"]["pretokenizers"]]
+        split = made["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split != SPLIT or made["model"]["end_of_word_suffix"] != WORD_END:
+            raise ValueError(f"{vocabulary} does not normalise or split words as expected")
+
+    def of_parts(self, parts: list[str]) -> Iterator[bytes]:
+        text = " ".join([p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in parts])
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return (raw[a:b] for _, a, b in zip(parts, [0, *ends], ends, strict=False))
+
+    def of_marked(self, words: list[bytes]) -> Iterator[bytes]:
+        text = (b" %s " % MARK).join(words).decode("utf-8", "replace")
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+        raw = ids.tobytes()
+        return (raw[4 * a: 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], ends))
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, from one call for all that do not hold the mark."""
-        plain = [w for w in words if MARK not in w]
-        made = {}
-        if plain:
-            text = b" %s " % MARK
-            ids = np.array(self.library.encode(text.join(plain).decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends, strict=True):
-                made[word] = raw[4 * start: 4 * end]
-                start = end + 1
+        """Ids of words."""
+        cut, others, made = {}, [], {}
         for word in words:
+            text = word.decode("utf-8", "replace")
+            if "<|" in text:  # may be an added token
+                others.append(word)
+            elif text.isascii():
+                if text.isprintable():
+                    cut[word] = ASCII_PARTS.findall(text.lower())
+                else:
+                    others.append(word)
+            elif LATIN.fullmatch(text):
+                cut[word] = LATIN_PARTS.findall(text.lower())
+            else:
+                others.append(word)
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        fresh = list({p for found in cut.values() for p in found if p not in self.parts})
+        new = dict(zip(fresh, self.of_parts(fresh), strict=True)) if fresh else {}
+        self.parts.update((p, ids) for p, ids in new.items() if len(p) <= LONG_WORD)
+        for word, found in cut.items():
+            made[word] = b"".join([new[p] if p in new else self.parts[p] for p in found])
+        marked = [w for w in others if MARK not in w]
+        if marked:
+            made.update(zip(marked, self.of_marked(marked), strict=True))
+        for word in others:
             if MARK in word:
                 ids = self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
                 made[word] = np.array(ids, dtype="<u4").tobytes()
         return made
 
     def of_words(self, words: list[bytes]) -> bytes:
-        fresh = [w for w in set(words) if w not in self.kept]
-        if fresh:
+        found = list(map(self.kept.get, words))
+        if None in found:
+            fresh = {w for w, ids in zip(words, found) if ids is None}
+            made = {w: self.old[w] for w in fresh if w in self.old}
+            made |= self.learn([w for w in fresh if w not in made])
+            self.kept.update((w, ids) for w, ids in made.items() if len(w) <= LONG_WORD)
             if len(self.kept) > CACHE:
                 self.old, self.kept = self.kept, {}
-                fresh = list(set(words))
-            found = {w: self.old[w] for w in fresh if w in self.old}
-            found |= self.learn([w for w in fresh if w not in found])
-            self.kept.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
-            return b"".join([found[w] if w in found else self.kept[w] for w in words])
-        return b"".join([self.kept[w] for w in words])
+            found = [made[w] if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a text in UTF-8."""

@@ -102,7 +102,8 @@ def test_configurations_are_optimal():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("aAbΣsé'’́̀\x01\x1c\xa0 \t\n\x0b0½你。<|startoftext|>\U0001f600İ"), max_size=80))
+@given(st.text(st.sampled_from("aAbΣsé'’́̀\x01\x1c\xa0 \t\n\x0b0½你。<|startoftext|>\U0001f600İ"), max_size=80)
+       | st.text(st.characters(max_codepoint=0x250), max_size=60) | st.text("a'sREve7²ßÄñǅ.,!", max_size=60))
 def test_ids_are_those_of_the_library(text):
     made = grouping.tokenizer_of(VOCABULARY).encode(text.encode())
     assert np.frombuffer(made, "<u4").tolist() == wanted_ids(text)[:-1]
@@ -112,6 +113,8 @@ def test_words_come_back_after_the_table_turned(monkeypatch):
     monkeypatch.setattr(grouping, "CACHE", 5)
     monkeypatch.setattr(grouping, "SLICE", 64)
     own = grouping.WordTokenizer(VOCABULARY)
+    every = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]))
+    assert np.frombuffer(own.encode(every.encode()), "<u4").tolist() == wanted_ids(every)[:-1]
     text = " ".join(f"word{i % 23} other{i % 7}!" for i in range(300)) + "x" * 500 + " end"
     for _ in range(2):
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == wanted_ids(text)[:-1]
