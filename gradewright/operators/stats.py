@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -169,68 +167,151 @@ def number(value: Column | str) -> Column:
     return F.when(is_number(value), value)
 
 
+SKETCH = 800  # size of the quantile sketches; their ranks are off by less than 0.4 % of the numbers
+MARGIN = 0.01  # of the numbers, to either side of a rank, that a bracket takes in
+SMALL = 400  # numbers below which a group is its own bracket: there the margin is two places or less
+FEW = 1 << 20  # different numbers among which a rank is looked up by a sorted window
+PIECES = 64  # parts of a bracket that holds more
+
+
 def percentiles(df: DataFrame, value: Column | str, probabilities: Mapping[str, float],
                 by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, per group, for values of any
     range and groups of any size. Infinite values take part; a group without
     numbers has no row."""
-    rows = df.select(*by, number(value).alias("_0"))
-    found = _ranked(rows, ["_0"], list(probabilities.values()), by)
+    rows = cut_lineage(df.select(*by, number(value).alias("_0")))
+    points = [float(p) for p in probabilities.values()]
+    found = _ranked(rows, _sketched(rows, ["_0"], points, by), ["_0"], points, by)
     return found.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probabilities)])
 
 
-def _ranked(rows: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Percentiles of several columns: the group, `_i` (place of the column) and `_q`
-    (array, one number per point).
+def _sketched(rows: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str], *aggs: Column) -> DataFrame:
+    """Per group, written: the aggregates and, of each column, `_all` (its numbers) and
+    `_bracket` (from, to, from, to ... for the points), told by a quantile sketch."""
+    made = rows.groupBy(*by).agg(*aggs, *[F.count(c).alias(f"_all{c}") for c in columns],
+                                 *[F.kll_sketch_agg_double(c, F.lit(SKETCH)).alias(f"_sketch{c}") for c in columns])
+
+    def bracket(c: str) -> Column:
+        near = [min(max(p + side * MARGIN, 0.0), 1.0) for p in points for side in (-1, 1)]
+        found = lambda ranks: F.kll_sketch_get_quantile_double(f"_sketch{c}", F.array(*[F.lit(float(r)) for r in ranks]))
+        n = F.col(f"_all{c}")
+        return F.when(n >= SMALL, found(near)).when(n > 0, found([0, 1] * len(points)))
+
+    return cut_lineage(made.withColumns({f"_bracket{c}": bracket(c) for c in columns}).drop(*[f"_sketch{c}" for c in columns]))
 
-    Two shuffles, whatever the values: equal numbers of a group are counted with
-    map-side combining, and the counts are range-partitioned by group and number.
-    They are written in that order with a running sum per partition. A number's
-    place in its group follows from the totals of the partitions and the place at
-    which its group begins, so no task holds a group.
+
+def _cells(rows: DataFrame, about: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str],
+           wanted: DataFrame | None = None) -> DataFrame:
+    """Counts of the numbers in each bracket, and in one row without a number of all below it.
+
+    `_i` is the place of the column, `_j` that of the point. With `wanted`, whole
+    groups are counted, for its (group, `_i`, `_j`) only.
+    """
+    near = join_groups(rows, about.select(*by, *[n + c for c in columns for n in ("_all", "_bracket")]), by)
+    inside, below, held = [], {}, []
+    for i, c in enumerate(columns):
+        for j in range(len(points)):
+            v, low, high = F.col(c), F.col(f"_bracket{c}")[2 * j], F.col(f"_bracket{c}")[2 * j + 1]
+            inside.append((v.isNotNull() if wanted is not None else (v >= low) & (v <= high), _cell(i, j, f"_all{c}", v)))
+            below[f"_below{i}_{j}"] = F.count_if(v < low)
+            held.append(_cell(i, j, f"_all{c}", F.lit(None).cast("double"), F.col(f"_below{i}_{j}")))
+    few = near.where(reduce(lambda a, b: a | b, [met for met, _ in inside]))
+    cells = few.select(*by, F.explode(F.array_compact(F.array(*[F.when(met, cell) for met, cell in inside]))).alias("_c")).select(*by, "_c.*")
+    if wanted is not None:
+        cells = _of(cells, wanted, by)
+    cells = cells.groupBy(*by, "_i", "_j", "_all", "_v").agg(F.sum("_n").alias("_n"))
+    if wanted is None:
+        counts = near.groupBy(*by).agg(*[F.max(f"_all{c}").alias(f"_all{c}") for c in columns], *[n.alias(k) for k, n in below.items()])
+        cells = cells.unionByName(counts.select(*by, F.inline(F.array(*held))).where("_n > 0"))
+    return cut_lineage(cells)
+
+
+def _cell(i: int, j: int, n: str, value: Column, times: Column | None = None) -> Column:
+    return F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(n).alias("_all"), value.alias("_v"),
+                    (F.lit(1).cast("long") if times is None else times).alias("_n"))
+
+
+def _of(cells: DataFrame, wanted: DataFrame, by: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """Cells of the wanted (group, `_i`, `_j`), a NULL group being equal to itself, or all others by `left_anti`."""
+    keys = [*by, "_i", "_j"]
+    other = wanted.select(*[F.col(k).alias(f"_of{k}") for k in keys])
+    return cells.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys]), how)
+
+
+def _places(point: Column, n: Column) -> tuple[Column, Column, Column]:
+    """Places, from 0, of the two numbers that a percentile lies between, and the weight of the second."""
+    at = point * (n - 1)
+    low = F.floor(at)
+    return low, F.least(low + 1, n - 1), at - low
+
+
+def _ranked(rows: DataFrame, about: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str],
+            few: int = FEW) -> DataFrame:
+    """Percentiles of several columns: the group, `_i` (place of the column) and `_q`
+    (array, one number per point). `rows` and `about` are tables.
+
+    Bracketed selection. Sketches, merged from all tasks, told between which two
+    numbers a rank lies for sure. One pass counts exactly what is below a bracket and,
+    by number, the few percent inside, with map-side combining. A rank is then a
+    running sum over one bracket. Brackets that hold more than `few` different
+    numbers are narrowed first, and a bracket that missed its rank, which the counts
+    show, is replaced by its whole group: the result is exact in any case.
+    """
+    point = F.element_at(F.array(*[F.lit(p) for p in points]), F.col("_j") + 1)
+    low, high, weight = _places(point, F.col("_all"))
+    keys = [*by, "_i", "_j"]
+
+    def state(cells: DataFrame) -> DataFrame:
+        below = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0))
+        held = cells.groupBy(*keys).agg(F.max("_all").alias("_all"), below.alias("_below"), F.sum("_n").alias("_to"), F.count("_v").alias("_different"))
+        return held.select("*", ((F.col("_below") > low) | (F.col("_to") <= high)).alias("_missed"))
+
+    cells = _cells(rows, about, columns, points, by)
+    while True:
+        states = state(cells)
+        missed, wide = states.agg(F.count_if("_missed"), F.count_if((F.col("_different") > few) & ~F.col("_missed"))).first()
+        if missed:
+            lost = cut_lineage(states.where("_missed"))
+            cells = _of(cells, lost, by, "left_anti").unionByName(_cells(rows, about, columns, points, by, lost))
+        elif wide:
+            cells = _narrowed(cells, cut_lineage(states.where(F.col("_different") > few)), by, low, high)
+        else:
+            break
+    through = W.Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    summed = cells.withColumn("_to", F.sum("_n").over(through)).where("_v is not null")
+    ends = summed.groupBy(*keys).agg(
+        F.min(F.when(F.col("_to") > low, F.col("_v"))).alias("_a"), F.min(F.when(F.col("_to") > high, F.col("_v"))).alias("_b"), F.max(weight).alias("_t"))
+    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
+    value = F.when((t == 0) | (a == b), a).otherwise(a * (1 - t) + b * t)
+    at = F.array_sort(F.collect_list(F.struct("_j", value.alias("_x"))))
+    return ends.groupBy(*by, "_i").agg(F.transform(at, lambda s: s["_x"]).alias("_q"))
+
+
+def _narrowed(cells: DataFrame, wide: DataFrame, by: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """The cells with the brackets of `wide` cut down to the parts that hold their ranks.
+
+    A sketch of a bracket's different numbers cuts it into parts of about equal many;
+    the exact counts of the parts tell which to keep.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).alias("_v")) for i, c in enumerate(columns)])).alias("_c")
-    counts = rows.select(*by, cells).select(*by, "_c.*").where("_v is not null").groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    order = [*by, "_i", "_v"]
-    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
-        {"_part": F.spark_partition_id(), "_to": F.lit(0).cast("long")})
-    placed = cut_lineage(placed.mapInArrow(_running, placed.schema))
-    # A row per partition.
-    parts = placed.groupBy("_part").agg(F.sum("_n").alias("_n"))
-    parts = cut_lineage(parts.select(F.col("_part"), (F.sum("_n").over(W.Window.orderBy("_part")) - F.col("_n")).alias("_before")))
-    placed = placed.join(parts, "_part").withColumn("_to", F.col("_before") + F.col("_to")).drop("_before")
-    start = F.col("_to") - F.col("_n")
-    groups = cut_lineage(placed.groupBy(*by, "_i").agg(F.sum("_n").alias("_all"), F.min(start).alias("_start")).toDF(
-        *[f"_of_{c}" for c in by], "_of_i", "_all", "_start"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_i") == F.col("_of_i"))
-    summed = placed.join(groups, same)
-    ends = []
-    for j, p in enumerate(points):
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        low = F.floor(at)
-        high = F.least(low + 1, F.col("_all") - 1)
-        for name, rank in (("a", low), ("b", high)):
-            rank = F.col("_start") + rank
-            ends.append(F.when((start <= rank) & (rank < F.col("_to")), F.col("_v")).alias(f"_{name}{j}"))
-        ends.append((at - low).alias(f"_t{j}"))
-    found = [f"_{n}{j}" for j in range(len(points)) for n in "ab"]
-    hits = summed.select(*by, "_i", *ends).where(F.coalesce(*found).isNotNull())
-    met = hits.groupBy(*by, "_i").agg(*[F.max(c).alias(c) for c in found], *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(points))])
-
-    def between(j: int) -> Column:
-        a, b, t = F.col(f"_a{j}"), F.col(f"_b{j}"), F.col(f"_t{j}")
-        return F.when((t == 0) | (a == b), a).otherwise(a * (1 - t) + b * t)
-
-    return met.select(*by, "_i", F.array(*[between(j) for j in range(len(points))]).alias("_q"))
-
-
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fill `_to` with the running sum of `_n` through a partition."""
-    before = 0
-    for b in batches:
-        to = np.cumsum(b.column("_n").to_numpy(zero_copy_only=False)) + before
-        before = int(to[-1]) if len(to) else before
-        yield b.set_column(b.schema.get_field_index("_to"), "_to", pa.array(to, pa.int64()))
+    keys = [*by, "_i", "_j"]
+    same = lambda names: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in names])
+    renamed = lambda df: df.select(*[F.col(k).alias(f"_of{k}") if k in keys else F.col(k) for k in df.columns])
+    kept, held = _of(cells, wide, by, "left_anti"), _of(cells, wide, by)
+    ranks = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    cuts = held.where("_v is not null").groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_s"))
+    cuts = cut_lineage(cuts.select(*keys, F.kll_sketch_get_quantile_double("_s", ranks).alias("_cuts")))
+    part = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    dealt = cut_lineage(held.join(renamed(cuts), same(keys)).select(*held.columns, part.alias("_part")))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"), F.max("_all").alias("_all"))
+    through = F.sum("_n").over(W.Window.partitionBy(*keys).orderBy("_part"))  # a row per part
+    placed = sums.withColumns({"_to": through, "_from": through - F.col("_n")})
+    holds = (F.col("_from") <= high) & (F.col("_to") > low) & (F.col("_part") >= 0)
+    placed = placed.withColumn("_holds", holds)
+    chosen = cut_lineage(placed.where("_holds").select(*keys, "_part"))
+    inner = dealt.join(renamed(chosen).withColumnRenamed("_part", "_of_part"), same(keys) & (F.col("_part") == F.col("_of_part")), "left_semi").drop("_part")
+    below = placed.where((F.col("_to") <= low) & ~F.col("_holds")).groupBy(*keys).agg(
+        F.max("_all").alias("_all"), F.lit(None).cast("double").alias("_v"), F.sum("_n").alias("_n"))
+    return cut_lineage(kept.select(*cells.columns).unionByName(inner.select(*cells.columns)).unionByName(below.select(*cells.columns)))
 
 
 # --- summaries ---------------------------------------------------------------
@@ -260,12 +341,14 @@ def summaries(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[st
             "invalid": F.count_if(v.isNull()),
         }
         aggs += [made.alias(prefix + n) for n, made in found.items()]
-    ranked = _ranked(rows, list(columns), list(QUARTILES.values()), by)
+    points = list(QUARTILES.values())
+    about = _sketched(rows, list(columns), points, by, *aggs)
+    ranked = _ranked(rows, about, list(columns), points, by)
     wide = ranked.groupBy(*by).agg(*[
         F.max(F.when(F.col("_i") == i, F.col("_q")[j])).alias(prefix + name)
         for i, prefix in enumerate(values) for j, name in enumerate(QUARTILES)
     ])
-    out = join_groups(rows.groupBy(*by).agg(*aggs), wide, by)
+    out = join_groups(about, wide, by)
     return out.select(*by, *[prefix + n for prefix in values for n in STATISTICS])
 
 

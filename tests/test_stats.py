@@ -62,6 +62,48 @@ def test_one_value_may_be_most_rows(spark):
     assert got["m"] == pytest.approx(np.median(kept)) and got["q"] == pytest.approx(np.percentile(kept, 10))
 
 
+def ranked(df, points, by=(), **options):
+    rows = stats.cut_lineage(df)
+    return stats._ranked(rows, stats._sketched(rows, ["v"], points, by), ["v"], points, by, **options)
+
+
+def hard_numbers(spark, n=40_000):
+    """One group of nearly all rows, one number of a third of them, infinite ends, a small and a NULL group."""
+    i = F.col("id")
+    v = (F.when(i % 3 == 0, 7.25).when(i % 1000 == 1, float("inf")).when(i % 1000 == 2, float("-inf"))
+         .otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 3))
+    g = F.when(i % 400 == 7, "few").when(i % 500 != 9, "most")
+    return spark.range(n).select(g.alias("g"), v.alias("v"))
+
+
+@pytest.mark.parametrize("margin, few", [(0.01, 1 << 20), (0.01, 50), (-0.2, 1 << 20), (-0.2, 50), (0.3, 3)])
+def test_ranks_are_exact_whatever_the_brackets(spark, monkeypatch, margin, few):
+    """Wide brackets are narrowed round by round, and those that miss their rank are replaced."""
+    monkeypatch.setattr(stats, "MARGIN", margin)
+    points = [0.0, 0.02, 0.25, 0.5, 0.75, 0.999, 1.0]
+    df = hard_numbers(spark)
+    made = {r["g"]: r["_q"] for r in ranked(df, points, ["g"], few=few).collect()}
+    kept = {}
+    for g, v in df.collect():
+        kept.setdefault(g, []).append(v)
+    assert set(made) == {"most", "few", None}
+    for g, found in made.items():
+        values = sorted(kept[g])
+        for p, x in zip(points, found):
+            at = p * (len(values) - 1)
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            want = low if low == high or at == int(at) else low * (1 - at % 1) + high * (at % 1)
+            assert x == pytest.approx(want, rel=1e-12)
+
+
+def test_brackets_hold_few_numbers(spark):
+    """Of 400,000 numbers of one group, no more than some percent are counted singly."""
+    rows = stats.cut_lineage(spark.range(400_000).select((F.pmod(F.xxhash64("id"), F.lit(10**12)) / 7).alias("v")))
+    about = stats._sketched(rows, ["v"], [0.25, 0.5, 0.75], ())
+    cells = stats._cells(rows, about, ["v"], [0.25, 0.5, 0.75], ())
+    assert cells.count() < 0.1 * 400_000 and cells.where("_v is null").count() == 3
+
+
 def test_summaries_evaluate_their_input_once(spark):
     """The number of jobs does not depend on values, and the input is read by one of them."""
     seen = spark.sparkContext.accumulator(0)
