@@ -358,9 +358,9 @@ def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFra
     if not by:
         row = right.select(F.struct(*right.columns)).scalar()
         return left.withColumn("_row", row).select("*", "_row.*").drop("_row")
-    renamed = right.select(*[F.col(c).alias(f"_{c}") if c in by else F.col(c) for c in right.columns])
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return left.join(renamed, match, "left").drop(*[f"_{c}" for c in by])
+    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in right.columns])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return left.join(renamed, match, "left").drop(*[f"__{c}" for c in by])
 
 
 def length_summary(df: DataFrame, length: Column | str, by: Sequence[str] = ()) -> DataFrame:

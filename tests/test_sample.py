@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gradewright.operators import sample
+from tests.oracle import plan
 
 
 def by_loop(sizes, n):
@@ -126,13 +128,56 @@ def test_random_split_takes_the_lowest_hashes(spark):
     assert {r["id"] for r in out.where("split = 'validation'").collect()} == set(order[:150])
 
 
-def test_too_low_a_bound_takes_all_rows_on(spark, monkeypatch):
-    monkeypatch.setattr(sample, "below_bound", lambda rows, *rest: rows.where("substring(_hash, 1, 1) < '1'"))
+@pytest.mark.parametrize("share", [-0.5, -0.01])
+def test_missed_bounds_take_all_rows_on(spark, monkeypatch, share):
+    """Bounds that lie on the wrong sides of the last hash."""
+    monkeypatch.setattr(sample, "_room", lambda target: F.lit(share) * target)
     got = {r["id"] for r in sample.stratified_sample(spark.range(2000).withColumn("s", F.lit("all")), 777, ["s"], "id").collect()}
     order = sorted(range(2000), key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
     assert got == set(order[:777])
 
 
+def test_one_key_in_most_rows(spark):
+    """Nine tenths of the rows share a key, half of these are equal: drawn to the row, and alike under another partitioning."""
+    i = F.col("id")
+    df = spark.range(6_000).select(F.when(i % 10 == 0, i).otherwise(-1).alias("k"), F.when(i % 2 == 0, i).otherwise(0).alias("x"), F.lit("a").alias("s"))
+    made = [sorted(map(tuple, sample.stratified_sample(df.repartition(p), 2_000, ["s"], "k").collect())) for p in (3, 8)]
+    assert made[0] == made[1] and len(made[0]) == 2_000
+    whole = {}
+    for r in df.collect():
+        whole[tuple(r)] = whole.get(tuple(r), 0) + 1
+    assert all(made[0].count(r) <= whole[r] for r in set(made[0]))
+    text = plan(sample.stratified_sample(df, 2_000, ["s"], "k"))
+    assert "Window" not in text
+
+
+@pytest.mark.parametrize("few", [1, 1 << 16])
+def test_many_strata_of_one_target(spark, monkeypatch, few):
+    monkeypatch.setattr(sample, "FEW_STRATA", few)
+    sizes = {f"{i:05d}": 3 if i % 50 else 7 for i in range(3_000)}
+    tables = [(sizes, 4_000), (sizes, 5_001), ({k: 1 for k in sizes}, 1_501), ({k: 2 for k in sizes}, 2_999)]
+    got = allocated(spark, tables)
+    for (own, n), found in zip(tables, got):
+        assert found == by_levels(own, n) and sum(found.values()) == n
+    alone = spark.createDataFrame(list(sizes.items()), "k string, size bigint")
+    assert {r["k"]: r["target"] for r in sample.allocate(alone, ["k"], 4_000).collect()} == got[0]
+
+
+def by_levels(sizes, n):
+    """`by_loop` with a heap."""
+    order = {k: i for i, k in enumerate(sorted(sizes, key=lambda k: (-sizes[k], k)))}
+    total = sum(sizes.values())
+    heap = [(-round(s / total * n), order[k], k) for k, s in sizes.items()]
+    heapq.heapify(heap)
+    left = -sum(t for t, _, _ in heap) - n
+    while left:
+        step = 1 if left > 0 else -1
+        t, i, k = heapq.heappop(heap)
+        heapq.heappush(heap, (t + step, i, k))
+        left -= step
+    return {k: -t for t, _, k in heap}
+
+
 def test_bound_keeps_little_more_than_the_target(spark):
     df = sample.with_hash(spark.range(100_000).withColumn("s", F.lit("all")), "id", 1)
     targets = spark.createDataFrame([("all", 100_000, 2000)], "s string, size bigint, target bigint")
