@@ -91,31 +91,30 @@ def bonus_by_table(df: DataFrame, rules: DataFrame, name: str = "bonus",
                    attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """Sum of the bonuses of a rules table, for any number of rules.
 
-    A rule row constrains the attributes it has a value for. Rows are reduced to
-    their distinct attribute combinations; each combination looks its rules up
-    by equality, once per set of attributes that some rule constrains. No row is
-    compared with every rule. The sums are written out and return to the rows by
-    an equality join on the combination; their size on disk decides on a broadcast.
-
-    `df` is evaluated twice: give a written table where it is a join.
+    A rule row constrains the attributes it has a value for. Rules are summed by what
+    they constrain and written; there are at most 2 ** attributes such sets. Per set, a row
+    looks its values up by equality, so no row is compared with every rule and `df` is
+    read once. The size of the sums decides whether a look-up is a broadcast, which needs
+    no shuffle of the rows.
     """
-    def pattern(kept: Sequence[str]) -> Column:
-        return F.to_json(F.struct(*[F.col(a).cast("string").alias(a) for a in kept])) if kept else F.lit("{}")
-
-    constrained = F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), F.lit(a)) for a in attributes]))
-    # At most 2 ** attributes sets, whatever the number of rules.
-    subsets = [tuple(r[0]) for r in rules.select(constrained).distinct().collect()]
-    if not subsets:
-        return df.withColumn(name, F.lit(0.0))
-    # to_json leaves NULL fields out, so a rule's own pattern names what it constrains.
-    by_pattern = rules.select(pattern(attributes).alias("_p"), "bonus").groupBy("_p").agg(F.sum("bonus").alias("_b"))
-    combos = df.select(*attributes).distinct()
-    asked = combos.select(*attributes, F.explode(F.array_distinct(F.array(*[pattern(s) for s in subsets]))).alias("_p"))
-    sums = cut_lineage(asked.join(by_pattern, "_p").groupBy(*attributes).agg(F.sum("_b").alias("_sum")))
-    renamed = sums.select(*[F.col(a).alias(f"_{a}") for a in attributes], "_sum")
-    match = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes])
-    joined = df.join(renamed, match, "left").withColumn(name, F.coalesce("_sum", F.lit(0.0)))
-    return joined.drop("_sum", *[f"_{a}" for a in attributes])
+    given = [F.col(a).cast("string") for a in attributes]
+    mask = reduce(lambda x, y: x + y, [F.when(v.isNull(), 0).otherwise(1 << i) for i, v in enumerate(given)], F.lit(0))
+    keys = [f"_rule_{i}" for i in range(len(attributes))]
+    sums = rules.select(mask.alias("_set"), *[v.alias(k) for v, k in zip(given, keys)], "bonus")
+    sums = cut_lineage(sums.groupBy("_set", *keys).agg(F.sum("bonus").alias("_sum")))
+    total = F.lit(0.0)
+    out = df
+    for number in sorted(r[0] for r in sums.select("_set").distinct().collect()):
+        kept = [i for i in range(len(attributes)) if number >> i & 1]
+        own = sums.where(F.col("_set") == number)
+        if not kept:
+            total = total + F.coalesce(own.select("_sum").scalar(), F.lit(0.0))
+            continue
+        own = own.select(*[F.col(keys[i]).alias(f"_set_{number}_{i}") for i in kept], F.col("_sum").alias(f"_sum_{number}"))
+        same = [F.col(attributes[i]).cast("string") == F.col(f"_set_{number}_{i}") for i in kept]
+        out = out.join(own, reduce(lambda x, y: x & y, same), "left")
+        total = total + F.coalesce(F.col(f"_sum_{number}"), F.lit(0.0))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], total.alias(name))
 
 
 def level(score: Column | str, thresholds: Mapping[int, float] = fv.LEVEL_THRESHOLDS) -> Column:

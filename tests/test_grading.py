@@ -1,9 +1,13 @@
+import random
 import re
 
+import pytest
+
 from gradewright import fixed_values as fv
 from gradewright.functions import answers as an
 from gradewright.operators import guard, score, structure
 from gradewright.plans import grading
+from tests.oracle import plan
 
 LONG = (
     "主桁下面に鉄筋露出（最大幅2cm）が確認された。腐食が著しく進行しており、構造安全性に影響を及ぼす可能性がある。"
@@ -177,6 +181,26 @@ def test_bonus_forms_agree(spark):
     assert by_id(capped.select("image_id", "s.raw_score"), "raw_score")["0"] == (1.0,)
 
 
+def test_ten_thousand_rules(spark):
+    """Against the loop over all rules; the rows are read once and not shuffled."""
+    rng = random.Random(5)
+    names = list(score.ATTRIBUTES)
+    value = lambda: rng.choice([None, *range(12)])
+    rules = [(*[None if v is None else str(v) for v in (value(), value(), rng.choice([None, None, "3"]), value())], rng.randint(-50, 50) / 100) for _ in range(10_000)]
+    rows = [(i, *[None if v is None else str(v) for v in (value() for _ in names)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "bonus long, " + ", ".join(f"{n} string" for n in names)).withColumnRenamed("bonus", "id")
+    table = spark.createDataFrame(rules, ", ".join(f"{n} string" for n in names) + ", bonus double")
+    made = score.bonus_by_table(df, table)
+    got = {r["id"]: r["bonus"] for r in made.collect()}
+    for i, *own in rows:
+        want = sum(b for *given, b in rules if all(g is None or g == v for g, v in zip(given, own)))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert made.columns == [*df.columns, "bonus"]
+    text = plan(made)
+    assert "SortMergeJoin" not in text and "Aggregate" not in text
+    assert {r["bonus"] for r in score.bonus_by_table(df, table.where("1 = 0")).collect()} == {0.0}
+
+
 def test_levels(spark):
     values = [1.0, 0.85, 0.8499, 0.7, 0.5, 0.35, 0.0, -1.0, None, float("nan")]
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "image_id string, v double")
