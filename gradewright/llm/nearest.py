@@ -3,9 +3,9 @@
 Rows are dealt into shards of bounded size. Each shard's tree splits at the median
 of its widest dimension and keeps the tight box of every node. No vector in a box
 has a larger product with q than the box's corner: q+ . hi + q- . lo. A search
-opens nodes best bound first and stops below the k-th best score so far. A query
-first searches its own shard; the k-th score found there goes along to all other
-shards, which prune by it from the start.
+opens subtrees best bound first, and only where a bound reaches the k-th best score so
+far. A query first searches its own shard; the k-th score found there goes along to
+all other shards, which prune by it from the start.
 
 Queries are dealt into blocks of bounded size; a block meets every shard by an
 equi-join on the shard's number.
@@ -13,7 +13,6 @@ equi-join on the shard's number.
 
 from __future__ import annotations
 
-import heapq
 import io
 
 import numpy as np
@@ -28,6 +27,7 @@ from gradewright.session import cut_lineage
 SHARD = 16_384  # rows of a shard, about
 BLOCK = 2_048  # queries that meet a shard at once, about
 LEAF = 64
+STEP = 16  # leaves opened at once
 K = 20
 
 
@@ -63,9 +63,9 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray) -> type:
-    """Doubles where every sum of products is a whole number they hold, else 64-bit integers."""
+    """The fastest numbers that hold every sum of products exactly."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
-    return np.float64 if most < 2**53 else np.int64
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
 def search(tree: dict, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray,
@@ -73,41 +73,53 @@ def search(tree: dict, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, q
     """Of each query its best (scores, ids) in the shard, at most k, none below its bound.
 
     own: the queries' row numbers, which are no candidates. Equal scores go to smaller ids.
+
+    All queries go through the tree together. Subtrees of STEP leaves are opened best
+    bound first, by the mean over the queries. A query takes part in those with a leaf
+    whose bound reaches its k-th best score so far, and one product gives the scores of
+    all that do. Where boxes exclude nothing, this is a plain matrix product.
     """
     kind = exact(queries, np.concatenate((vectors, tree["lo"], tree["hi"])))
     q, v = queries.astype(kind), vectors[tree["order"]].astype(kind)
     ids, rows = ids[tree["order"]], rows[tree["order"]]
-    tops = np.maximum(q, 0) @ tree["hi"].T.astype(kind) + np.minimum(q, 0) @ tree["lo"].T.astype(kind)
-    span, kids = tree["span"].tolist(), tree["kids"].tolist()
-    first = [ids[a:b].min() for a, b in span]
-    out = []
-    for x, top, me, least in zip(q, tops.tolist(), own, bound):
-        scores, found = np.empty(0, kind), np.empty(0, np.int64)
-        kth, last = least, np.iinfo(np.int64).max
-        heap = [(-top[0], 0)]
-        while heap:
-            best, n = heapq.heappop(heap)
-            if -best < kth:
-                break
-            if -best == kth and first[n] > last:
-                continue  # no better score, no smaller id
-            left, right = kids[n]
-            if left >= 0:
-                heapq.heappush(heap, (-top[left], left))
-                heapq.heappush(heap, (-top[right], right))
-                continue
-            a, b = span[n]
-            s = v[a:b] @ x
-            good = np.flatnonzero((s >= kth) & (rows[a:b] != me))
-            if not len(good):
-                continue
-            scores, found = np.concatenate((scores, s[good])), np.concatenate((found, ids[a:b][good]))
-            keep = np.lexsort((found, -scores))[:k]
-            scores, found = scores[keep], found[keep]
-            if len(scores) == k:
-                kth, last = scores[-1], found[-1]
-        out.append((scores.astype(np.int64), found))
-    return out
+    leaves = np.flatnonzero(tree["kids"][:, 0] < 0)
+    leaves = leaves[np.argsort(tree["span"][leaves, 0], kind="stable")]  # neighbours in the tree are neighbours here
+    tops = np.maximum(q, 0) @ tree["hi"][leaves].T.astype(kind) + np.minimum(q, 0) @ tree["lo"][leaves].T.astype(kind)
+    least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+    kth = np.array([b if b > -(2**62) else least for b in bound], dtype=np.float64 if kind is not np.int64 else np.int64)
+    found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]  # query, score, row
+
+    def settle(parts: list[np.ndarray]) -> list[np.ndarray]:
+        """The k best of each query, ties to smaller ids."""
+        order = np.lexsort((ids[parts[2]], -parts[1], parts[0]))
+        parts = [p[order] for p in parts]
+        place = np.arange(len(order)) - np.searchsorted(parts[0], parts[0], side="left")
+        return [p[place < k] for p in parts]
+
+    groups = [leaves[a: a + STEP] for a in range(0, len(leaves), STEP)]
+    means = [tops[:, a: a + STEP].max(axis=1).mean() for a in range(0, len(leaves), STEP)]
+    for g in np.argsort(-np.array(means), kind="stable"):
+        own_tops = tops[:, g * STEP: g * STEP + STEP]
+        reached = own_tops >= kth[:, None]
+        asked = np.flatnonzero(reached.any(axis=1))
+        opened = groups[g][reached.any(axis=0)]
+        if not len(asked):
+            continue
+        at = np.concatenate([np.arange(a, b) for a, b in tree["span"][opened]])
+        scores = q[asked] @ v[at].T
+        scores[own[asked, None] == rows[at]] = least
+        bar = kth[asked]
+        fresh = np.flatnonzero(bar == least)  # no bound yet: the k-th score of these leaves is one
+        if len(fresh) and scores.shape[1] > k:
+            bar[fresh] = np.partition(scores[fresh], scores.shape[1] - k, axis=1)[:, -k]
+        new = np.nonzero((scores >= bar[:, None]) & (scores > least))
+        found = settle([np.concatenate((f, n)) for f, n in zip(found, (asked[new[0]], scores[new].astype(np.int64), at[new[1]]))])
+        last = np.searchsorted(found[0], np.arange(len(q)), side="right") - 1
+        full = np.bincount(found[0], minlength=len(q)) == k
+        kth[full] = np.maximum(kth[full], found[1][last[full]])
+    of, scores, at = found
+    ends = np.searchsorted(of, np.arange(len(q) + 1))
+    return [(scores[a:b], ids[at[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
