@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from gradewright import fixed_values as fv
 from gradewright.catalog import registry as reg
-from gradewright.catalog.registry import query, rounded, sql_any, sql_lookup, sql_rules, sql_strip, sql_tokens, table
+from gradewright.catalog.registry import query, rounded, sql_any, sql_blocks, sql_lookup, sql_rules, sql_strip, sql_tokens, table
 from gradewright.functions import text as tx
 from gradewright.operators import curate, guard, keywords, score, stats, structure
 from gradewright.plans import grading as plans
-from gradewright.session import cut_lineage
 
 GUARD = dict(low=30, high=200, damage_words=reg.DAMAGE_WORDS, vague_words=reg.VAGUE_WORDS)
 RULES = dict(types=reg.TYPE_RULES, severities=reg.SEVERITY_RULES, locations=reg.LOCATION_RULES)
@@ -133,8 +132,21 @@ def g03(spark, d):
     return guarded.select("image_id", "quality_verdict", "reason_code", "token_count", "rule_triggered", "llm_used")
 
 
-# With the block test, which SQL cannot express.
-@query("g01_rule_guard")
+def sql_rule_guard() -> str:
+    answer = sql_strip(r"CASE WHEN regexp_matches(text, '(?is)ASSISTANT\s*:\s*.') THEN regexp_extract(text, '(?is)ASSISTANT\s*:\s*(.+)', 1) ELSE text END")
+    damage, vague = sql_any("t", reg.DAMAGE_WORDS), sql_any("t", reg.VAGUE_WORDS)
+    parts = f"list_filter(list_transform(regexp_split_to_array(t, '[.\\n]'), lambda s: {sql_strip('s')}), lambda s: length(s) > 5)"
+    return f"""WITH answered AS MATERIALIZED (SELECT doc_id, {answer} AS t FROM documents), blocks AS MATERIALIZED (SELECT * FROM {sql_blocks("SELECT doc_id, t FROM answered")}),
+counted AS (SELECT doc_id, t, {sql_tokens("t")} AS token_count FROM answered), judged AS (
+  SELECT doc_id, token_count, CASE WHEN token_count < 98 AND NOT {damage} THEN 'Not recognized from only image' WHEN token_count < 98 THEN 'Short description'
+    WHEN anywhere OR len({parts}) > len(list_distinct({parts})) THEN 'Dirty or Noisy image'
+    WHEN NOT {damage} AND {vague} THEN 'Not recognized from only image' END AS failed
+  FROM counted JOIN blocks USING (doc_id))
+SELECT doc_id, CASE WHEN failed IS NULL THEN 'PASS' ELSE 'FAIL' END AS quality_verdict, coalesce(failed, 'High Quality (rule only)') AS reason_code,
+  token_count, failed IS NOT NULL AS rule_triggered, FALSE AS llm_used FROM judged"""
+
+
+@query("g01_rule_guard", sql_rule_guard())
 def g01(spark, d):
     rules = guard.GuardRules(damage_words=reg.DAMAGE_WORDS, vague_words=reg.VAGUE_WORDS, clause_delimiters=".\n", across_lines=True)
     guarded = guard.rule_guard(table(spark, d, "documents").withColumnRenamed("text", "prediction"), "prediction", rules)

@@ -116,6 +116,27 @@ def sql_tokens(text: str) -> str:
     )
 
 
+def sql_blocks(source: str, smallest: int = 10) -> str:
+    """doc_id, anywhere, in_line: whether a block of `smallest` or more characters comes three times in a row.
+
+    `source` has doc_id and t. A block of length p comes three times where 2p characters in a row equal those p
+    further on, so where 2p - smallest + 1 grams in a row do; within a line, where none of these has a line break.
+    """
+    def runs(condition: str) -> str:
+        return f"""SELECT DISTINCT doc_id FROM (
+  SELECT doc_id, p, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS run FROM block_pairs WHERE {condition}
+) GROUP BY doc_id, p, run HAVING count(*) >= 2 * p - {smallest - 1}"""
+
+    return f"""(WITH block_grams AS MATERIALIZED (
+  SELECT doc_id, n, i, substr(t, i, {smallest}) AS g FROM (
+    SELECT doc_id, t, length(t) AS n, unnest(range(1, length(t) - {smallest - 2})) AS i FROM ({source}) WHERE length(t) >= {3 * smallest})
+), block_pairs AS MATERIALIZED (
+  SELECT a.doc_id, a.i, b.i - a.i AS p, a.g FROM block_grams a JOIN block_grams b ON a.doc_id = b.doc_id AND a.g = b.g
+  WHERE b.i - a.i >= {smallest} AND 3 * (b.i - a.i) <= a.n
+), block_any AS ({runs("TRUE")}), block_line AS ({runs("NOT contains(g, chr(10))")})
+SELECT doc_id, doc_id IN (SELECT doc_id FROM block_any) AS anywhere, doc_id IN (SELECT doc_id FROM block_line) AS in_line FROM ({source}))"""
+
+
 def sql_any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradewright.catalog.registry import DAMAGE_WORDS, query, sql_any, sql_strip, sql_tokens, table
+from gradewright.catalog.registry import DAMAGE_WORDS, query, sql_any, sql_blocks, sql_strip, sql_tokens, table
 from gradewright.session import settle
 from gradewright.functions import repeats
 from gradewright.functions import text as tx
@@ -102,8 +102,8 @@ def x10(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.has_duplicate_clause("text", ".,\n").alias("has_duplicate"))
 
 
-# SQL has no backreferences; the tests compare with a regex and a plain search.
-@query("x11_repeated_block")
+# The tests also compare with a regex and a plain search.
+@query("x11_repeated_block", f"SELECT doc_id, anywhere AS repeats, in_line AS repeats_in_line FROM {sql_blocks('SELECT doc_id, text AS t FROM documents')}")
 def x11(spark, d):
     both = settle(table(spark, d, "documents"), both=repeats.repeated_blocks("text"))
     return both.select("doc_id", F.col("both.anywhere").alias("repeats"), F.col("both.in_line").alias("repeats_in_line"))
