@@ -238,22 +238,27 @@ def positional_ids(df: DataFrame, order: str, name: str = "image_id", prefix: st
                    tie_break: Sequence[str] = ()) -> DataFrame:
     """Ids `image_0000`, `image_0001`, ... in the order of a column.
 
-    `tie_break` names columns that order equal values. With them the ids do not
-    depend on the partitioning, and a very common value is split over partitions.
-
-    Rows are range-partitioned by the order column and written out with the
-    number of their partition; each partition is numbered on its own, starting
-    after the rows of the partitions before it.
+    `tie_break` names columns that order equal values. What they leave equal is ordered by
+    a hash of the whole row, so the ids never depend on the partitioning, and rows that
+    agree in all columns by an ordinal, so not even a value that all rows share stays in
+    one partition.
+
+    Rows are range-partitioned by all of these and written out with the number of their
+    partition; each partition is numbered on its own, starting after the rows of the
+    partitions before it.
     """
-    placed = cut_lineage(df.repartitionByRange(*[F.col(c) for c in (order, *tie_break)]).withColumn("_part", F.spark_partition_id()))
+    whole = F.md5(F.to_json(F.struct(F.lit(0).alias("_k"), *[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    sequence = [order, *tie_break, "_whole", "_ordinal"]
+    placed = df.withColumns({"_whole": whole, "_ordinal": F.monotonically_increasing_id()}).repartitionByRange(*[F.col(c) for c in sequence])
+    placed = cut_lineage(placed.withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(W.Window.partitionBy().orderBy("_part")) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(W.Window.partitionBy("_part").orderBy(order, *tie_break)) - 1
+    place = F.row_number().over(W.Window.partitionBy("_part").orderBy(*sequence)) - 1
     # One row per partition: at most spark.sql.shuffle.partitions.
     numbered = placed.withColumn("_place", place).join(F.broadcast(starts), "_part")
     digits = (F.col("_start") + F.col("_place")).cast("string")
     padded = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
-    return numbered.withColumn(name, F.concat(F.lit(prefix), padded)).drop("_part", "_start", "_place")
+    return numbered.withColumn(name, F.concat(F.lit(prefix), padded)).drop("_part", "_start", "_place", "_whole", "_ordinal")
 
 
 def first_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:

@@ -391,25 +391,40 @@ def calibrate(df: DataFrame, tokens: Column | str = "token_count", low: float =
     return tuple(row["q"])
 
 
+def cumulative_counts(df: DataFrame, tokens: Column | str = "token_count") -> DataFrame:
+    """A written table of the different counts: `value`, the rows `below` it and `through` it, `n` of all.
+
+    Any number of thresholds is then a look-up. The running sum goes over different
+    counts, not over rows: as many as the longest text has tokens.
+    """
+    counts = df.select(col(tokens).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
+    through = F.sum("_n").over(W.Window.orderBy("value"))
+    return cut_lineage(counts.select("value", (through - F.col("_n")).alias("below"), through.alias("through"), F.sum("_n").over(W.Window.partitionBy()).alias("n")))
+
+
 def threshold_rejections(df: DataFrame, thresholds: Sequence[tuple[str, float, float]],
                          tokens: Column | str = "token_count") -> DataFrame:
-    """Rows each candidate (name, low, high) would reject as too short or too long."""
-    tokens = col(tokens)
-    wide = df.agg(
-        F.count(tokens).alias("n"),
-        *[F.count_if(tokens < low).alias(f"_s{i}") for i, (_, low, _) in enumerate(thresholds)],
-        *[F.count_if(tokens > high).alias(f"_l{i}") for i, (_, _, high) in enumerate(thresholds)],
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("candidate"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"),
-                F.col(f"_s{i}").alias("too_short"), F.col(f"_l{i}").alias("too_long"),
-            )
-            for i, (name, low, high) in enumerate(thresholds)
-        ]
-    )
-    return wide.select("n", F.explode(cells).alias("c")).select("c.*", "n")
+    """Rows each candidate (name, low, high) would reject as too short or too long.
+
+    One pass over the rows, whatever the number of candidates: each bound is
+    attached to the last count below it, by a running maximum over counts and bounds.
+    """
+    known = cumulative_counts(df, tokens)
+    named = [(i, name, float(low), float(high)) for i, (name, low, high) in enumerate(thresholds)]
+    if not named:
+        return known.sparkSession.createDataFrame([], "candidate string, low double, high double, too_short bigint, too_long bigint, n bigint")
+    asked = known.sparkSession.createDataFrame(named, "_i int, candidate string, low double, high double")
+    sides = asked.select("_i", F.inline(F.array(
+        F.struct(F.col("low").alias("at"), F.lit(0).alias("side")), F.struct(F.col("high").alias("at"), F.lit(2).alias("side")))))
+    # At equal numbers a lower bound comes before the count, an upper one after it.
+    counts = known.select(F.lit(None).cast("int").alias("_i"), F.col("value").cast("double").alias("at"), F.lit(1).alias("side"), "through")
+    both = sides.withColumn("through", F.lit(None).cast("bigint")).unionByName(counts)
+    reached = F.coalesce(F.max("through").over(W.Window.orderBy("at", "side")), F.lit(0))
+    found = both.withColumn("_rows", reached).where("_i is not null").groupBy("_i").agg(
+        F.max(F.when(F.col("side") == 0, F.col("_rows"))).alias("too_short"), F.max(F.when(F.col("side") == 2, F.col("_rows"))).alias("_kept"))
+    total = F.coalesce(known.agg(F.max("n")).scalar(), F.lit(0))
+    return asked.join(found, "_i").withColumn("n", total).select(
+        "candidate", "low", "high", "too_short", (F.col("n") - F.col("_kept")).alias("too_long"), "n")
 
 
 def verdict_medians(df: DataFrame, values: Sequence[str], verdict: str = "quality_verdict") -> DataFrame:

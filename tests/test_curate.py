@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gradewright import fixed_values as fv
 from gradewright.operators import curate
+from gradewright.session import cut_lineage
 
 GOOD = "主桁に軽微な腐食が認められるが進行はない"
 
@@ -77,3 +78,19 @@ def test_first_rows(spark):
     df = spark.range(10)
     assert curate.first_rows(df, None, "id").count() == 10
     assert [r[0] for r in curate.first_rows(df.repartition(4), 3, "id").collect()] == [0, 1, 2]
+
+
+def test_positional_ids_of_one_value(spark, monkeypatch):
+    """One value in all rows: partitions share them, and ids are the same under another partitioning."""
+    tables = []
+    monkeypatch.setattr(curate, "cut_lineage", lambda df: tables.append(cut_lineage(df)) or tables[-1])
+    i = F.col("id")
+    df = spark.range(4_000).select(F.lit("same").alias("k"), F.when(i < 2_000, i).otherwise(-1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = [curate.positional_ids(df.repartition(p), "k") for p in (2, 7)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first, second = (sorted((r["image_id"], r["v"]) for r in m.collect()) for m in made)
+    assert first == second and [x for x, _ in first] == [f"image_{n:04d}" for n in range(4_000)]
+    assert all(t.select("_part").distinct().count() >= 3 for t in tables)
