@@ -3,6 +3,7 @@
 import collections
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -429,7 +430,14 @@ def test_pages(spark):
     assert {r["page_id"]: r["main_text"] for r in made.collect()} == want
     assert made.count() == len(rows) and pages.extract(df.where("1 = 0")).count() == 0
     slots = {r["host"]: r["slots"][-1] for r in pages.templates(df).collect() if r["slots"]}
-    assert slots["a.example.com"] == "/html/body/div#content"
+    assert tuple(slots["a.example.com"]) == (3, path_of("html", "body", "div#content"), None)
+
+
+def path_of(*labels):
+    made = 0
+    for label in labels:
+        made = pages._hash(made, label)
+    return pages._signed(made)
 
 
 WRAPPERS = [
@@ -464,6 +472,42 @@ def test_template_words_are_left_out(spark):
 def test_equivalence_classes(spark):
     rows = [page("<p>x</p>" * (i + 1), i) for i in range(6)]
     made = pages.classes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    together = [{t["path"].rpartition("/")[2] for t in r["tokens"]} for r in made]
-    assert any({"html", "body", "div#content", "nav", "footer"} <= t for t in together)
-    assert {"p"} in together
+    together = [{t["path"] for t in r["tokens"]} for r in made]
+    body = ("html", "body")
+    assert any({path_of("html"), path_of(*body), path_of(*body, "div#content"), path_of(*body, "nav"), path_of(*body, "footer")} <= t for t in together)
+    assert {path_of(*body, "div#content", "p")} in together
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<style ", "<div>", "<div><p>x", "<!--", "<b>", "<b></i>", "<i></div>", "<form><p>y", "<a \"", "<a 'x\" ", "<td>", "<li>z", "<h1><b>", "<",
+    "<form class='ad'>x", "&amp;"])
+def test_malformed_pages_take_time_in_proportion(unit):
+    """The time for a page eight times as long is far from 64 times as long."""
+    def seconds(n):
+        page = unit * n
+        start = time.process_time()
+        pages.read_page(page)
+        return time.process_time() - start
+
+    n = 16_000 // len(unit)
+    seconds(n)
+    assert seconds(8 * n) < 24 * max(seconds(n), 0.02)
+
+
+def test_very_long_and_malformed_pages(spark):
+    units = ["<a ", "<style ", "<div>", "<div><p>x", "<!--", "<form><p>y", "<a \"", "text "]
+    rows = [(i, f"http://host{i % 3}.example/{i}", unit * (300_000 // len(unit))) for i, unit in enumerate(units)]
+    made = {r["page_id"]: r["main_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(made) == set(range(len(units))) and made[7] == ("text " * 60_000).strip() and made[4] == ""
+    assert made[3] == "\n".join(["x"] * (300_000 // 9))
+
+
+def test_ends_of_tags():
+    """What closes a tag, a comment and a raw element, and what is text."""
+    def texts(page):
+        return [t for _, t in pages.read_page(page)[1]]
+
+    assert texts("<p>a<b c='>'>d</b>") == ["ad"] and texts("a <b c=\">\" d") == ['a <b c=">" d']
+    assert texts("a<!-- <p>b --> c<!-- d") == ["a c"] and texts("a<script>if (b < c) {}</script >d<style>e") == ["ad"]
+    assert texts("1 < 2 > 1 <3") == ["1 < 2 > 1 <3"] and texts("<a 'x <p>y") == ["<a 'x", "y"]
+    assert texts("<p>a<i>b<div>c</i>d</div>e") == ["ab", "cd", "e"]
