@@ -1,10 +1,11 @@
-"""Scalar text functions. All are built-in column expressions."""
+"""Scalar text functions: built-in column expressions, but for searches by large dictionaries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,21 +79,70 @@ def answer_after_last(text: Column | str, marker: str = "assistant") -> Column:
     return strip(F.substring_index(col(text), marker, -1))
 
 
+MANY_WORDS = 200  # from here on one automaton finds all words in one pass over the text
+
+
 def contains_any(text: Column | str, words: Iterable[str], fold_case: bool = False) -> Column:
     """True if one of the words occurs. With fold_case the text is lowercased
-    and the words are taken as given."""
+    and the words are taken as given. A large dictionary is searched in one pass."""
     text = F.lower(col(text)) if fold_case else col(text)
+    words = list(words)
+    if len(words) >= MANY_WORDS:
+        return F.size(_occurring(text, words, 1)) > 0
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
 
 
+def _occurring(text: Column, words: Sequence[str], most: int | None = None) -> Column:
+    """Places in the dictionary, ascending, of the words that occur, of at most `most`
+    the first found; NULL for NULL.
+
+    An automaton over all words (Aho and Corasick) reads each text once, however many
+    words there are; it is made anew by each task.
+    """
+    words = list(words)
+
+    @F.arrow_udf("array<int>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
+            places.setdefault(word, []).append(i)
+        everywhere = places.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for word, found in places.items():
+            automaton.add_word(word, found)
+        if places:
+            automaton.make_automaton()
+        for texts in batches:
+            made: list[list[int] | None] = []
+            for t in texts:
+                if not t.is_valid:
+                    made.append(None)
+                    continue
+                seen: dict[int, list[int]] = {}
+                for _, found in automaton.iter(t.as_py()) if places else ():
+                    seen[found[0]] = found
+                    if most is not None and len(seen) >= most:
+                        break
+                made.append(sorted([*everywhere, *(i for found in seen.values() for i in found)]))
+            yield pa.array(made, pa.list_(pa.int32()))
+
+    return find(text)
+
+
 def contains_all(text: Column | str, words: Iterable[str]) -> Column:
     text = col(text)
     return reduce(lambda a, b: a & b, [text.contains(w) for w in words])
 
 
 def matching_words(text: Column | str, labels: dict[str, str]) -> Column:
-    """Array of the labels whose word occurs in the text, in dictionary order."""
+    """Array of the labels whose word occurs in the text, in dictionary order. A large
+    dictionary is searched in one pass."""
     text = col(text)
+    if len(labels) >= MANY_WORDS:
+        names = F.array(*[F.lit(label) for label in labels.values()])
+        return F.transform(F.coalesce(_occurring(text, list(labels)), F.array().cast("array<int>")), lambda i: F.get(names, i))
     hits = [F.when(text.contains(w), F.lit(label)) for w, label in labels.items()]
     return F.array_compact(F.array(*hits))
 

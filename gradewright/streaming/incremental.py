@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,19 +35,31 @@ def run_incrementally(stream: DataFrame, transform: Callable[[DataFrame], DataFr
 
 
 def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint: str) -> None:
-    """Running counts per value, written whole after each batch into a folder of
-    its own, so that a stop in between leaves the last ones; `latest_counters`
-    reads them. The state holds one row per value."""
+    """Running counts per value, as a snapshot numbered by its batch.
+
+    A batch is counted by itself and added to the snapshot before it, so the stream holds
+    no state. A new snapshot is written whole, then the pointer moves to it, then older
+    ones but the last go: any number of batches leaves two. A stop between these steps
+    loses nothing and counts nothing twice, since a batch that is run again starts from the
+    snapshot before its own number. `latest_counters` reads the snapshot pointed to.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        spark = batch.sparkSession
+        counts = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        before = [v for v in _versions(spark, output) if v < number]
+        if before:
+            known = spark.read.schema(counts.schema).parquet(f"{output}/{_SNAPSHOT}{max(before)}")
+            counts = known.unionByName(counts).groupBy(*by).agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{output}/{_SNAPSHOT}{number}")
+        _point(spark, output, number)
+        for old in sorted(before)[:-1]:
+            _delete(spark, f"{output}/{_SNAPSHOT}{old}")
 
     query = (
-        stream.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .writeStream.foreachBatch(keep)
+        stream.select(*by).writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -55,9 +67,75 @@ def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint:
 
 
 def latest_counters(spark: SparkSession, output: str) -> DataFrame:
-    """The counters of the last batch that was written."""
-    every = spark.read.parquet(output)
-    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    """The counters of the snapshot that the pointer names; of the last finished one, should a
+    stop have come while the pointer was replaced."""
+    files, place = _files(spark, f"{output}/{_POINTER}")
+    number = spark.read.text(f"{output}/{_POINTER}").first()[0] if files.exists(place) else max(_versions(spark, output))
+    return spark.read.parquet(f"{output}/{_SNAPSHOT}{number}")
+
+
+_SNAPSHOT, _POINTER = "snapshot-", "current"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its own form."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, output: str) -> list[int]:
+    """Numbers of the finished snapshots; there are few."""
+    files, place = _files(spark, output)
+    if not files.exists(place):
+        return []
+    found = [(status.getPath().getName(), status.getPath().toString()) for status in files.listStatus(place)]
+    names = [(name.removeprefix(_SNAPSHOT), path) for name, path in found if name.startswith(_SNAPSHOT)]
+    return [int(n) for n, path in names if n.isdigit() and files.exists(_files(spark, f"{path}/_SUCCESS")[1])]
+
+
+def _point(spark: SparkSession, output: str, number: int) -> None:
+    """Name a snapshot in the pointer, by replacing the file whole."""
+    files, fresh = _files(spark, f"{output}/_{_POINTER}-{number}")
+    out = files.create(fresh, True)
+    out.write(bytearray(str(number), "ascii"))
+    out.close()
+    _, place = _files(spark, f"{output}/{_POINTER}")
+    if not files.rename(fresh, place):
+        files.delete(place, False)  # where a rename does not replace
+        files.rename(fresh, place)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+BUCKETS = 256
+
+
+def mark_done(done: DataFrame, folder: str, *keys: str, buckets: int = BUCKETS) -> None:
+    """Add finished keys to a folder of hash buckets."""
+    marked = done.select(*keys).distinct().withColumn("bucket", _bucket(keys, buckets))
+    marked.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def skip_marked(inputs: DataFrame, folder: str, *keys: str, buckets: int = BUCKETS) -> DataFrame:
+    """Inputs whose key has not been marked by `mark_done` with as many buckets.
+
+    Only the buckets that inputs fall into are read; a folder that does not exist yet
+    marks nothing. A NULL key is never marked.
+    """
+    spark = inputs.sparkSession
+    files, place = _files(spark, folder)
+    if not files.exists(place):
+        return inputs
+    touched = [r[0] for r in inputs.select(_bucket(keys, buckets).alias("b")).distinct().collect()]  # at most `buckets`
+    done = spark.read.parquet(folder).where(F.col("bucket").isin(touched))
+    return inputs.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def skip_done(inputs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

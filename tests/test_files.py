@@ -1,4 +1,6 @@
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from gradewright.operators import guard
 from gradewright.plans import curation
 from gradewright.sources import readers, writers
 from gradewright.streaming import incremental
+from tests.oracle import plan
 
 TRICKY = ['漢"字",\n改行', "a,b", "", "back\\slash", ' lead "quote" ', "a\r\nb", "　", None]
 
@@ -125,6 +128,46 @@ def test_running_counters(spark, tmp_path):
         assert {r["quality_verdict"]: r["n"] for r in incremental.latest_counters(spark, out).collect()} == want
 
 
+def test_counters_of_many_batches_leave_few_snapshots(spark, tmp_path, monkeypatch):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        stream = incremental.read_folder_stream(spark, folder, SCHEMA, files_per_batch=1)
+        incremental.run_counters(stream.withColumn("k", F.col("id") % 3), ["k"], out, state)
+
+    def counted():
+        return {r["k"]: r["n"] for r in incremental.latest_counters(spark, out).collect()}
+
+    for i in range(8):
+        add(spark, folder, range(3 * i, 3 * i + 3))
+    run()
+    assert counted() == {0: 8, 1: 8, 2: 8}
+    assert len([f for f in os.listdir(out) if f.startswith("snapshot-")]) == 2
+    # A stop after the snapshot and before the pointer: the old counters are read, and the batch counts once.
+    add(spark, folder, [24])
+    point = incremental._point
+    monkeypatch.setattr(incremental, "_point", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(Exception, match="stopped"):
+        run()
+    assert counted() == {0: 8, 1: 8, 2: 8}
+    monkeypatch.setattr(incremental, "_point", point)
+    run()
+    assert counted() == {0: 9, 1: 8, 2: 8}
+    os.remove(f"{out}/current")
+    assert counted() == {0: 9, 1: 8, 2: 8}
+
+
+def test_finished_keys_in_buckets(spark, tmp_path):
+    folder = str(tmp_path / "done")
+    assert incremental.skip_marked(spark.range(5), folder, "id").count() == 5
+    incremental.mark_done(spark.range(0, 3_000), folder, "id")
+    incremental.mark_done(spark.range(2_000, 4_000), folder, "id")
+    left = incremental.skip_marked(spark.range(3_995, 4_005).unionByName(spark.range(3_999, 4_001)), folder, "id")
+    assert sorted(r["id"] for r in left.collect()) == [4_000, *range(4_000, 4_005)]
+    text = plan(incremental.skip_marked(spark.range(3), folder, "id"))
+    assert re.search(r"PartitionFilters: .*bucket", text)
+
+
 def test_skip_done(spark):
     assert incremental.skip_done(spark.range(5), spark.range(3).unionByName(spark.range(2)), "id").count() == 2
 
