@@ -45,6 +45,11 @@ def _every_given() -> list[str]:
     return sorted({n for names in GIVEN.values() for n in names})
 
 
+#: What tells the type of a secret; it stays.
+MARKED = r"github_pat_|gh[pousr]_|[spr]k_(?:live|test)_|glpat-|npm_|xox[abps]-"
+SECRET_PREFIX = r"(?:github_pat_|sk_live_|sk_test_|pk_live_|pk_test_|rk_live_|sk|pk|gh[pousr]|xox[abps]|AKIA|ASIA|AIza|glpat|npm)"
+#: Country codes of telephone numbers by their first digits; all others have three.
+COUNTRY_CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLED = _any([t for titles in TITLES.values() for t in titles])
 #: Types in the order in which they are looked for at a place.
@@ -52,10 +57,13 @@ PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
     ("secret", r"(?<![0-9A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Fa-f])"),
     ("secret", r"(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16,}"),
+    ("secret", rf"(?<![A-Za-z0-9])(?:{MARKED}|ASIA)[A-Za-z0-9_-]{{16,}}"),
+    ("secret", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("card", r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?!\d)"),
+    ("card", r"(?<![\d.])(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:.])"),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"),
     ("name", rf"(?<!\p{{L}}){_TITLED} {NAME}(?: {NAME})?|(?<!\p{{L}}){_any(_every_given())} {NAME}"),
 )
@@ -86,7 +94,7 @@ def canonical(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"[^\d+]", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind == "email", F.lower(entity))
+        .when(kind.isin("email", "ip6"), F.lower(entity))
         .otherwise(entity)
     )
 
@@ -136,8 +144,10 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(entity: Column, digest: Column) -> Column:
+    """As many digits, the first and the validity of the check digit as before."""
     digits = F.regexp_replace(entity, r"\D", "")
-    body = F.concat(F.substring(digits, 1, 1), _decimal(digest, F.lit(14)))
+    kept = F.when(F.char_length(digits) == 15, 2).otherwise(1)  # cards of 15 digits are told by two
+    body = F.concat(F.substring(digits, F.lit(1), kept), _decimal(digest, F.char_length(digits) - kept - 1))
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     wrong = F.substring(F.concat(check.cast("int") + 1 + F.conv(F.substring(digest, 60, 1), 16, 10).cast("int") % 9), -1, 1)
     return _refilled(entity, F.concat(body, F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(wrong)))
@@ -145,7 +155,7 @@ def _card(entity: Column, digest: Column) -> Column:
 
 def _phone(entity: Column, digest: Column) -> Column:
     """The country code stays; a number's first digit is never 0 or 1 where it was not."""
-    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(entity, "^" + COUNTRY_CODE, 0)
     rest = F.substring(entity, F.char_length(code) + 1, F.char_length(entity))
     digits = F.regexp_replace(rest, r"\D", "")
     made = _decimal(digest, F.char_length(digits))
@@ -153,6 +163,43 @@ def _phone(entity: Column, digest: Column) -> Column:
     return F.concat(code, _refilled(rest, F.concat(first, F.substring(made, F.lit(2), F.char_length(made)))))
 
 
+def _mod_97(text: Column) -> Column:
+    """The remainder of an account number as its check digits count it: letters are 10 to 35, the first four characters come last."""
+    turned = F.concat(F.substring(text, F.lit(5), F.char_length(text)), F.substring(text, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda left, c: F.when(
+        c.between("0", "9"), (left * 10 + F.ascii(c) - 48) % 97).when(c.between("A", "Z"), (left * 100 + F.ascii(c) - 55) % 97).otherwise(left))
+
+
+def _iban(entity: Column, digest: Column) -> Column:
+    """Made for the number without blanks, which then go where they were: the country
+    stays, and check digits are right where they were."""
+    plain = F.replace(entity, F.lit(" "), F.lit(""))
+    country = F.substring(plain, 1, 2)
+    body = _keyed_chars(F.substring(plain, F.lit(5), F.char_length(plain)), digest)
+    check = 98 - _mod_97(F.concat(country, F.lit("00"), body))
+    check = F.when(_mod_97(plain) == 1, check).otherwise((check + 1 + F.conv(F.substring(digest, 60, 1), 16, 10).cast("int")) % 97)
+    made = F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+    # Every character after as many others as it has before it in the number without blanks.
+    return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(
+        F.substring(made, F.char_length(F.replace(F.substring(entity, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+
+
+def _secret(entity: Column, digest: Column) -> Column:
+    """The prefix stays, and of a signed token the beginning that marks its parts."""
+    prefix = F.regexp_extract(entity, rf"^(?:{SECRET_PREFIX}[-_]?|eyJ)", 0)
+    return F.concat(prefix, _keyed_chars(F.substring(entity, F.char_length(prefix) + 1, F.char_length(entity)), digest))
+
+
+def _ip6(entity: Column, digest: Column) -> Column:
+    """Groups of the same number of hex digits, none with a leading zero that had none, in the case of the address."""
+    def group(g: Column, i: Column) -> Column:
+        own = F.substring(digest, i * 4 + 1, F.char_length(g))
+        return F.when(g.rlike("^[1-9A-Fa-f]") & own.startswith("0"), F.concat(F.lit("a"), F.substring(own, F.lit(2), F.char_length(own)))).otherwise(own)
+
+    made = F.array_join(F.transform(F.split(F.lower(entity), ":"), group), ":")
+    return F.when(entity == F.lower(entity), made).otherwise(F.upper(made))
+
+
 def _ip(entity: Column, digest: Column) -> Column:
     """Octets of the same number of digits."""
     def octet(o: Column, i: Column) -> Column:
@@ -215,15 +262,18 @@ def surrogate(kind: Column, entity: Column, digest: Column, key: Key, attempt: C
         .when(kind == "card", _card(entity, digest))
         .when(kind == "phone", _phone(entity, digest))
         .when(kind == "ip", _ip(entity, digest))
+        .when(kind == "ip6", _ip6(entity, digest))
+        .when(kind == "iban", _iban(entity, digest))
         .when(kind == "ssn", _refilled(entity, _decimal(digest, F.lit(9))))
         .when((kind == "secret") & entity.rlike("^[0-9A-Fa-f]+$"), _hex_like(entity, digest))
+        .when(kind == "secret", _secret(entity, digest))
         .otherwise(_keyed_chars(entity, digest))
     )
 
 
 def _entities(text: Column) -> Column:
     """Entities in the order of the text; most texts have no digit, sign or name to start from."""
-    likely = text.rlike("[0-9@]") | text.rlike(rf"(?<!\p{{L}})(?:{_TITLED}|{_any(_every_given())}) \p{{Lu}}")
+    likely = text.rlike(rf"[0-9@]|(?<![A-Za-z0-9])(?:{MARKED})[A-Za-z0-9_-]{{16}}") | text.rlike(rf"(?<!\p{{L}})(?:{_TITLED}|{_any(_every_given())}) \p{{Lu}}")
     return F.when(likely, F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 

@@ -282,7 +282,6 @@ def test_links_connect_what_distances_connect(spark, cell):
     fps = sorted(fps)
     table = spark.createDataFrame([(x,) for x in fps], "fp long")
     links = simhash.links(table, cell)
-    assert all((a ^ b).bit_count() <= 64 for a, b in links.collect())
     roots = dict(simhash.components(links).collect())
     assert [roots.get(x, x) for x in fps] == naive_components(fps, fps)
     assert links.count() < 66 * len(fps)

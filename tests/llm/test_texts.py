@@ -146,6 +146,42 @@ def test_surrogates_keep_type_and_format(spark):
     assert other != rows[2]["text"]
 
 
+def mod_97(number):
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+
+
+def test_one_entity_in_several_forms(spark):
+    """Forms of one number get forms of one surrogate; country, check digits and what tells the type stay."""
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "FR1420041010050500013M02606",
+                "NL91ABNA0417164300"]
+    phones = ["+442079460958", "+44 20 7946 0958", "+12755555927", "+1 (275) 555-5927", "+4930901820", "+353 1 234 5678"]
+    secrets = ["sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "AKIA" + "IOSFODNN7EXAMPLE", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "github_pat_" + "11ABCDEFG0abcdefghijkl_mnopqrstuv",
+               "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"]
+    others = ["2001:db8:85a3:8d3:1319:8a2e:370:7348", "fe80::1ff:fe23:4567:890a", "3782 822463 10005", "378282246310005"]
+    every = accounts + phones + secrets + others
+    docs = spark.createDataFrame([(i, f"see {e} here") for i, e in enumerate(every)] + [(99, " and ".join(every))], "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in surrogates.replace(docs).collect()}
+    made = {}
+    for i, e in enumerate(every):
+        (found,) = rows[i]["entities"]
+        assert found["entity"] == e and e not in rows[i]["text"], e
+        made[e] = found["surrogate"]
+        assert made[e] in rows[99]["text"] and len(made[e]) == len(e)
+    plain = lambda t: re.sub("[^A-Za-z0-9+]", "", t)
+    for a in every:
+        for b in every:
+            assert (plain(a) == plain(b)) == (plain(made[a]) == plain(made[b]))
+    for a in accounts:
+        assert made[a][:2] == a[:2] and mod_97(plain(made[a])) == mod_97(plain(a)) == 1
+        assert [c == " " for c in made[a]] == [c == " " for c in a]
+    for p, code in zip(phones, ("+44", "+44", "+1", "+1", "+49", "+353")):
+        assert made[p].startswith(code) and re.sub(r"\d", "0", made[p]) == re.sub(r"\d", "0", p)
+    for t, prefix in zip(secrets, ("sk_live_", "AKIA", "ghp_", "github_pat_", "eyJ")):
+        assert made[t].startswith(prefix) and made[t][len(prefix):] != t[len(prefix):]
+    for t in others[2:]:
+        assert made[t][:2] == "37" and luhn(plain(made[t]))
+
+
 def test_titles_tell_the_gender_of_unknown_names(spark):
     docs = spark.createDataFrame([(1, "Mr. Zaphod Weber, Frau Trillian Weber, Dr. Weber")], "doc_id int, text string")
     made = {e["entity"]: e["surrogate"].split() for e in surrogates.replace(docs).first()["entities"]}
