@@ -200,11 +200,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def rows_of(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
     """One input row for each key and mark in the column `first`."""
-    first = cut_lineage(first.select(F.col("first.key").alias("of"), F.col("first.mark").alias("text_mark")))
+    first = cut_lineage(first.select(F.xxhash64("first.key").alias("of"), F.col("first.mark").alias("text_mark")))
     held = docs.select(
-        F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), F.xxhash64(col(key)).alias("key"),
         F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"))
-    kept = held.join(first, col("key").eqNullSafe(col("of")) & (col("mark") == col("text_mark")))
-    # Texts move once: the rows of a key and text are together for both steps.
+    kept = held.join(first, (col("key") == col("of")) & (col("mark") == col("text_mark")))
+    # Texts move once: both steps go by the same two numbers, so rows are together for both.
     rank = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(0)))
     return kept.withColumn("rank", rank).where("rank = 1").select("row.*")

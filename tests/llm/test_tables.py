@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gradewright.llm import copies, nearest, packing, pages, sharding, simhash, toxicity
 from tests.llm.cases import BASE, hard_documents, no_documents, plain
+from tests.oracle import plan
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -349,6 +350,28 @@ def test_near_copies_of_a_fifth(spark, cell):
     assert 40 < len(set(label)) < 300 and copies.one_of_each(no_documents(spark)).count() == 0
 
 
+def test_wanted_texts(spark):
+    """No wanted row is lost, most others go, whatever the number of bits."""
+    df = spark.range(20_000).select("id", F.xxhash64("id").alias("mark"))
+    wanted = df.where("id % 50 = 0").select(F.col("mark").alias("w"))
+    for most, others in ((1 << 28, 0.1), (1 << 15, 1.0)):
+        got = {r["id"] for r in copies.among(df, "mark", wanted, "w", most).collect()}
+        assert set(range(0, 20_000, 50)) <= got and len(got) <= 400 + others * 19_600
+    assert copies.among(df, "mark", wanted.where("1 = 0"), "w").count() == 0
+
+
+def test_texts_move_once(spark, monkeypatch):
+    """One exchange serves the join and the choice of one row."""
+    docs = spark.createDataFrame([(i, f"t {i}") for i in range(50)], "doc_id long, text string")
+    first = docs.select(F.struct(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark")).alias("first"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(simhash.rows_of(docs, first, "doc_id", "text"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange (") == 2  # the documents and the list of those that stay
+
+
 # --- toxicity -----------------------------------------------------------------------
 
 
