@@ -151,15 +151,11 @@ SELECT doc_id, token_count, {gr.sql_calibrated('text', 'token_count')} AS reason
 def t01(spark, d):
     """The guard over a folder, run twice: the second run finds nothing new."""
     output, checkpoint = fresh_folder(spark, "guarded"), fresh_folder(spark, "guarded-progress")
+    guarded = lambda s: guard.calibrated_guard(s, "text", **gr.GUARD).select("doc_id", "token_count", "reason_code")
     for _ in range(2):
-        stream = incremental.read_folder_stream(spark, d, DOCUMENTS, "documents*.parquet")
-        incremental.run_incrementally(
-            stream,
-            lambda s: guard.calibrated_guard(s, "text", **gr.GUARD).select("doc_id", "token_count", "reason_code"),
-            output,
-            checkpoint,
-        )
-    return spark.read.parquet(output)
+        stream = incremental.read_table_stream(spark, f"{d}/documents.parquet", DOCUMENTS)
+        incremental.run_incrementally(stream, guarded, output, checkpoint)
+    return spark.read.schema(guarded(stream).schema).parquet(output)
 
 
 @query("t02_skip_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")

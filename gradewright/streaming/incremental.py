@@ -18,6 +18,16 @@ def read_folder_stream(spark: SparkSession, folder: str, schema: T.StructType |
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, table: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of a Parquet table, be it one file or a folder of part files.
+
+    Part files may have any name, as in batch reading. The path's last character is made a
+    pattern, which only it matches, since a stream refuses a plain path to a file.
+    """
+    path = table.rstrip("/")
+    return read_folder_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, "*", files_per_batch)
+
+
 def run_incrementally(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str) -> None:
     """Process everything not yet processed, then stop. A killed run resumes from
     its checkpoint; every input file enters the output exactly once. The transform

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewright import fixed_values as fv
+from gradewright.catalog import files
 from gradewright.operators import guard
 from gradewright.plans import curation
 from gradewright.sources import readers, writers
@@ -119,6 +120,30 @@ def test_incremental_run_takes_each_row_once(spark, tmp_path):
     assert sorted((r["id"], r["quality_verdict"]) for r in batch.collect()) == run()
 
 
+def table_forms(spark, tmp_path):
+    """The same documents as one file and as a folder of part files, and none as a folder."""
+    ids = range(200)
+    docs = spark.createDataFrame(
+        [(i, chr(0x4E00 + i) * (i % 90) + "腐食" * (i % 3 == 0), "ja", "web", i) for i in ids], files.DOCUMENTS)
+    one, parts, none = (str(tmp_path / x) for x in ("one", "parts", "none"))
+    docs.repartition(3).write.parquet(f"{parts}/documents.parquet")
+    docs.limit(1).write.parquet(f"{parts}/documents_old.parquet")
+    docs.where("doc_id < 0").write.parquet(f"{none}/documents.parquet")
+    os.mkdir(one)
+    docs.toPandas().to_parquet(f"{one}/documents.parquet")
+    os.mkdir(f"{tmp_path}/bare")
+    os.mkdir(f"{tmp_path}/bare/documents.parquet")
+    return one, parts, none, str(tmp_path / "bare")
+
+
+def test_guard_run_reads_a_table_of_part_files(spark, tmp_path):
+    one, parts, none, bare = table_forms(spark, tmp_path)
+    want = sorted(map(tuple, files.t01(spark, one).collect()))
+    assert [r[0] for r in want] == list(range(200))
+    assert sorted(map(tuple, files.t01(spark, parts).collect())) == want
+    assert files.t01(spark, none).collect() == files.t01(spark, bare).collect() == []
+
+
 def test_running_counters(spark, tmp_path):
     folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for ids, want in ((range(5), {"PASS": 2, "FAIL": 3}), (range(5, 9), {"PASS": 4, "FAIL": 5})):
