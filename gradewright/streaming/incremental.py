@@ -51,7 +51,8 @@ def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint:
     no state. A new snapshot is written whole, then the pointer moves to it, then older
     ones but the last go: any number of batches leaves two. A stop between these steps
     loses nothing and counts nothing twice, since a batch that is run again starts from the
-    snapshot before its own number. `latest_counters` reads the snapshot pointed to.
+    snapshot before its own number. `latest_counters` reads the snapshot pointed to; where
+    no batch has come yet, an empty one, which the first batch replaces.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -74,6 +75,9 @@ def run_counters(stream: DataFrame, by: Sequence[str], output: str, checkpoint:
         .start()
     )
     query.awaitTermination()
+    spark = stream.sparkSession
+    if not _versions(spark, output):
+        keep(spark.createDataFrame([], stream.select(*by).schema), 0)
 
 
 def latest_counters(spark: SparkSession, output: str) -> DataFrame:

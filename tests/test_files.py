@@ -153,6 +153,22 @@ def test_running_counters(spark, tmp_path):
         assert {r["quality_verdict"]: r["n"] for r in incremental.latest_counters(spark, out).collect()} == want
 
 
+def test_counters_read_a_table_of_part_files(spark, tmp_path):
+    one, parts, none, bare = table_forms(spark, tmp_path)
+    want = sorted(map(tuple, files.t03(spark, one).collect()))
+    assert sum(n for _, n in want) == 200
+    assert sorted(map(tuple, files.t03(spark, parts).collect())) == want
+    assert files.t03(spark, none).collect() == files.t03(spark, bare).collect() == []
+    # The first batch takes the place of the empty snapshot.
+    folder, out, state = bare + "/documents.parquet", str(tmp_path / "out"), str(tmp_path / "state")
+    for ids, want in (((), {}), (range(5), {"PASS": 2, "FAIL": 3})):
+        if ids:
+            add(spark, folder, ids)
+        stream = incremental.read_table_stream(spark, folder, SCHEMA)
+        incremental.run_counters(guard.calibrated_guard(stream), ["quality_verdict"], out, state)
+        assert {r["quality_verdict"]: r["n"] for r in incremental.latest_counters(spark, out).collect()} == want
+
+
 def test_counters_of_many_batches_leave_few_snapshots(spark, tmp_path, monkeypatch):
     folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
 
