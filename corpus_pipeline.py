@@ -27,7 +27,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of copies and near copies (four fifths of their 5-word shingles) the document of the smallest id."""
+    """Of every group of copies and near copies the document of the smallest id.
+
+    Candidates are the classes of SimHash fingerprints and, for pairs beyond their three bits,
+    bands of min-hashes. A link takes four fifths of the 5-word shingles, counted in whole texts.
+    """
     return copies.one_of_each(docs)
 
 

@@ -1,15 +1,16 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from min-hashes in bands: texts of similarity 0.8 share a band with
-a chance of 0.9999, those above it sooner. Buckets that share members are one group;
-what meets in a group is compared by the whole sets of shingles, so that every link
-is exact, and a group gives no more links than it has members. Groups above CELL
-shingles are taken apart into buckets again, and buckets above it are dealt into
-cells in which any two members meet. Connected components of the links follow as in
-`simhash`.
-
-Fingerprints of 64 bits cannot find these pairs: at 0.8 they lie 10 bits apart on
-average and up to 17, where balls hold most of what any index could keep apart.
+Candidates come from SimHash: every class that `simhash` links by fingerprints is a
+bucket. It cannot find all pairs: at 0.8 fingerprints of 64 bits lie 10 bits apart on
+average and up to 17, where balls hold most of what any index could keep apart. The
+rest come from min-hashes in bands, a bucket each: texts of similarity 0.8 share one
+with a chance of 0.9999, those above it sooner.
+
+Buckets that share members are one group; what meets in a group is compared by the
+whole sets of shingles, so that every link is exact, and a group gives no more links
+than it has members. Groups above CELL shingles are taken apart into buckets again,
+and buckets above it are dealt into cells in which any two members meet. Connected
+components of the links follow as in `simhash`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.llm.common import col
-from gradewright.llm.simhash import components, rows_of
+from gradewright.llm.simhash import components, fingerprint, reached, rows_of
 from gradewright.session import cut_lineage
 
 SHINGLE = 5
@@ -126,14 +127,25 @@ def stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def links(sets: DataFrame, docs: DataFrame, key: str, text: str, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect similar sets. sets: set, n, bands and first (the row to read it from).
+def fingerprint_buckets(ids: DataFrame) -> DataFrame:
+    """set, n and band: each class of `simhash`, by its root, with the sets of its texts. ids: set, n, fp.
+
+    Texts of one set may differ in fingerprint, which counts repeats; such a set is in several classes.
+    """
+    prints = cut_lineage(ids.where("n > 0").select("set", "n", "fp").distinct())
+    classes = reached(cut_lineage(prints.select("fp").distinct()))
+    return prints.join(classes, "fp").select("set", "n", col("root").alias("band")).distinct()
+
+
+def links(sets: DataFrame, alike: DataFrame, docs: DataFrame, key: str, text: str, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that connect similar sets. sets: set, n, bands and first (the row to read it from);
+    alike: set, n and band of further buckets.
 
     Buckets that share a member are one group, found from numbers alone, so a set's
     shingles move once, however many buckets it is in. Only groups above `cell`
     shingles are taken bucket by bucket, and buckets above it by cells.
     """
-    members = cut_lineage(sets.select("set", "n", F.explode("bands").alias("band")))
+    members = cut_lineage(sets.select("set", "n", F.explode("bands").alias("band")).unionByName(alike))
     held = members.groupBy("band").agg(F.count("*").alias("members"), F.min("set").alias("least")).where("members > 1")
     held = cut_lineage(held.select("band", "least"))
     chained = members.join(held, "band").where("set != least").select(col("set").alias("a"), col("least").alias("b")).distinct()
@@ -214,11 +226,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", cell:
     each other.
     """
     ids = docs.select(
-        col(key).alias("key"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"), sketch(col(text)).alias("made"))
-    ids = cut_lineage(ids.select("key", "mark", "made.*"))
+        col(key).alias("key"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"), sketch(col(text)).alias("made"),
+        fingerprint(text).alias("fp"))
+    ids = cut_lineage(ids.select("key", "mark", "made.*", "fp"))
     place = F.struct(col("key").isNull().alias("none"), "key", "mark")
     sets = cut_lineage(ids.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    roots = cut_lineage(components(links(sets, docs, key, text, cell)))
+    roots = cut_lineage(components(links(sets, fingerprint_buckets(ids), docs, key, text, cell)))
     named = sets.select("set", "first").join(roots, col("set") == col("node"), "left")
     first = named.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("first").alias("first"))
     return rows_of(docs, first, key, text)

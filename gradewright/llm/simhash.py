@@ -162,15 +162,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(col("root").alias("node"), "root").distinct())
 
 
+def reached(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (column fp) with root, the smallest one that a chain of links reaches."""
+    roots = cut_lineage(components(links(fps.select("fp"))))
+    return fps.join(roots, col("fp") == col("node"), "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, mark (a hash of the text), fp, component_id and root, the component's
     smallest fingerprint; a written table of numbers, without the texts."""
     ids = cut_lineage(docs.select(
         col(key).alias("key"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("mark"), fingerprint(text).alias("fp")))
     fps = cut_lineage(ids.groupBy("fp").agg(F.min("key").alias("first")))
-    roots = cut_lineage(components(links(fps.select("fp"))))
-    linked = fps.join(roots, col("fp") == col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = cut_lineage(linked)
+    linked = cut_lineage(reached(fps))
     named = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     found = cut_lineage(linked.select("fp", "root").join(named, "root"))
     return ids.join(found, "fp")

@@ -350,6 +350,33 @@ def test_near_copies_of_a_fifth(spark, cell):
     assert 40 < len(set(label)) < 300 and copies.one_of_each(no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [copies.CELL, 1000])
+def test_fingerprints_find_near_copies_without_bands(spark, monkeypatch, cell):
+    """Near copies that no band finds: similar pairs within three bits are linked, by whole texts."""
+    monkeypatch.setattr(copies, "bands_of", lambda hashes: [])
+    texts = edited_texts()
+    # Fingerprints count repeats, so these are equal there, but their sets of shingles are not alike.
+    texts += ["one two three four five " * 60 + " ".join(f"tail{k}-{i}" for i in range(40)) for k in range(9)]
+    fps = [naive_fingerprint(t) for t in texts]
+    assert len(set(fps[-9:])) == 1
+    label = list(range(len(texts)))
+    wanted = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if i // 9 == j // 9 and (fps[i] ^ fps[j]).bit_count() <= 3 and jaccard_five(texts[i], texts[j]) >= 0.8:
+            wanted += 1
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    # Chains of fingerprints bring further pairs together, which are linked if they are alike.
+    met = naive_components(fps, range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if met[i] == met[j] and label[i] != label[j] and jaccard_five(texts[i], texts[j]) >= 0.8:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in copies.one_of_each(docs, cell=cell).select("doc_id").collect()}
+    assert wanted > 20 and kept == set(label) and len(kept) < len(texts) and set(range(360, 369)) <= kept
+
+
 def test_wanted_texts(spark):
     """No wanted row is lost, most others go, whatever the number of bits."""
     df = spark.range(20_000).select("id", F.xxhash64("id").alias("mark"))
